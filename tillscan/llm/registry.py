@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import bpe, chat_format, line_dedup
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_chat_format": chat_format.op8_chat_format,
 }
 SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op8_chat_format": chat_format.OP8_SQL,
 }
