@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, line_dedup
+from . import bpe, chat_format, line_dedup, near_dedup
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_chat_format": chat_format.op8_chat_format,
 }
 SQL = {
