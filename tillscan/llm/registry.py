@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, line_dedup, near_dedup, span_dedup
+from . import bpe, chat_format, line_dedup, near_dedup, quality, span_dedup
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op4_bpe": bpe.op4_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
-    "op8_chat_format": chat_format.op8_ = {
+    "op8_chat_format": chat_format.op8_chat_format,
+    "op9_span_dedup": span_dedup.op9_span_dedup,
+}
+SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
 }
