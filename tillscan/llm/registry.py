@@ -7,18 +7,22 @@ from . import (
     chat_format,
     language_id,
     line_dedup,
+    mixing,
     mpeg_audio,
     near_dedup,
     quality,
+    sharding,
     span_dedup,
 )
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_quality": quality.op2_quality,
     "op3_mpeg_audio": mpeg_audio.op3_mpeg_audio,
     "op4_bpe": bpe.op4_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_span_dedup": span_dedup.op9_span_dedup,
     "op10_language_id": language_id.op10_language_id,
