@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -165,6 +166,17 @@ def _values(bpe: Bpe, text: str, outputs: Sequence[str]) -> tuple:
     return tuple(got[o] for o in outputs)
 
 
+def _slices(batch: pa.RecordBatch, text_col: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``limit`` bytes of text, which bounds what lies in memory."""
+    sizes = pa.compute.binary_length(batch.column(text_col)).fill_null(0).to_pylist()
+    begin = size = 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= limit or i + 1 == len(sizes):
+            yield batch.slice(begin, i + 1 - begin)
+            begin, size = i + 1, 0
+
+
 def bpe_columns(
     df: DataFrame,
     tokenizer_path: str,
@@ -199,15 +211,15 @@ def bpe_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(key, spec.value)
-        for batch in batches:
-            texts = batch.column(text_col)
-            rows = [_values(bpe, t.as_py() or "", wanted) for t in texts]
-            made = list(zip(*rows, strict=True)) or [()] * len(wanted)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names]
-                + [pa.array(m, arrow[o]) for o, m in zip(wanted, made, strict=True)],
-                names=[*names, *wanted],
-            )
+        for whole in batches:
+            for batch in _slices(whole, text_col):
+                rows = [_values(bpe, t.as_py() or "", wanted) for t in batch.column(text_col)]
+                made = list(zip(*rows, strict=True)) or [()] * len(wanted)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in names]
+                    + [pa.array(m, arrow[o]) for o, m in zip(wanted, made, strict=True)],
+                    names=[*names, *wanted],
+                )
 
     return df.mapInArrow(run, schema)
 
