@@ -3,9 +3,9 @@
 Documents are linked if their texts are equal. Every linked document starts with the label
 (shard) of its hash. In each round a group looks at the counts of its labels, and members
 with another label ask to move to the most frequent one. A shard takes in what its quota
-leaves room for, the largest gains first: the demand by shard and gain class is summed,
-full classes are let in whole and the class on the border by a hashed share, so no sort of
-the demand is needed. Members of one group with one label are alike, so a round works on
+leaves room for, what leaves it included, the largest gains first: the demand by shards and
+gain class is summed, full classes are let in whole and the class on the border by a hashed
+share, so no sort of the demand is needed. Members of one group with one label are alike, so a round works on
 one row for each (group, label), however many documents that is. A group beyond a chunk
 (half a shard, at most ``MAX_CHUNK``) is split into chunks by hash before anything else.
 
@@ -41,18 +41,33 @@ def _pick(values: list[int], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("long") for v in values]), at)
 
 
+def _admit(wanted: list[tuple[int, int]], left: float) -> tuple[int, float]:
+    """The least gain class of (gain, n) let in whole, and the share of the class below."""
+    whole = 64
+    for gain, n in sorted(wanted, reverse=True):
+        if n > left:
+            return gain + 1, left / n
+        left, whole = left - n, gain
+    return whole, 0.0
+
+
 def _gates(demand: list, room: list[int]) -> list[tuple[int, float]]:
-    """For each shard the least gain class let in whole, and the share of the next one."""
-    gates = []
-    for t, left in enumerate(room):
-        whole, share = 64, 0.0
-        for gain, n in sorted(((r.gain, r.n) for r in demand if r.target == t), reverse=True):
-            if n <= left:
-                left, whole = left - n, gain
-            else:
-                whole, share = gain + 1, left / n
-                break
-        gates.append((whole, share))
+    """Gates of all shards, when what leaves a shard makes room in it too.
+
+    What leaves depends on the other gates, so they are settled in a few turns.
+    """
+    shards = range(len(room))
+    out = [0.0] * len(room)
+    gates: list[tuple[int, float]] = []
+    for _ in range(12):
+        wanted: list[dict[int, int]] = [{} for _ in shards]
+        for r in demand:
+            wanted[r.target][r.gain] = wanted[r.target].get(r.gain, 0) + r.n
+        gates = [_admit(list(wanted[t].items()), room[t] + out[t]) for t in shards]
+        out = [0.0] * len(room)
+        for r in demand:
+            whole, share = gates[r.target]
+            out[r.shard] += r.n * (1.0 if r.gain >= whole else share if r.gain == whole - 1 else 0.0)
     return gates
 
 
@@ -60,18 +75,24 @@ def propagate(state: DataFrame, shards: int, quota: int, rounds: int) -> DataFra
     """Rounds of balanced label propagation over (g, shard, n)."""
     own = Window.partitionBy("g")
     for turn in range(rounds):
-        # Count, then a hash that breaks ties, then the label, packed into one long.
-        tie = F.shiftleft(F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 16)), 16)
+        # At most one row for each shard here, and one for each two shards and power of two below.
+        loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        room = [max(0, quota - loads.get(t, 0)) for t in range(shards)]
+        # Count, then a hash that breaks ties, then the label, packed into one long. In every
+        # second round labels whose shard has room come first, so that groups whose favourite
+        # is full meet elsewhere.
+        tie = F.shiftleft(F.pmod(F.xxhash64("g", "shard", F.lit(turn)), F.lit(1 << 16)), 16)
         score = F.shiftleft(F.col("n"), 32) + tie + F.col("shard")
+        if turn % 2:
+            score = score + F.when(_pick(room, F.col("shard")) > 0, F.lit(1 << 60)).otherwise(F.lit(0))
+        count = F.shiftright(F.col("top").bitwiseAND(F.lit((1 << 60) - 1)), 32)
         voted = state.withColumn("top", F.max(score).over(own)).select(
             "g", "shard", "n",
             F.col("top").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("target"),
-            F.floor(F.log2(F.shiftright("top", 32).cast("double"))).cast("int").alias("gain"),
+            F.floor(F.log2(count.cast("double"))).cast("int").alias("gain"),
         )
-        # At most one row for each shard, and one for each shard and power of two.
-        loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        demand = voted.filter("shard <> target").groupBy("target", "gain").agg(F.sum("n").alias("n")).collect()
-        gates = _gates(demand, [max(0, quota - loads.get(t, 0)) for t in range(shards)])
+        demand = voted.filter("shard <> target").groupBy("target", "shard", "gain").agg(F.sum("n").alias("n")).collect()
+        gates = _gates(demand, room)
         whole = _pick([g[0] for g in gates], F.col("target"))
         share = F.get(F.array(*[F.lit(g[1]) for g in gates]), F.col("target"))
         chance = F.pmod(F.xxhash64("g", "shard", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
