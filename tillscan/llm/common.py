@@ -34,9 +34,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tillscan-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; survives lost executors."""
+#: Rows of a narrow table that one checkpoint file should hold at least.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Materialise in the shared checkpoint folder; survives lost executors.
+
+    ``at_most`` is a known upper bound of the rows. A table that small is written by as many
+    tasks as it needs, not by one for each shuffle partition, which spares the shared
+    folder thousands of tiny files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if at_most is not None:
+        df = df.coalesce(1 + at_most // FILE_ROWS)
     return df.checkpoint(eager=True)
 
 

@@ -19,10 +19,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     pairs = pairs.filter("u <> v")
     both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    size = both.count()  # of directed edges, and so a bound of the nodes
     labels = cut(
-        both.groupBy(F.col("u").alias("node")).agg(
-            F.least(F.min("v"), F.first("u")).alias("root")
-        )
+        both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), size
     )
     while True:
         near = (
@@ -32,13 +31,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .groupBy("node")
             .agg(F.min("root").alias("root"))
         )
-        near = cut(near)
+        near = cut(near, size)
         jump = near.select(F.col("node").alias("root"), F.col("root").alias("__next"))
         old = labels.withColumnRenamed("root", "__old")
         labels = cut(
             near.join(jump, "root", "left")
             .select("node", F.least("root", F.coalesce("__next", "root")).alias("root"))
-            .join(old, "node")
+            .join(old, "node"),
+            size,
         )
         if labels.filter("root <> __old").limit(1).count() == 0:
             return labels.drop("__old")

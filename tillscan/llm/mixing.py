@@ -133,11 +133,13 @@ def mix_sizes(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFr
     ``row`` is any long that tells rows of one doc apart.
     """
     rows = cut(rows)
+    total = rows.count()
     sources = cut(
         source_targets(
             rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")),
             weights, max_repeats,
-        ).withColumn("sid", F.xxhash64(F.col("source"), F.col("source").isNull()))
+        ).withColumn("sid", F.xxhash64(F.col("source"), F.col("source").isNull())),
+        total,
     )
     seen = sources.agg(F.count("*").alias("k"), F.max("n").alias("n")).first()
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -167,7 +169,7 @@ def mix_sizes(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFr
         if last:
             done.append(flown)
             break
-        flown = cut(flown)
+        flown = cut(flown, total)
         done.append(flown.filter("p = 0 OR p = 1"))
         # Two of each bucket are left at most.
         open_ = flown.filter("p > 0 AND p < 1").withColumn("n", 2 * F.ceil(F.col("n") / BUCKET_ROWS))

@@ -71,8 +71,8 @@ def _gates(demand: list, room: list[int]) -> list[tuple[int, float]]:
     return gates
 
 
-def propagate(state: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """Rounds of balanced label propagation over (g, shard, n)."""
+def propagate(state: DataFrame, shards: int, quota: int, rounds: int, at_most: int) -> DataFrame:
+    """Rounds of balanced label propagation over (g, shard, n), of ``at_most`` rows."""
     own = Window.partitionBy("g")
     for turn in range(rounds):
         # At most one row for each shard here, and one for each two shards and power of two below.
@@ -100,7 +100,8 @@ def propagate(state: DataFrame, shards: int, quota: int, rounds: int) -> DataFra
         state = cut(
             voted.withColumn("shard", F.when(moves, F.col("target")).otherwise(F.col("shard")))
             .groupBy("g", "shard")
-            .agg(F.sum("n").alias("n"))
+            .agg(F.sum("n").alias("n")),
+            at_most,
         )
     return state
 
@@ -142,12 +143,13 @@ def shard_documents(
     marked = cut(
         rows.join(groups, ["h1", "h2"], "left").select(
             "doc", "size", "crc", F.when(F.col("parts").isNotNull(), F.xxhash64("h1", "h2", part)).alias("g")
-        )
+        ),
+        total,
     )
     linked = marked.filter("g IS NOT NULL")
     start = F.pmod(F.xxhash64("doc", F.lit("shard")), F.lit(shards)).cast("int")
-    state = cut(linked.groupBy("g", start.alias("shard")).agg(F.count("*").alias("n")))
-    state = propagate(state, shards, quota, rounds)
+    state = cut(linked.groupBy("g", start.alias("shard")).agg(F.count("*").alias("n")), total)
+    state = propagate(state, shards, quota, rounds, total)
 
     # Members take the labels of their group in order; a group has at most ``shards`` labels.
     upto = Window.partitionBy("g").orderBy("shard")
@@ -164,7 +166,7 @@ def shard_documents(
     )
     share = [quota + (s < over) for s in range(shards)]
     buckets = 1 + total // (shards * BUCKET_ROWS)
-    placed = cut(_ranked(placed, ["shard"], F.pmod("g", F.lit(buckets)), ["g", "doc", "size", "crc"]))
+    placed = cut(_ranked(placed, ["shard"], F.pmod("g", F.lit(buckets)), ["g", "doc", "size", "crc"]), total)
     fits = F.col("rank") < _pick(share, F.col("shard"))
     loads = {r.shard: r.n for r in placed.filter(fits).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     kept = [loads.get(s, 0) for s in range(shards)]
