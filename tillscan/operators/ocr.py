@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscan import dictionaries as D
 from tillscan.functions.lines import is_ocr_item, squeeze_ends
@@ -39,7 +42,7 @@ class _Row:
     """Boxes of one printed line; centre and height follow its members."""
 
     def __init__(self) -> None:
-        self.members: list = []
+        self.members: list[dict] = []
         self.center_sum = 0.0
         self.height = 0.0
 
@@ -47,51 +50,58 @@ class _Row:
         reach = max(18.0, 0.8 * min(self.height, height))
         return abs(center - self.center_sum / len(self.members)) <= reach
 
-    def add(self, box, center: float) -> None:
+    def add(self, box: dict, center: float) -> None:
         self.members.append(box)
         self.center_sum += center
-        self.height = max(self.height, box.height)
+        self.height = max(self.height, box["height"])
+
+    def line(self) -> tuple[str, float, float, float]:
+        text = " ".join(b["text"] for b in sorted(self.members, key=lambda b: b["left"])).strip()
+        return text, *(min(b[c] for b in self.members) for c in ("score", "top", "left"))
 
 
-def _fold(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["top", "left", "box_no"], kind="stable")
+def fold_page(page: list[dict]) -> list[tuple[str, float, float, float]]:
+    """Lines (text, score, top, left) of one page's boxes, which come from top to bottom.
+
+    A box joins the first row whose centre is near enough, and moves that centre.
+    """
     rows: list[_Row] = []
-    for box in page.itertuples(index=False):
-        center = box.top + box.height / 2
-        row = next((r for r in rows if r.takes(center, box.height)), None)
+    for box in page:
+        center = box["top"] + box["height"] / 2
+        row = next((r for r in rows if r.takes(center, box["height"])), None)
         if row is None:
             rows.append(row := _Row())
         row.add(box, center)
-    out = []
-    for row in rows:
-        own = sorted(row.members, key=lambda b: b.left)
-        out.append(
-            (" ".join(b.text for b in own).strip(), *(min(getattr(b, c) for b in own) for c in ("score", "top", "left")))
-        )
-    lines = pd.DataFrame(out, columns=["text", "score", "top", "left"])
-    lines = lines.sort_values(["top", "left"], kind="stable").reset_index(drop=True)
-    lines["line_no"] = range(len(lines))
-    for key in KEYS:
-        lines[key] = page[key].iloc[0]
-    return lines
+    return sorted((r.line() for r in rows), key=lambda x: (x[2], x[3]))
 
 
 def box_rows(df: DataFrame) -> DataFrame:
     """(keys, line_no, text, score, top, left): boxes merged into lines (F1, A5).
 
-    The one true fold: the centre of a row moves as boxes join, so each page and rendering
-    is a group of its own, bounded by what fits on a page.
+    The one true fold: the centre of a row moves as boxes join. A page and rendering is one
+    row (bounded by what fits on a page), and Arrow batches hold many of them, so there is
+    no call for each group.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
-    schema += ", line_no int, text string, score double, top double, left double"
-    order = [*KEYS, "line_no", "text", "score", "top", "left"]
-    need = df.select(*KEYS, "box_no", "text", "score", "top", "left", "height")
-    return need.groupBy(*KEYS).applyInPandas(lambda page: _fold(page)[order], schema)
-
-
-def has_any(text: Column, token: str) -> Column:
-    return text.contains(token).cast("int")
+    box = F.struct("top", "left", "box_no", "height", "score", "text")
+    pages = df.groupBy(*KEYS).agg(F.sort_array(F.collect_list(box)).alias("page_boxes"))
+    line = T.StructType(
+        [T.StructField("text", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("score", "top", "left"))]
+    )
+    schema = T.StructType([pages.schema[k] for k in KEYS] + [T.StructField("lines", T.ArrayType(line))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("text", pa.string()), *((c, pa.float64()) for c in ("score", "top", "left"))]))
+        for batch in batches:
+            lines = [
+                [dict(zip(("text", "score", "top", "left"), x, strict=True)) for x in fold_page(p)]
+                for p in batch.column("page_boxes").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in KEYS), pa.array(lines, kind)], names=[*KEYS, "lines"]
+            )
+
+    merged = pages.mapInArrow(run, schema).select(*KEYS, F.posexplode("lines").alias("line_no", "l"))
+    return merged.select(*KEYS, "line_no", "l.text", "l.score", "l.top", "l.left")
 
 
 def score_texts(lines: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
