@@ -14,13 +14,12 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("receipt_id"), F.col("value").alias("raw_text"))
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, content, message) of image and PDF files.
+def uploads(files: DataFrame) -> DataFrame:
+    """(path, kind, content, message) of files (path, length, content).
 
     ``kind`` is ``pdf`` by the suffix, else ``image``; an empty file has a message instead
     of a result.
     """
-    files = spark.read.format("binaryFile").load(path)
     return files.select(
         "path",
         F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("image").alias("kind"),
@@ -29,6 +28,11 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """Uploads from a folder. Spark's file sources pass over empty files by themselves."""
+    return uploads(spark.read.format("binaryFile").load(path))
+
+
 OCR_REPLY = "error string, text string, variant string, lines array<struct<text:string,score:double,top:double,left:double>>"
 
 
