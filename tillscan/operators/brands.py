@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
-from tillscan.functions.text import any_of, compact, clean_brand, dict_norm, let, letters, norm, title_case
+from tillscan.functions.text import any_of, clean_brand, compact, dict_norm, fold, let, letters, norm, title_case
 from tillscan.sources.dictionaries import Alias
 
 
@@ -58,27 +58,24 @@ def remove_brand(description: Column, brand: Column, alias: Column) -> Column:
     the next word is cut off. If nothing is left, the description stays.
     """
 
-    def strip(words: Column) -> Column:
-        forms = F.transform(words, lambda w: compact(norm(w)))
+    # Normal forms of the words, without their spaces: one pass over the whole description.
+    forms = F.split(F.regexp_replace(fold(description), "[^a-z0-9/ ]", ""), " ")
+    known = F.struct(F.split(description, " ").alias("words"), forms.alias("forms"), compact(alias).alias("c"))
 
-        def cut(c: Column) -> Column:
-            starts = F.array_join(forms, "").startswith(c)
-            whole = F.filter(
-                F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(forms, 1, k), "") == c
-            )
-            gone = F.when(starts, F.coalesce(F.get(whole, 0), F.size(words))).otherwise(0)
-            return let(F.slice(words, gone + 1, F.size(words)), lambda rest: _unglued(rest, c))
+    def strip(x: Column) -> Column:
+        words, forms, c = x["words"], x["forms"], x["c"]
+        whole = F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(forms, 1, k), "") == c)
+        gone = F.when(F.array_join(forms, "").startswith(c), F.coalesce(F.get(whole, 0), F.size(words))).otherwise(0)
+        return let(gone, lambda k: _unglued(F.slice(words, k + 1, F.size(words)), F.get(forms, k), c))
 
-        return let(compact(alias), cut)
+    left = F.trim(F.array_join(let(known, strip), " "))
+    untouched = (F.trim(alias) == "") | (brand == D.NO_BRAND)
+    return F.when(untouched, description).otherwise(F.coalesce(F.nullif(left, F.lit("")), description))
 
-    left = F.trim(F.array_join(let(F.split(description, " "), strip), " "))
-    untouched = (F.trim(alias) == "") | (brand == D.NO_BRAND) | (left == "")
-    return F.when(untouched, description).otherwise(left)
 
-
-def _unglued(words: Column, alias: Column) -> Column:
+def _unglued(words: Column, form: Column, alias: Column) -> Column:
+    """``words`` without an alias that the first one (of normal form ``form``) begins with."""
     first = F.get(words, 0)
-    form = compact(norm(first))
     glued = form.startswith(alias) & (F.length(form) > F.length(alias))
     suffix = F.substr(first, F.length(alias) + 1)
     rest = F.slice(words, 2, F.size(words))
