@@ -194,14 +194,15 @@ def mix_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken."""
-    taken = mix_sizes(_rows(df, id_col, text_col, source_col)).groupBy("doc", "row")
+    taken = mix_sizes(_rows(df, id_col, text_col, source_col))
+    taken = taken.groupBy(F.col("doc").alias("__taken_doc"), F.col("row").alias("__taken_row"))
     taken = taken.agg(F.sum("copies").cast("int").alias("__copies")).filter("__copies > 0")
     keyed = df.withColumns(
         {"__doc": F.col(id_col).cast("long"), "__row": F.xxhash64(*[F.col(c) for c in df.columns])}
     )
     # Rows alike in every column are one row here; the sum above counts their copies.
     keyed = keyed.dropDuplicates(["__row", "__doc"])
-    same = F.col("__row").eqNullSafe(F.col("row")) & F.col("__doc").eqNullSafe(F.col("doc"))
+    same = F.col("__row").eqNullSafe(F.col("__taken_row")) & F.col("__doc").eqNullSafe(F.col("__taken_doc"))
     return (
         keyed.join(taken, same)
         .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
