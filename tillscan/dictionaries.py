@@ -11,8 +11,8 @@ from __future__ import annotations
 STOP_WORDS = ("subtotal", "total", "recibi", "cambio", "tarjeta", "efectivo")
 
 METADATA_WORDS = (
-    "cuit", "direccion", "responsable", "consumidor", "actividad", "fecha", "hora", "nro",
-    "iva", "pv", "tique", "seshia", "orientacion", "transparencia", "fiscal", "regimen",
+    "cuit", "direccion", "responsable", "consumidor", "actividad", "fecha", "hora", "nro", "ing.",
+    "iva", "cod.", "pv", "tique", "seshia", "orientacion", "transparencia", "fiscal", "regimen",
     "afip", "cliente", "cantidad", "descripcion", "importe", "whatsapp", "ticket", "lunes",
     "sabados", "gracias", "onsumidor",
 )
@@ -131,18 +131,26 @@ EMPTY_TEXT_MESSAGE = "PaddleOCR no detecto texto util en la factura."
 OCR_ERROR_PREFIX = "PaddleOCR fallo: "
 
 # --- Fixed values: formats, as patterns -----------------------------------------------------
-_GROUPED = r"\d+(?:[\.,]\d{3})*"
-PLAIN_AMOUNT = _GROUPED + r"[\.,]\d{2}"
-AMOUNT = (
-    r"(?:\$\s*\d+[\.,]\d{5}|\$\s*" + _GROUPED + r"(?:[\.,]\d{2})?|" + PLAIN_AMOUNT + r")(?!\d)"
-)
-PRICE_AT_END = r"(.+?)\s+(" + PLAIN_AMOUNT + r")$"
-PRICE_ONLY = "^" + PLAIN_AMOUNT + "$"
-SPECIAL_LINE = r"(?i)^.*?(PUNTA\s+DE\s+AGUA\s+CR\s*\*?\s*1UN)\s+(" + PLAIN_AMOUNT + r").*$"
-TIMES_AMOUNT = r"(?i)\b(\d+)\s*[xX]\s*(" + PLAIN_AMOUNT + r")\b"
-TIMES_COUNT = r"(?i)\bx\s*(\d{1,2})\b"
 DATE = r"(\d{1,2}\s*[/-]\s*\d{1,2}(?:\s*[/-]\s*\d{2,4})?)"
+AMOUNT = r"(?:\$\s*\d+[\.,]\d{5}|\$\s*\d+(?:[\.,]\d{3})*(?:[\.,]\d{2})?|\d+(?:[\.,]\d{3})*[\.,]\d{2})(?!\d)"
+PRICE_AT_END = r"(.+?)\s+(\d+(?:[\.,]\d{3})*[\.,]\d{2})$"
+SPECIAL_LINE = r"(?i)^.*?(PUNTA\s+DE\s+AGUA\s+CR\s*\*?\s*1UN)\s+(\d+(?:[\.,]\d{3})*[\.,]\d{2}).*$"
+PRICE_ONLY = r"^(\d+(?:[\.,]\d{3})*[\.,]\d{2})$"
+TIMES_AMOUNT = r"(?i)\b(\d+)\s*[xX]\s*(\d+(?:[\.,]\d{3})*[\.,]\d{2})\b"
+TIMES_COUNT = r"(?i)\bx\s*(\d{1,2})\b"
 VERSION_LINE = r"^v ?\d+(?: \d+)?$"
-SPECS = r"(?i)\b(?:x\d+[a-z]*|\d+(?:[a-z]+)?)\b"
+WEIGHT_LINE = r"^[0-9 kg]+$"
+COUNT_BEFORE = r"(?i)^\s*\d+(?:[\.,]\d+)?\s*x\s*"
+COUNT_AFTER = r"(?i)\s+\d+(?:[\.,]\d+)?\s*x\s*$"
+LONG_DECIMALS = r"\b\d+[\.,]\d{3,4}\b"
+UNIT_PRICE_LABEL = r"(?i)\bprecio\s+unit\b"
+LEADING_NUMBER = r"(?i)^\s*\d+\s+"
+UNITS = r"(?i)\b\d+x\b"
+GRAMS_AND_KILOGRAMS = r"(?i)\b\d+g?\s*\d+(?:[\.,]\d+)?\s*kg\b"
+ONLY_KILOGRAMS = r"(?i)\b\d+(?:[\.,]\d+)?\s*kg\b"
+NAMED_UNITS = r"(?i)\s+(\d+)x\s*$"
 TRAILING_UNITS = r"(?i)\b(\d+)x\s*$"
 KILOGRAMS = r"(?i)(\d+(?:[\.,]\d+)?)\s*kg\b"
+GLUED_SIZE = r"(?i)([a-z])x(\d)"
+TRAILING_TAX_RATE = r"(?i)\s*\(?\b21\)?\s*$"
+SPECS = r"(?i)\b(?:x\d+[a-z]*|\d+(?:[a-z]+)?)\b"

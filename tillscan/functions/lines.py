@@ -51,7 +51,7 @@ def is_app_product(line: Column, n: Column) -> Column:
     return (
         (F.length(line) >= 5)
         & ~has_metadata(n)
-        & ~n.rlike("^[0-9 kg]+$")
+        & ~n.rlike(D.WEIGHT_LINE)
         & ~any_of(n, D.APP_PROMOTIONS)
         & (letters(line) >= 4)
     )

@@ -10,6 +10,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillscan import dictionaries as D
+
 #: Java's notion of a blank character beyond those that ``trim`` removes.
 BLANK = r"^[\s\x1c-\x1f  -  -    　]*$"
 
@@ -29,9 +31,14 @@ def accent_table() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents, composed or decomposed."""
+    """Lower case without accents, composed or decomposed.
+
+    Text of as many bytes as characters is ASCII and takes the short way.
+    """
     source, target = accent_table()
-    return F.regexp_replace(F.translate(F.lower(text), source, target), r"\p{M}+", "")
+    small = F.lower(text)
+    bare = F.regexp_replace(F.translate(small, source, target), r"\p{M}+", "")
+    return F.when(F.octet_length(text) == F.length(text), small).otherwise(bare)
 
 
 def trim_controls(text: Column) -> Column:
@@ -71,9 +78,9 @@ def title_case(text: Column) -> Column:
 def beautify(text: Column) -> Column:
     """A raw description for people."""
     out = F.translate(clean_noise(text), "*_.", "   ")
-    out = F.regexp_replace(out, r"(?i)([a-z])x(\d)", "$1 X$2")
+    out = F.regexp_replace(out, D.GLUED_SIZE, "$1 X$2")
     out = F.translate(out, "€§°", "CSo")
-    out = F.regexp_replace(out, r"(?i)\s*\(?\b21\)?\s*$", "")
+    out = F.regexp_replace(out, D.TRAILING_TAX_RATE, "")
     return title_case(squeeze(out))
 
 
@@ -94,9 +101,7 @@ def any_of(text: Column, words: Iterable[str]) -> Column:
 
 def specs(text: Column) -> Column:
     """Sizes and counts named in a description, in order."""
-    from tillscan.dictionaries import SPECS
-
-    return F.lower(F.array_join(F.regexp_extract_all(text, F.lit(SPECS), F.lit(0)), " "))
+    return F.lower(F.array_join(F.regexp_extract_all(text, F.lit(D.SPECS), F.lit(0)), " "))
 
 
 def let(value: Column, body) -> Column:

@@ -86,7 +86,11 @@ def headed(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] |
             "cleans": F.transform("lines", lambda x: clean_noise(x)),
         }
     )
-    out = out.withColumn("clean_norms", F.transform("cleans", lambda x: norm(x)))
+    # Cleaning changes the normal form of a line only where it turns a bar into a letter.
+    norms = F.transform(
+        "cleans", lambda x, i: F.when(F.get(F.col("lines"), i).contains("|"), norm(x)).otherwise(F.get(F.col("__norms"), i))
+    )
+    out = out.withColumn("clean_norms", norms)
     by_line = _first(F.transform("__norms", lambda x: mapped_store(x, stores)))
     out = out.withColumns(
         {

@@ -40,10 +40,10 @@ def _squeezed(text: Column) -> Column:
 def money_description(line: Column) -> Column:
     """A line without amounts, counts before or after, weights and unit labels."""
     out = A.without_amounts(line)
-    out = F.regexp_replace(out, r"(?i)^\s*\d+(?:[.,]\d+)?\s*x\s*", "")
-    out = F.regexp_replace(out, r"(?i)\s+\d+(?:[.,]\d+)?\s*x\s*$", "")
-    out = F.regexp_replace(out, r"\b\d+[.,]\d{3,4}\b", " ")
-    return _squeezed(F.regexp_replace(out, r"(?i)\bprecio\s+unit\b", " "))
+    out = F.regexp_replace(out, D.COUNT_BEFORE, "")
+    out = F.regexp_replace(out, D.COUNT_AFTER, "")
+    out = F.regexp_replace(out, D.LONG_DECIMALS, " ")
+    return _squeezed(F.regexp_replace(out, D.UNIT_PRICE_LABEL, " "))
 
 
 def standard_item(line: Column, n: Column, following: Column) -> Column:
@@ -81,17 +81,15 @@ def standard_item(line: Column, n: Column, following: Column) -> Column:
 
 def inline_description(line: Column) -> Column:
     """The name in an app line that holds a whole item."""
-    out = _squeezed(F.regexp_replace(A.without_amounts(line), r"^\s*\d+\s+", ""))
-    units = F.regexp_replace(out, r"(?i)\b\d+x\b", " ")
-    weights = F.regexp_replace(out, r"(?i)\b\d+g?\s*\d+(?:[.,]\d+)?\s*kg\b", " ")
-    weights = F.regexp_replace(weights, r"(?i)\b\d+(?:[.,]\d+)?\s*kg\b", " ")
+    out = _squeezed(F.regexp_replace(A.without_amounts(line), D.LEADING_NUMBER, ""))
+    units = F.regexp_replace(out, D.UNITS, " ")
+    weights = F.regexp_replace(out, D.GRAMS_AND_KILOGRAMS, " ")
+    weights = F.regexp_replace(weights, D.ONLY_KILOGRAMS, " ")
     return _squeezed(F.when(line.rlike(D.TRAILING_UNITS), units).otherwise(weights))
 
 
 def app_item(line: Column, n: Column, ahead: Sequence[Column]) -> Column:
     """The item that starts on a line of the app layout, or null."""
-    units = r"(?i)\s+(\d+)x\s*$"
-
     def whole(price: Column) -> Column:
         return F.when(
             price.isNotNull(),
@@ -104,8 +102,8 @@ def app_item(line: Column, n: Column, ahead: Sequence[Column]) -> Column:
         )
 
     def started(price: Column) -> Column:
-        name = F.when(line.rlike(units), F.trim(F.regexp_replace(line, units, ""))).otherwise(line)
-        named = F.nullif(F.regexp_extract(line, units, 1), F.lit(""))
+        name = F.when(line.rlike(D.NAMED_UNITS), F.trim(F.regexp_replace(line, D.NAMED_UNITS, ""))).otherwise(line)
+        named = F.nullif(F.regexp_extract(line, D.NAMED_UNITS, 1), F.lit(""))
         quantity = F.coalesce(named, *[A.app_quantity(x) for x in ahead], F.lit("1"))
         return F.when(price.isNotNull(), _item(name, price, quantity))
 

@@ -21,13 +21,12 @@ from tillscan.operators import export as E
 from tillscan.operators import header as H
 from tillscan.operators import ocr as O
 from tillscan.operators.items import raw_items, receipt_items
-from tillscan.operators.lines import receipt_lines, split_lines
+from tillscan.operators.lines import receipt_lines
 from tillscan.operators.products import expand_product
 from tillscan.plans import rendered as R
 from tillscan.plans.parse import parse
 from tillscan.sinks.writers import catalog_json
 from tillscan.sources.dictionaries import (
-    StoreAlias,
     brand_alias_table,
     brand_aliases,
     product_rules,
@@ -51,7 +50,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def _alternation(words) -> str:
-    return "|".join(words)
+    return "|".join(w.replace(".", "\\.") for w in words)
 
 
 # --- Pieces of SQL --------------------------------------------------------------------------
@@ -98,7 +97,7 @@ _PRICE_ONLY = r"'^\d+([.,]\d{3})*[.,]\d{2}$'"
 
 
 def _doc_lines(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
-    docs = R.table(spark, sf_dir, name)
+    docs = R.spread(R.table(spark, sf_dir, name))
     return receipt_lines(docs.select(F.col(key).alias("receipt_id"), F.col(text).alias("raw_text")))
 
 
@@ -242,7 +241,7 @@ def line_split(spark, sf_dir):
 @query(f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents")
 def normalize_text(spark, sf_dir):
     """N1"""
-    return R.table(spark, sf_dir, "documents").select("doc_id", X.norm(F.col("text")).alias("norm"))
+    return R.spread(R.table(spark, sf_dir, "documents")).select("doc_id", X.norm(F.col("text")).alias("norm"))
 
 
 @query(
@@ -251,7 +250,7 @@ FROM conversations"""
 )
 def compact_text(spark, sf_dir):
     """N2, N3"""
-    rows = R.table(spark, sf_dir, "conversations")
+    rows = R.spread(R.table(spark, sf_dir, "conversations"))
     n = X.dict_norm(F.col("text"))
     return rows.select("conv_id", "turn", n.alias("norm"), X.compact(n).alias("compact"))
 
@@ -259,7 +258,7 @@ def compact_text(spark, sf_dir):
 @query(f"SELECT page_id, {_CLEAN.format('html')} AS clean FROM pages")
 def clean_noise(spark, sf_dir):
     """N4"""
-    return R.table(spark, sf_dir, "pages").select("page_id", X.clean_noise(F.col("html")).alias("clean"))
+    return R.spread(R.table(spark, sf_dir, "pages")).select("page_id", X.clean_noise(F.col("html")).alias("clean"))
 
 
 @query(
@@ -289,7 +288,7 @@ def beautify(spark, sf_dir):
 @query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::INT AS letters FROM documents")
 def letter_count(spark, sf_dir):
     """N11"""
-    return R.table(spark, sf_dir, "documents").select("doc_id", X.letters(F.col("text")).alias("letters"))
+    return R.spread(R.table(spark, sf_dir, "documents")).select("doc_id", X.letters(F.col("text")).alias("letters"))
 
 
 @query(
@@ -368,7 +367,7 @@ FROM lineitem
 )
 def amounts_parsed(spark, sf_dir):
     """Every way of writing an amount."""
-    rows = R.table(spark, sf_dir, "lineitem")
+    rows = R.spread(R.table(spark, sf_dir, "lineitem"))
     x = F.col("l_extendedprice")
     cents = F.round(x * 100).cast("long")
     lost = F.concat(F.lit("$"), F.floor(cents / 100000), F.lit("."), F.lpad((cents % 100000).cast("string"), 5, "0"))
@@ -394,7 +393,7 @@ FROM lineitem
 def unit_price_text(spark, sf_dir):
     """M2, M5"""
     unit = A.unit_price(F.col("l_extendedprice"), F.col("l_quantity"))
-    return R.table(spark, sf_dir, "lineitem").select(
+    return R.spread(R.table(spark, sf_dir, "lineitem")).select(
         *_ID, unit.alias("unit_price"), A.format_amount(unit).alias("unit_price_text")
     )
 
@@ -403,7 +402,7 @@ def unit_price_text(spark, sf_dir):
 def quantity_detect(spark, sf_dir):
     """X8"""
     q = F.col("l_quantity").cast("int").cast("string")
-    return R.table(spark, sf_dir, "lineitem").select(
+    return R.spread(R.table(spark, sf_dir, "lineitem")).select(
         *_ID,
         A.quantity(F.concat(F.lit("JABON X"), q)).alias("by_count"),
         A.quantity(F.concat(q, F.lit(" x "), R.comma(F.col("l_extendedprice")), F.lit(" JABON X7"))).alias("by_amount"),
@@ -422,7 +421,7 @@ def app_quantity(spark, sf_dir):
     """X7, M4"""
     q = F.col("l_quantity").cast("int").cast("string")
     weight = A.app_quantity(F.concat(F.lit("1kg "), q, F.lit(",5 kg")))
-    return R.table(spark, sf_dir, "lineitem").select(
+    return R.spread(R.table(spark, sf_dir, "lineitem")).select(
         *_ID,
         A.app_quantity(F.concat(F.lit("Papas 2 kg "), q, F.lit("x"))).alias("units"),
         weight.alias("weight"),
@@ -478,7 +477,7 @@ def date_normalize(spark, sf_dir):
     """What is no date stays as it is."""
     day = F.add_months(F.to_date("o_orderdate"), 240)
     text = F.date_format(day, "dd-MM-yyyy")
-    return R.table(spark, sf_dir, "orders").select(
+    return R.spread(R.table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("receipt_id"),
         normalize_date(text, R.AS_OF).alias("normal"),
         normalize_date(F.concat(F.lit("x"), F.col("o_orderkey")), R.AS_OF).alias("kept"),
@@ -874,7 +873,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("gray-original").alias("variant"),
         )
     )
-    return R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt_id"), reply.alias("reply"))
+    return R.spread(R.table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("receipt_id"), reply.alias("reply"))
 
 
 @query(
@@ -902,10 +901,7 @@ def reply_rejects(spark, sf_dir):
 )
 def page_join(spark, sf_dir):
     """S3, A3: pages of a document in order, a blank line between."""
-    pages = R.table(spark, sf_dir, "documents").select(
+    pages = R.spread(R.table(spark, sf_dir, "documents")).select(
         F.floor(F.col("doc_id") / 5).alias("receipt_id"), F.col("doc_id").alias("page"), "text"
     )
     return join_pages(pages)
-
-
-__all__ = ["QUERIES", "SQL", "StoreAlias", "split_lines"]

@@ -18,6 +18,16 @@ ITEM_ORDER = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, where the input has too few parts to keep them busy.
+
+    Parsing is far more work than moving a text, but a table of one file and one row group
+    is one task. Large inputs have parts enough and are left as they are.
+    """
+    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +59,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _receipts(orders: DataFrame, head: Column, body: Column, foot: Column) -> DataFrame:
     text = F.array_join(F.concat(head, F.flatten(body), foot), "\n")
-    return orders.select(F.col("o_orderkey").alias("receipt_id"), text.alias("raw_text"))
+    return spread(orders.select(F.col("o_orderkey").alias("receipt_id"), text.alias("raw_text")))
 
 
 def date_line(years: int = YEARS, pattern: str = "dd/MM/yyyy") -> Column:
@@ -112,5 +122,5 @@ def app_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bare(spark: SparkSession, sf_dir: str, lines: Column) -> DataFrame:
     """One receipt for each order with the given lines (an array of strings)."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     return orders.select(F.col("o_orderkey").alias("receipt_id"), F.array_join(lines, "\n").alias("raw_text"))
