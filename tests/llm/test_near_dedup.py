@@ -85,6 +85,27 @@ def test_odd_rows(spark):
     assert near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_large_clusters_lose_no_link(spark, monkeypatch):
+    """A base, noisy copies of it, and copies of the noisiest ones that only tie to those."""
+    from tillscan.llm import near_dedup
+
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        w = list(base)
+        for _ in range(k % 12):
+            w[draw.randrange(150)] = f"n{draw.randrange(10**6)}"
+        texts.append(" ".join(w))
+        if k % 12 > 8:
+            w[0] = f"m{k}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    draw.shuffle(rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 7)
+    assert classes(spark, rows) == brute_classes(rows)
+
+
 def test_one_of_each_stays(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, None, "z"), (4, "", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, node string")

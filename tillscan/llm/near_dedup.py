@@ -12,9 +12,10 @@
 3. Texts that agree in all rows of a band are joined to the least text of the bucket, and
    connected components over these stars give candidate clusters, which hold every pair
    that shares a bucket. No pairs within a bucket are made.
-4. Every pair of different texts within a candidate cluster is compared exactly, by
-   postings, in blocks of bounded size: a cluster beyond one block is spread over all
-   pairs of its blocks. Each block returns a spanning forest of its links only.
+4. Pairs of different texts within a candidate cluster are compared exactly, by postings.
+   A cluster beyond one block is thinned first without losing a link (``_large_links``),
+   and the rest is compared with all in pairs of bounded blocks. Each block returns a
+   spanning forest of its links only.
 5. Connected components over the links are the classes.
 
 With 32 bands of 6 rows a pair at similarity 0.8 shares no bucket with a chance of 6e-5
@@ -23,7 +24,8 @@ With 32 bands of 6 rows a pair at similarity 0.8 shares no bucket with a chance
 Defined cases: null and empty texts are one group of exact copies (empty equals null); a
 text of fewer than five words has one shingle, all its words; texts without words are
 alike only if equal; a null ``doc_id`` sorts first and returns as null; repeated rows are
-copies of each other; columns that carry the name of a result column are replaced; an
+copies of each other; rows that share an id but not a text are told apart by their text, and
+texts that have the same least id are one class; columns that carry the name of a result column are replaced; an
 empty table gives an empty result.
 """
 
@@ -171,36 +173,147 @@ def similar_pairs(
             yield i, hit
 
 
-def _links(width: int, threshold: float):
-    """Links within a block, or between two blocks, as a spanning forest."""
+def _forest(pairs: Iterator[tuple[int, np.ndarray]], left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """The links among those pairs that tie nodes not tied before."""
+    root = {x: x for x in (*left.tolist(), *right.tolist())}
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found = []
+    for at, hits in pairs:
+        a = int(left[at])
+        for b in right[hits].tolist():
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.append((a, b))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _sets(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    return (*shingles(rows["text"].tolist(), width)[:2], len(rows))
+
+
+def _links_within(width: int, threshold: float):
+    """Links among all texts of a small cluster."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["node", "text"]).sort_values("node", kind="stable")
-        parts = [rows[rows["block"] == x] for x in ((i,) if i == j else (i, j))]
-        sets = [shingles(p["text"].tolist(), width)[:2] + (len(p),) for p in parts]
-        nodes = [p["node"].to_numpy() for p in parts]
-        root = {x: x for own in nodes for x in own.tolist()}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        found = []
-        for at, hits in similar_pairs(sets[0], sets[-1], threshold, i == j):
-            a = int(nodes[0][at])
-            for b in nodes[-1][hits].tolist():
-                x, y = find(a), find(b)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    found.append((a, b))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        own, nodes = _sets(rows, width), rows["node"].to_numpy()
+        return _forest(similar_pairs(own, own, threshold, True), nodes, nodes)
 
     return run
 
 
+def _links_between(width: int, threshold: float):
+    """Links from the texts of one block that are left over to those of another block."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["left", "node", "text"]).sort_values("node", kind="stable")
+        left, right = rows[rows["left"]], rows[~rows["left"]]
+        pairs = similar_pairs(_sets(left, width), _sets(right, width), threshold, False)
+        return _forest(pairs, left["node"].to_numpy(), right["node"].to_numpy())
+
+    return run
+
+
+def _explode_shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "node", "h")]
+            for b in range(0, len(texts), 500):
+                doc, element, _ = shingles(texts[b : b + 500], width)
+                size = np.bincount(doc, minlength=len(texts[b : b + 500]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[b + doc]) for x in ids), pa.array(element.astype(np.int64)), pa.array(size[doc])],
+                    names=["cluster", "node", "h", "shingle", "size"],
+                )
+
+    return run
+
+
+def _near_pivot(width: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            near = []
+            for text, pivot in zip(batch.column("text").to_pylist(), batch.column("pivot_text").to_pylist(), strict=True):
+                if pivot not in known:
+                    known.clear()  # pivots come in runs
+                    known[pivot] = shingles([pivot], width)[1]
+                own, other = shingles([text], width)[1], known[pivot]
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                near.append(common >= threshold * (len(own) + len(other) - common) - 1e-9)
+            names = ["cluster", "node", "h", "text", "pivot"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(near, pa.bool_())], names=[*names, "near"]
+            )
+
+    return run
+
+
+def _large_links(big: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links of clusters beyond one block, from (cluster, node, text).
+
+    A text with fewer than ``threshold`` of its shingles in any other text of its cluster
+    ties to none of them, whatever they are, and is left out: that is most of a large group
+    of noisy copies. Of the others, those near the cluster's most typical text (its pivot)
+    are tied by it. Only the rest is compared with all, in blocks.
+    """
+    big = cut(big.withColumn("h", F.xxhash64("text")))
+    kinds = "cluster long, node long, h long, shingle long, size long"
+    alone = (
+        big.mapInArrow(_explode_shingles(width), kinds)
+        .groupBy("cluster", "shingle")
+        .agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("h").alias("h"), F.min("size").alias("size"))
+        .filter("n = 1")
+        .groupBy("cluster", "node", "h")
+        .agg(F.count("*").alias("alone"), F.min("size").alias("size"))
+    )
+    able = (
+        big.join(alone, ["cluster", "node", "h"], "left")
+        .withColumn("alone", F.coalesce("alone", F.lit(0)))
+        .filter(F.col("size").isNull() | (F.col("size") - F.col("alone") >= threshold * F.col("size") - 1e-9))
+    )
+    able = cut(able.select("cluster", "node", "h", "text", "alone"))
+    head = able.groupBy("cluster").agg(F.min_by(F.struct("node", "h"), F.struct("alone", "node", "h")).alias("p"))
+    pivots = able.join(
+        head.select("cluster", F.col("p.node").alias("node"), F.col("p.h").alias("h")), ["cluster", "node", "h"]
+    ).select("cluster", F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    starred = cut(
+        able.join(pivots.dropDuplicates(["cluster"]), "cluster")
+        .select("cluster", "node", "h", "text", "pivot", "pivot_text")
+        .mapInArrow(_near_pivot(width, threshold), "cluster long, node long, h long, text string, pivot long, near boolean")
+    )
+    blocks = [
+        F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+        for n, size in (
+            (F.count_if(~F.col("near")), F.coalesce(F.sum(F.when(~F.col("near"), F.octet_length("text"))), F.lit(0))),
+            (F.count("*"), F.sum(F.octet_length("text"))),
+        )
+    ]
+    sized = starred.groupBy("cluster").agg(blocks[0].alias("ni"), blocks[1].alias("nj"))
+    placed = starred.join(sized, "cluster")
+    columns = ["cluster", "i", "j", "left", "node", "text"]
+    i, j = F.pmod("h", F.col("ni")).cast("int"), F.pmod("h", F.col("nj")).cast("int")
+    rest = placed.filter("NOT near").select(
+        "*", F.lit(True).alias("left"), i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j")
+    )
+    every = placed.select(
+        "*", F.lit(False).alias("left"), j.alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i")
+    )
+    both = rest.select(*columns).unionByName(every.select(*columns))
+    # Else the join's partitioning by cluster would do, and one task get all its blocks.
+    both = both.repartition("cluster", "i", "j")
+    far = both.groupBy("cluster", "i", "j").applyInPandas(_links_between(width, threshold), "a long, b long")
+    return starred.filter("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionByName(far)
+
+
 def near_classes(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -238,26 +351,19 @@ def near_classes(
     )
     stars = keyed.join(heads, "key").filter("node <> head").select("node", "head").distinct()
     clusters = components(stars, "node", "head")
-    member = base.select("doc", "text").join(
-        clusters.select(F.col("node").alias("doc"), F.col("root").alias("cluster")), "doc"
-    )
-    sized = cut(
-        member.groupBy("cluster").agg(
-            F.greatest(
-                F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)
-            ).cast("int").alias("blocks")
-        )
+    placed = clusters.select("node", F.col("root").alias("cluster")).join(texts.select("node", "h1", "h2"), "node")
+    member = base.withColumnRenamed("doc", "node").join(placed, ["node", "h1", "h2"])
+    member = member.select("cluster", "node", "text")
+    sized = member.groupBy("cluster").agg(
+        F.greatest(
+            F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)
+        ).alias("blocks")
     )
-    at = F.pmod(F.xxhash64("doc", "text"), F.col("blocks")).cast("int")
-    blocked = member.join(sized, "cluster").withColumn("block", at)
-    spread = blocked.select(
-        "cluster", "block", F.col("doc").alias("node"), "text",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "text",
-    )
-    links = spread.groupBy("cluster", "i", "j").applyInPandas(_links(width, threshold), "a long, b long")
+    large = cut(sized.filter("blocks > 1").select("cluster"))
+    small = member.join(large, "cluster", "left_anti") if large.limit(1).count() else member
+    links = small.groupBy("cluster").applyInPandas(_links_within(width, threshold), "a long, b long")
+    if large.limit(1).count():
+        links = links.unionByName(_large_links(member.join(large, "cluster", "left_semi"), width, threshold))
     roots = components(links)
     near = texts.join(roots, "node", "left").select(
         "h1", "h2", F.coalesce("root", "node").alias("class")
