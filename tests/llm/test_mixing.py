@@ -35,7 +35,7 @@ def corpus(n=600, seed=1):
 
 def mixed(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    return mix_sizes(_rows(df, "doc_id", "text", "source").withColumnRenamed("source", "source"))
+    return mix_sizes(_rows(df, "doc_id", "text", "source"))
 
 
 @pytest.mark.parametrize("bucket", [4000, 8])
