@@ -11,22 +11,31 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST = -(2**63)
 
 
-def brute(rows, span=3, min_words=10):
+def runs(own, span, min_words):
+    """(first, last, words) of the shortest run from every piece with a word."""
+    words = [WORD.findall(p) for p in own]
+    for i in range(len(own)):
+        for j in range(i + span - 1, len(own)):
+            run = tuple(w for p in words[i : j + 1] for w in p)
+            if len(run) >= min_words:
+                if words[i]:
+                    yield i, j, run
+                break
+
+
+def brute(rows, span=2, min_words=20):
     first = {}
     pieces = [sentences(t or "") for _, t in rows]
     order = sorted(range(len(rows)), key=lambda i: LEAST if rows[i][0] is None else rows[i][0])
     for i in order:
-        for p in range(len(pieces[i]) - span + 1):
-            words = tuple(WORD.findall("".join(pieces[i][p : p + span])))
-            if len(words) >= min_words:
-                first.setdefault(words, (rows[i][0], p))
+        for p, _, run in runs(pieces[i], span, min_words):
+            first.setdefault(run, (rows[i][0], p))
     out = []
     for (doc, _), own in zip(rows, pieces, strict=True):
         gone = set()
-        for p in range(len(own) - span + 1):
-            words = tuple(WORD.findall("".join(own[p : p + span])))
-            if len(words) >= min_words and first[words] != (doc, p):
-                gone |= set(range(p, p + span))
+        for p, q, run in runs(own, span, min_words):
+            if first[run] != (doc, p):
+                gone |= set(range(p, q + 1))
         out.append((doc, len(own), len(gone), "".join(s for p, s in enumerate(own) if p not in gone)))
     return sorted(out, key=str)
 
@@ -62,9 +71,29 @@ def test_a_passage_without_stops_is_found(spark):
     assert got[2].text == "Other words, all new."
 
 
+def test_passages_inside_sentences_are_found(spark):
+    """Over 50 words put into the middle of other texts, at any word."""
+    draw = random.Random(4)
+
+    def words(n):
+        return [f"v{draw.randrange(50000)}" + draw.choice(["", "", "", "", "", "", "", "."]) for _ in range(n)]
+
+    rows, n = [], 60
+    for i in range(n):
+        passage = words(draw.randint(51, 60))
+        for k in (0, 1):
+            text = words(200)
+            at = draw.randrange(200)
+            rows.append((2 * i + k, " ".join(text[:at] + passage + text[at:])))
+    got = {r.doc_id: r.n_removed_words for r in dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == 0 for i in range(n))
+    assert sum(got[2 * i + 1] >= 20 for i in range(n)) >= 0.95 * n
+
+
 def test_pieces_make_up_the_text():
     for _, text in corpus():
         assert "".join(sentences(text or "")) == (text or "")
+    assert sentences("") == sentences(" \n") == [] and sentences(" a. b?)\n\nc") == [" a. ", "b?)\n\n", "c"]
     assert "".join(sentences("x" * 100 + "!" * 5000 + "y" + " a" * 99)) == "x" * 100 + "!" * 5000 + "y" + " a" * 99
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -34,25 +35,42 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` in order, and the count for each text."""
+@dataclass
+class Words:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of texts, in order; texts are joined by line feeds."""
+
+    data: np.ndarray  # UTF-8 of all texts, a line feed behind each
+    ends: np.ndarray  # behind each text and its line feed
+    starts: np.ndarray  # of words in ``data``
+    stops: np.ndarray
+    counts: np.ndarray  # words of each text
+    hashes: np.ndarray
+
+
+def split_words(texts: Sequence[str]) -> Words:
+    """Find and hash all words."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    joined = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
     ends = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
-    inside = ~_WHITE[joined]
+    inside = ~_WHITE[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
     starts, stops = edge[0::2], edge[1::2]  # the last byte is white
     counts = np.diff(np.searchsorted(starts, ends), prepend=0)
     if not len(starts):
-        return np.empty(0, np.uint64), counts
+        return Words(data, ends, starts, stops, counts, np.empty(0, np.uint64))
     lengths = stops - starts
     at = np.flatnonzero(inside)
     offsets = np.cumsum(lengths) - lengths
     place = np.arange(len(at)) - np.repeat(offsets, lengths)
-    terms = _BYTES[joined[at]] * _powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(terms, offsets) + lengths.astype(np.uint64)), counts
+    terms = _BYTES[data[at]] * _powers(int(lengths.max()))[place]
+    hashes = mix(np.add.reduceat(terms, offsets) + lengths.astype(np.uint64))
+    return Words(data, ends, starts, stops, counts, hashes)
+
+
+def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the count for each text."""
+    w = split_words(texts)
+    return w.hashes, w.counts
 
 
 def shingles(
