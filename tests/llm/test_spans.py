@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from tillscan.llm.span_dedup import dedup_spans, sentences
+from tillscan.llm.span_dedup import dedup_spans, op9_span_dedup, sentences
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST = -(2**63)
@@ -63,6 +63,38 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def brute_all_runs(rows, span=2, min_words=20):
+    """What stays if every run of enough sentences and words counts, not the shortest ones alone."""
+    found, first = [], {}
+    pieces = [sentences(t or "") for _, t in rows]
+    for i in sorted(range(len(rows)), key=lambda i: LEAST if rows[i][0] is None else rows[i][0]):
+        words = [WORD.findall(p) for p in pieces[i]]
+        for p in range(len(words)):
+            for q in range(p + span - 1, len(words)):
+                run = tuple(w for own in words[p : q + 1] for w in own)
+                if len(run) >= min_words:
+                    found.append((i, p, q, run))
+                    first.setdefault(run, (i, p))
+    gone = [set() for _ in rows]
+    for i, p, q, run in found:
+        if first[run] != (i, p):
+            gone[i] |= set(range(p, q + 1))
+    kept = ["".join(s for k, s in enumerate(own) if k not in g) for own, g in zip(pieces, gone, strict=True)]
+    return sorted(((d, t) for (d, _), t in zip(rows, kept, strict=True)), key=str)
+
+
+def test_every_run_counts(spark, tmp_path):
+    def sentence(key, n):
+        return " ".join(f"{key}{i}" for i in range(n)) + ". "
+
+    tail = sentence("a", 15) + sentence("b", 6) + sentence("c", 5)
+    rows = [*corpus(), (50, tail), (51, tail), (52, sentence("d", 9) + tail + sentence("e", 8))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in op9_span_dedup(spark, str(tmp_path)).collect()}
+    assert got[51] == "" and got[52] == sentence("d", 9) + sentence("e", 8)
+    assert sorted(got.items(), key=str) == brute_all_runs(rows)
+
+
 def test_a_passage_without_stops_is_found(spark):
     passage = " ".join(f"p{i}" for i in range(51))
     rows = [(1, f"Clean one here.\n{passage}\nAnother end."), (2, f"{passage}\nOther words, all new."), (3, "Nothing shared at all.")]

@@ -4,9 +4,10 @@ A text is cut into sentences (after ``.``, ``!`` or ``?`` with closing marks and
 space, and at line feeds). A long sentence is cut further, after words whose hash says so,
 at least ``GUARD`` words from its ends, and after ``MAX_WORDS`` words at the latest: cuts
 depend on the words around them, so a passage that stands in the middle of other sentences
-is cut as elsewhere from a few words behind its beginning. From every sentence on, the
-shortest run of ``span`` sentences or more with ``min_words`` words or more is hashed to
-128 bits over its words. Hashes are counted over all documents by partial aggregates; of a
+is cut as elsewhere from a few words behind its beginning. Of the runs of ``span`` sentences
+or more with ``min_words`` words or more, the shortest from every sentence on and, with
+``up_to`` (as the query has it), the shortest up to every sentence are hashed to 128 bits
+over their words; together they cover every sentence of any longer run. Hashes are counted over all documents by partial aggregates; of a
 repeated run, the occurrence with the least (doc_id, position) stays, and sentences that
 any other occurrence covers are removed. Of passages of 51 to 60 words put anywhere into
 other texts, 98 % are caught; those with sentences of their own are removed whole.
@@ -75,8 +76,9 @@ def _before(marks: np.ndarray) -> np.ndarray:
     return np.concatenate([[-1], seen[:-1]])
 
 
-def cut_texts(texts: list[str], span: int = 2, min_words: int = 20) -> Pieces:
-    """Cut whole texts and hash their runs; all texts at once."""
+def cut_texts(texts: list[str], span: int = 2, min_words: int = 20, up_to: bool = False) -> Pieces:
+    """Cut whole texts and hash their runs; all texts at once. With ``up_to`` the shortest
+    runs up to each piece are hashed too."""
     w = split_words(texts)
     n = len(w.starts)
     none = np.empty(0, np.int64)
@@ -101,9 +103,15 @@ def cut_texts(texts: list[str], span: int = 2, min_words: int = 20) -> Pieces:
     at = np.arange(len(upto)) - head[text]
     byte_ends = np.where(at + 1 == counts[text], w.ends[text] - 1, np.append(w.starts[first_word[1:]], 0))
     byte_begins = np.where(at == 0, np.concatenate([[0], w.ends[:-1]])[text], w.starts[first_word])
-    last = np.maximum(np.searchsorted(upto, first_word + min_words), np.arange(len(upto)) + span - 1)
+    piece = np.arange(len(upto))
+    last = np.maximum(np.searchsorted(upto, first_word + min_words), piece + span - 1)
     first = np.flatnonzero(last < (head + counts)[text])
     last = last[first]
+    if up_to:
+        start = np.minimum(np.searchsorted(first_word, upto - min_words, "right") - 1, piece - span + 1)
+        end = np.flatnonzero(start >= head[text])
+        both = np.unique(np.concatenate([first * n + last, start[end] * n + end]))
+        first, last = both // n, both % n
     begin = first_word[first]
     length = upto[last] - begin
     keys = [_run_keys(w.hashes, begin, length, odd) for odd in _ODD]
@@ -137,12 +145,12 @@ def _parts(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[pa.RecordB
             begin, size = i + 1, 0
 
 
-def _emit(span: int, min_words: int):
+def _emit(span: int, min_words: int, up_to: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole):
                 ids = batch.column("__doc").to_numpy(zero_copy_only=False)
-                cut = cut_texts(batch.column("__text").to_pylist(), span, min_words)
+                cut = cut_texts(batch.column("__text").to_pylist(), span, min_words, up_to)
                 doc, pos, h1, h2 = cut.text[cut.first], cut.at[cut.first], cut.h1, cut.h2
                 again = np.ones(len(doc), dtype=bool)
                 own = mix(h1.view(np.uint64) ^ (doc.astype(np.uint64) * _U(_ODD[0])))
@@ -161,12 +169,12 @@ def _emit(span: int, min_words: int):
     return run
 
 
-def _rewrite(span: int, min_words: int, text_col: str, names: list[str]):
+def _rewrite(span: int, min_words: int, up_to: bool, text_col: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _parts(whole)):
             texts = batch.column("__text").to_pylist()
             drops = batch.column("__drops").to_pylist()
-            cut = cut_texts(texts, span, min_words)
+            cut = cut_texts(texts, span, min_words, up_to)
             runs = np.cumsum(np.bincount(cut.text[cut.first], minlength=len(texts)))
             new, made = list(texts), [(n, 0, 0) for n in cut.counts.tolist()]
             for i, own in enumerate(drops):
@@ -198,13 +206,14 @@ def dedup_spans(
     text_col: str = "text",
     span: int = 2,
     min_words: int = 20,
+    up_to: bool = False,
 ) -> DataFrame:
     """All rows of ``df`` with ``text_col`` rewritten, plus ``n_sentences``, ``n_removed``
-    and ``n_removed_words``."""
+    and ``n_removed_words``. Without ``up_to`` the last sentences of a repeated stretch can stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__text": text})
     spans = base.select("__doc", "__text").mapInArrow(
-        _emit(span, min_words), "__doc long, __pos int, h1 long, h2 long, __again boolean"
+        _emit(span, min_words, up_to), "__doc long, __pos int, h1 long, h2 long, __again boolean"
     )
     seen = spans.groupBy("h1", "h2").agg(
         F.min("__doc").alias("__first"),
@@ -225,10 +234,10 @@ def dedup_spans(
         + [T.StructField(c, T.LongType()) for c in added]
     )
     joined = base.select("__doc", "__text", *[c for c in kept if c != text_col]).join(drops, "__doc", "left")
-    return joined.mapInArrow(_rewrite(span, min_words, text_col, [*kept, *added]), schema)
+    return joined.mapInArrow(_rewrite(span, min_words, up_to, text_col, [*kept, *added]), schema)
 
 
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: what was removed, and the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_spans(docs).withColumn("removed", F.col("n_removed") > 0)
+    return dedup_spans(docs, up_to=True).withColumn("removed", F.col("n_removed") > 0)
