@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from tillscan.llm.span_dedup import dedup_spans, op9_span_dedup, sentences
+from tillscan.llm.span_dedup import cut_texts, dedup_spans, op9_span_dedup, sentences
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST = -(2**63)
@@ -122,6 +122,34 @@ def test_passages_inside_sentences_are_found(spark):
     assert sum(got[2 * i + 1] >= 20 for i in range(n)) >= 0.95 * n
 
 
+def test_any_51_shared_words_share_a_run():
+    """In sentences of any length, few or many words, with line feeds elsewhere: all of them."""
+    draw = random.Random(5)
+    for vocabulary, low, high in ((50000, 17, 24), (60, 17, 24), (50000, 20, 30), (3000, 1, 14), (60, 5, 60), (1, 9, 9)):
+
+        def words(n, vocabulary=vocabulary, low=low, high=high):
+            out, left = [], draw.randint(0, high)
+            for _ in range(n):
+                left -= 1
+                out.append(f"v{draw.randrange(vocabulary)}" + ("." if left < 0 else ""))
+                left = draw.randint(low, high) - 1 if left < 0 else left
+            return out
+
+        for white in (" ", " " * 11 + "\n"):
+            texts, n = [], 300
+            for _ in range(n):
+                passage = words(51)
+                for _ in (0, 1):
+                    own = words(draw.randint(0, 80))
+                    at = draw.randint(0, len(own))
+                    texts.append("".join(w + draw.choice(white) for w in own[:at] + passage + own[at:]))
+            cut = cut_texts(texts, every=True)
+            runs = [set() for _ in texts]
+            for number, key in zip(cut.text[cut.first].tolist(), zip(cut.h1.tolist(), cut.h2.tolist(), strict=True), strict=True):
+                runs[number].add(key)
+            assert all(runs[2 * i] & runs[2 * i + 1] for i in range(n))
+
+
 def test_pieces_make_up_the_text():
     for _, text in corpus():
         assert "".join(sentences(text or "")) == (text or "")

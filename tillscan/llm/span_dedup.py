@@ -1,19 +1,21 @@
 """Operator 9, substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` with closing marks and white
-space, and at line feeds). A long sentence is cut further, after words whose hash says so,
-at least ``GUARD`` words from its ends, and after ``MAX_WORDS`` words at the latest: cuts
-depend on the words around them, so a passage that stands in the middle of other sentences
-is cut as elsewhere from a few words behind its beginning. Of the runs of ``span`` sentences
-or more with ``min_words`` words or more, the shortest from every sentence on and, with
-``up_to`` (as the query has it), the shortest up to every sentence are hashed to 128 bits
-over their words; together they cover every sentence of any longer run. Hashes are counted over all documents by partial aggregates; of a
-repeated run, the occurrence with the least (doc_id, position) stays, and sentences that
-any other occurrence covers are removed. Of passages of 51 to 60 words put anywhere into
-other texts, 98 % are caught; those with sentences of their own are removed whole.
-
-Only hashes, ids and positions are shuffled by span; a very common span is one aggregate
-row for each map task, and its join partition can be split by the adaptive skew join. The
+space, and at line feeds), and these further, so that of any ``WINDOW`` words in a row one
+ends a piece: the one whose hash is least, where no stop stands among them. So words alone
+say where a text is cut, whatever stands before and behind a passage. Of the runs of ``span``
+pieces or more with ``min_words`` words or more, the shortest from every piece on is hashed
+to 128 bits over its words; with ``every`` (as the query has it) also the shortest up to every
+piece, and both once more without the cuts at line feeds. Together they cover every piece of
+any longer run, and any 51 words that two texts share hold a run that both hash: the first
+cut comes within 11 words, the run from it ends within 20 + 10 more, and cuts up to the 41st
+word depend on nothing outside. (For other ``min_words`` the share is as much longer.)
+
+Hashes are counted over all documents; of a repeated run, the occurrence with the least
+(doc_id, position) stays, and pieces that any other occurrence covers are removed.
+
+Only hashes, ids and positions are shuffled by span, once for the count and the join; the
+rows of a very common span meet in one task, which sorts them on disk if need be. The
 removal checks the hash again, so rows that repeat a doc_id with another text are not
 touched by each other's spans.
 
@@ -41,9 +43,8 @@ from .common import id_or_least, table
 from .text_arrays import Words, mix, split_words
 
 _U = np.uint64
-GUARD, MAX_WORDS = 8, 32
-#: One word in so many ends a piece of a long sentence.
-CUT_EVERY = 4
+#: Among so many words in a row there is a cut.
+WINDOW = 11
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _CLOSING = np.isin(np.arange(256), [ord(c) for c in "\"')]"])
@@ -70,15 +71,41 @@ class Pieces:
         return [bytes(self.words.data[self._begins[i] : self._ends[i]]).decode("utf-8", "surrogatepass") for i in mine]
 
 
-def _before(marks: np.ndarray) -> np.ndarray:
-    """For each word the last marked one before it, or -1."""
-    seen = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
-    return np.concatenate([[-1], seen[:-1]])
+def _least_of_windows(rank: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Marks the words of least rank (by its low 32 bits) in any ``WINDOW`` words of one text, the last of equals."""
+    n, marks = len(rank), np.zeros(len(rank), dtype=bool)
+    if n < WINDOW:
+        return marks
+    # Rank and place in one word, so that one minimum gives the place too.
+    least = rank << _U(32) | np.arange(n - 1, -1, -1, dtype=np.uint64)
+    size = 1
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        size += step
+    left = np.repeat(np.cumsum(counts), counts)[: len(least)] - np.arange(len(least))  # words up to the text's end
+    marks[n - 1 - (least[left >= WINDOW] & _U(0xFFFFFFFF)).astype(np.int64)] = True
+    return marks
+
+
+def _shortest(upto: np.ndarray, number: np.ndarray, span: int, min_words: int, every: bool) -> np.ndarray:
+    """The shortest runs of the pieces that end before the words ``upto``, as the first word
+    times (words + 1) plus the word behind the last; ``number`` has each word's text."""
+    n = len(number)
+    first_word = np.concatenate([[0], upto[:-1]])
+    text, piece = number[first_word], np.arange(len(upto))
+    last = np.maximum(np.searchsorted(upto, first_word + min_words), piece + span - 1)
+    first = np.flatnonzero(last < np.searchsorted(text, text, "right"))
+    runs = first_word[first] * (n + 1) + upto[last[first]]
+    if not every:
+        return runs
+    start = np.minimum(np.searchsorted(first_word, upto - min_words, "right") - 1, piece - span + 1)
+    end = np.flatnonzero(start >= np.searchsorted(text, text))
+    return np.concatenate([runs, first_word[start[end]] * (n + 1) + upto[end]])
 
 
-def cut_texts(texts: list[str], span: int = 2, min_words: int = 20, up_to: bool = False) -> Pieces:
-    """Cut whole texts and hash their runs; all texts at once. With ``up_to`` the shortest
-    runs up to each piece are hashed too."""
+def cut_texts(texts: list[str], span: int = 2, min_words: int = 20, every: bool = False) -> Pieces:
+    """Cut whole texts and hash their runs; all texts at once. ``every``: see above."""
     w = split_words(texts)
     n = len(w.starts)
     none = np.empty(0, np.int64)
@@ -90,30 +117,27 @@ def cut_texts(texts: list[str], span: int = 2, min_words: int = 20, up_to: bool
         tail = tail - (_CLOSING[w.data[tail]] & (tail > w.starts))
     feeds = np.cumsum(w.data == 10)
     following = np.append(w.starts[1:], len(w.data))
-    ends = _STOP[w.data[tail]] | (feeds[following - 1] > feeds[w.stops - 1])
-    until = np.minimum.accumulate(np.where(ends, index, n)[::-1])[::-1] - index
-    inner = (index - _before(ends) > GUARD) & (until > GUARD) & (w.hashes >> _U(9) & _U(CUT_EVERY - 1) == 0)
-    cuts = ends | inner
-    cuts |= (index - _before(cuts)) % MAX_WORDS == 0
-    upto = np.flatnonzero(cuts) + 1
+    stops = _STOP[w.data[tail]]
+    ends = stops | (feeds[following - 1] > feeds[w.stops - 1])
+    # Line feeds do not count here, so that words alone say where a text is cut.
+    words_say = stops | _least_of_windows(np.where(stops, _U(0), w.hashes), w.counts)
+    number = np.repeat(np.arange(len(texts)), w.counts)
+    upto = np.flatnonzero(ends | words_say) + 1
     first_word = np.concatenate([[0], upto[:-1]])
-    text = np.repeat(np.arange(len(texts)), w.counts)[first_word]
+    text = number[first_word]
     counts = np.bincount(text, minlength=len(texts))
     head = np.cumsum(counts) - counts
     at = np.arange(len(upto)) - head[text]
     byte_ends = np.where(at + 1 == counts[text], w.ends[text] - 1, np.append(w.starts[first_word[1:]], 0))
     byte_begins = np.where(at == 0, np.concatenate([[0], w.ends[:-1]])[text], w.starts[first_word])
-    piece = np.arange(len(upto))
-    last = np.maximum(np.searchsorted(upto, first_word + min_words), piece + span - 1)
-    first = np.flatnonzero(last < (head + counts)[text])
-    last = last[first]
-    if up_to:
-        start = np.minimum(np.searchsorted(first_word, upto - min_words, "right") - 1, piece - span + 1)
-        end = np.flatnonzero(start >= head[text])
-        both = np.unique(np.concatenate([first * n + last, start[end] * n + end]))
-        first, last = both // n, both % n
-    begin = first_word[first]
-    length = upto[last] - begin
+    runs = _shortest(upto, number, span, min_words, every)
+    words_say[np.cumsum(w.counts)[w.counts > 0] - 1] = True  # the last word of a text
+    if every and not words_say[upto - 1].all():
+        runs = np.concatenate([runs, _shortest(np.flatnonzero(words_say) + 1, number, span, min_words, True)])
+    runs = np.unique(runs)
+    begin, end = runs // (n + 1), runs % (n + 1)
+    first, last = np.searchsorted(first_word, begin), np.searchsorted(upto, end)
+    length = end - begin
     keys = [_run_keys(w.hashes, begin, length, odd) for odd in _ODD]
     return Pieces(w, text, at, counts, first, last, *keys, byte_begins, byte_ends)
 
@@ -145,12 +169,12 @@ def _parts(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[pa.RecordB
             begin, size = i + 1, 0
 
 
-def _emit(span: int, min_words: int, up_to: bool):
+def _emit(span: int, min_words: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole):
                 ids = batch.column("__doc").to_numpy(zero_copy_only=False)
-                cut = cut_texts(batch.column("__text").to_pylist(), span, min_words, up_to)
+                cut = cut_texts(batch.column("__text").to_pylist(), span, min_words, every)
                 doc, pos, h1, h2 = cut.text[cut.first], cut.at[cut.first], cut.h1, cut.h2
                 again = np.ones(len(doc), dtype=bool)
                 own = mix(h1.view(np.uint64) ^ (doc.astype(np.uint64) * _U(_ODD[0])))
@@ -169,12 +193,12 @@ def _emit(span: int, min_words: int, up_to: bool):
     return run
 
 
-def _rewrite(span: int, min_words: int, up_to: bool, text_col: str, names: list[str]):
+def _rewrite(span: int, min_words: int, every: bool, text_col: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _parts(whole)):
             texts = batch.column("__text").to_pylist()
             drops = batch.column("__drops").to_pylist()
-            cut = cut_texts(texts, span, min_words, up_to)
+            cut = cut_texts(texts, span, min_words, every)
             runs = np.cumsum(np.bincount(cut.text[cut.first], minlength=len(texts)))
             new, made = list(texts), [(n, 0, 0) for n in cut.counts.tolist()]
             for i, own in enumerate(drops):
@@ -206,21 +230,25 @@ def dedup_spans(
     text_col: str = "text",
     span: int = 2,
     min_words: int = 20,
-    up_to: bool = False,
+    every: bool = False,
 ) -> DataFrame:
     """All rows of ``df`` with ``text_col`` rewritten, plus ``n_sentences``, ``n_removed``
-    and ``n_removed_words``. Without ``up_to`` the last sentences of a repeated stretch can stay."""
+    and ``n_removed_words``. Without ``every`` only the shortest run from each
+    piece on counts, and the last pieces of a repeated stretch can stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__text": text})
     spans = base.select("__doc", "__text").mapInArrow(
-        _emit(span, min_words, up_to), "__doc long, __pos int, h1 long, h2 long, __again boolean"
+        _emit(span, min_words, every), "__doc long not null, __pos int not null, h1 long not null, h2 long not null, __again boolean not null"
     )
+    # One exchange for the count and the join; it is the same as long as both take all columns.
+    spans = spans.repartition("h1", "h2")
     seen = spans.groupBy("h1", "h2").agg(
         F.min("__doc").alias("__first"),
         F.max("__doc").alias("__last"),
         F.max("__again").alias("__within"),
+        F.min("__pos").alias("__least"),
     )
-    repeated = seen.filter("__first <> __last or __within").select("h1", "h2", "__first")
+    repeated = seen.filter("__least >= 0 and (__first <> __last or __within)").select("h1", "h2", "__first")
     drops = (
         spans.join(repeated, ["h1", "h2"])
         .filter("__doc <> __first or __again")
@@ -234,10 +262,10 @@ def dedup_spans(
         + [T.StructField(c, T.LongType()) for c in added]
     )
     joined = base.select("__doc", "__text", *[c for c in kept if c != text_col]).join(drops, "__doc", "left")
-    return joined.mapInArrow(_rewrite(span, min_words, up_to, text_col, [*kept, *added]), schema)
+    return joined.mapInArrow(_rewrite(span, min_words, every, text_col, [*kept, *added]), schema)
 
 
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: what was removed, and the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_spans(docs, up_to=True).withColumn("removed", F.col("n_removed") > 0)
+    return dedup_spans(docs, every=True).withColumn("removed", F.col("n_removed") > 0)
