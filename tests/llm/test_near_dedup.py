@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 from tillscan.llm.components import components
-from tillscan.llm.near_dedup import dart_signatures, keep_one_of_each, near_classes, similar_pairs
+from tillscan.llm.near_dedup import dart_signatures, keep_one_of_each, near_classes, op6_near_dedup, similar_pairs
 from tillscan.llm.text_arrays import shingles, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,6 +85,30 @@ def test_odd_rows(spark):
     assert near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_texts_under_one_id_are_apart(spark, tmp_path):
+    """Null and repeated ids tie nothing: unrelated texts stay, copies under the same id go."""
+    draw = random.Random(6)
+
+    def text(key):
+        return [f"{key}{draw.randrange(10**6)}" for _ in range(60)]
+
+    a, b, c, d, e = (" ".join(text(k)) for k in "abcde")
+    near_c, near_e = c + " x", e + " y"
+    rows = [(None, a), (None, b), (1, a), (2, b), (5, c), (5, near_c), (5, d), (6, near_c), (7, e), (7, near_e), (8, near_e)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in keep_one_of_each(df).collect()]
+    assert len(kept) == 5 and {t[0] for _, t in kept} == set("abcde")
+    assert {i for i, t in kept if t[0] in "ab"} == {None} and sorted(i for i, t in kept if t[0] in "cde") == [5, 5, 7]
+    groups = {}
+    for r in near_classes(df).collect():
+        groups.setdefault((r["class"], r.class_h1, r.class_h2), set()).add(r.doc)
+    low = -(2**63)
+    assert sorted(map(sorted, groups.values())) == sorted([[low, 1], [low, 2], [5, 6], [5], [7, 8]])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = op6_near_dedup(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id) for r in out if r.is_kept)) == ["5", "5", "7", "None", "None"]
+
+
 def test_large_clusters_lose_no_link(spark, monkeypatch):
     """A base, noisy copies of it, and copies of the noisiest ones that only tie to those."""
     from tillscan.llm import near_dedup

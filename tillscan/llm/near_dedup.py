@@ -24,8 +24,8 @@ With 32 bands of 6 rows a pair at similarity 0.8 shares no bucket with a chance
 Defined cases: null and empty texts are one group of exact copies (empty equals null); a
 text of fewer than five words has one shingle, all its words; texts without words are
 alike only if equal; a null ``doc_id`` sorts first and returns as null; repeated rows are
-copies of each other; rows that share an id but not a text are told apart by their text, and
-texts that have the same least id are one class; columns that carry the name of a result column are replaced; an
+copies of each other; rows that share an id (null too) but not a text are told apart by
+their text, and a class by the id and the text's hash of its least row; columns that carry the name of a result column are replaced; an
 empty table gives an empty result.
 """
 
@@ -324,12 +324,13 @@ def near_classes(
     rows: int = 6,
     weight: str = "set",
 ) -> DataFrame:
-    """(doc, h1, h2, class): one row for each distinct text and id.
+    """(doc, h1, h2, class, class_h1, class_h2): one row for each distinct text and id.
 
-    ``doc`` is the id (null as the least long), ``h1, h2`` the hash of the text, ``class``
-    the least doc of all texts tied to it. ``weight`` is ``set`` (similarity of shingle
-    sets) or ``count`` (darts by how often a shingle occurs; the exact check still takes
-    sets).
+    ``doc`` is the id (null as the least long), ``h1, h2`` the hash of the text, and the
+    others name the least (doc, h1, h2) of all texts tied to it: ``class`` alone names
+    several classes where unrelated texts share an id. ``weight`` is ``set`` (similarity of
+    shingle sets) or ``count`` (darts by how often a shingle occurs; the exact check still
+    takes sets).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     h1, h2 = hash128(text)
@@ -340,7 +341,9 @@ def near_classes(
         _bands("text", width, bands, rows, weight), "doc long, h1 long, h2 long, bands array<long>"
     )
     texts = cut(
-        sketched.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"))
+        sketched.groupBy("h1", "h2")
+        .agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())  # a node is a text, whatever its id
     )
     keyed = texts.select("node", F.explode("bands").alias("key"))
     heads = (
@@ -351,8 +354,8 @@ def near_classes(
     )
     stars = keyed.join(heads, "key").filter("node <> head").select("node", "head").distinct()
     clusters = components(stars, "node", "head")
-    placed = clusters.select("node", F.col("root").alias("cluster")).join(texts.select("node", "h1", "h2"), "node")
-    member = base.withColumnRenamed("doc", "node").join(placed, ["node", "h1", "h2"])
+    placed = clusters.select("node", F.col("root").alias("cluster")).join(texts.select("node", "doc", "h1", "h2"), "node")
+    member = base.join(placed, ["doc", "h1", "h2"])
     member = member.select("cluster", "node", "text")
     sized = member.groupBy("cluster").agg(
         F.greatest(
@@ -365,31 +368,42 @@ def near_classes(
     if large.limit(1).count():
         links = links.unionByName(_large_links(member.join(large, "cluster", "left_semi"), width, threshold))
     roots = components(links)
-    near = texts.join(roots, "node", "left").select(
-        "h1", "h2", F.coalesce("root", "node").alias("class")
+    own = F.struct("doc", "h1", "h2")
+    tied = texts.select("node", own.alias("own")).join(roots, "node")
+    heads = tied.groupBy("root").agg(F.min("own").alias("head"))
+    near = texts.join(tied.select("node", "root").join(heads, "root"), "node", "left")
+    near = near.select("h1", "h2", F.coalesce("head", own).alias("head")).select(
+        "h1", "h2", F.col("head.doc").alias("class"), F.col("head.h1").alias("class_h1"), F.col("head.h2").alias("class_h2")
     )
     return base.select("doc", "h1", "h2").distinct().join(near, ["h1", "h2"])
 
 
+#: Whether a row of ``near_classes`` is the least of its class.
+_LEADS = "doc = class AND h1 = class_h1 AND h2 = class_h2"
+
+
 def _shown(col: str):
     return F.when(F.col(col) != _LEAST, F.col(col))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` without near duplicates: the least document of each class stays."""
-    kept = near_classes(df, id_col, text_col, **options).filter("doc = class")
-    kept = kept.groupBy(F.col("doc").alias("__doc")).agg(F.min(F.struct("h1", "h2")).alias("__h"))
+    kept = near_classes(df, id_col, text_col, **options).filter(_LEADS)
+    kept = kept.select(F.col("doc").alias("__doc"), F.struct("h1", "h2").alias("__h"))
     h1, h2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
     own = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__h": F.struct(h1.alias("h1"), h2.alias("h2"))})
     return own.join(kept, ["__doc", "__h"], "left_semi").dropDuplicates(["__doc", "__h"]).drop("__doc", "__h")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: its class (the least doc_id of it), and whether it stays."""
+    """One row per document: its class (the least doc_id of it), and whether it stays.
+
+    Where unrelated texts share that id, their classes show the same ``class_id``, and each
+    has its own row that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     classes = near_classes(docs)
     return classes.select(
         _shown("doc").alias("doc_id"),
         _shown("class").alias("class_id"),
-        (F.col("doc") == F.col("class")).alias("is_kept"),
+        F.expr(_LEADS).alias("is_kept"),
     )
