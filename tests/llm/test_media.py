@@ -29,6 +29,17 @@ def test_round_trip(text):
         assert header(int.from_bytes(media[a : a + 4], "big")) is not None
 
 
+def test_a_tag_in_the_text_is_no_tag():
+    """TAG at every place near the end, in last frames of all sizes."""
+    for n in (150, 300, 700, 960, 1000, 1100, 1930):
+        for back in range(3, 150):
+            text = "x" * (n - back) + "TAG" + "y" * (back - 3)
+            media = write_stream(padded(text))
+            s = read_stream(media)
+            assert read_payload(s) == padded(text) and s.skipped == 0 and set(s.tags) == {"payload_bytes", "payload_crc32"}
+            assert s.crc_good == len(s.offsets) == s.table["frames"] and s.table["bytes"] == len(media) - s.table["at"]
+
+
 def test_any_bytes_survive():
     draw = random.Random(1)
     for n in (64, 640, 6400, 64000):

@@ -307,6 +307,8 @@ def write_stream(payload: bytes) -> bytes:
         chunk = payload[b : b + full]
         bitrate = next(i for i in range(1, 15) if _room(i) >= len(chunk))
         frames.append(_STARTS[bitrate] + chunk + bytes(_room(bitrate) - len(chunk)))
+    if b"".join(frames[-2:])[-128:-125] == b"TAG":  # bytes of the payload, but readers take them for an ID3v1 tag
+        frames.append(_STARTS[3] + bytes(_room(3)))  # 144 bytes of silence
     first = _own_header(9, False) + bytes(17)  # 128 kbit/s holds the table
     whole = 3 * V1_L3[8] + sum(map(len, frames))
     ends, n = 3 * V1_L3[8], len(frames)
