@@ -17,7 +17,10 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, hash128, id_or_least, table
+from .common import WHITE, cut, hash128, id_or_least, table
+
+#: Rows of one line that one task may take in a join, and a bound of the lines that are broadcast.
+HOT_LINES, HOT_KEYS = 1000, 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -50,6 +53,48 @@ def _without(lines: Column, drops: Column) -> Column:
     return F.transform(F.array(lines), run)[0]
 
 
+def _repeated(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, first, n): hashes of enough documents, their least document and their lines.
+
+    Aggregated before the exchange, so a frequent line is one row for each task.
+    """
+    if min_docs == 2:
+        seen = lines.groupBy("h1", "h2").agg(
+            F.min("__doc").alias("first"), F.max("__doc").alias("last"), F.count("*").alias("n")
+        )
+        return seen.filter("first <> last").drop("last")
+    by_doc = lines.groupBy("h1", "h2", "__doc").agg(F.count("*").alias("n"))
+    seen = by_doc.groupBy("h1", "h2").agg(
+        F.min("__doc").alias("first"), F.count("*").alias("docs"), F.sum("n").alias("n")
+    )
+    return seen.filter(F.col("docs") >= min_docs).drop("docs")
+
+
+def _hits(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose hash is in ``repeated`` and whose document is not its first.
+
+    Lines with more than ``HOT_LINES`` rows, and more than one in ``HOT_KEYS`` of all, meet
+    their document in a broadcast table (so of less than ``HOT_KEYS`` rows, whatever the
+    input); in the exchange for the others they take a key of their own each.
+    """
+    seen = repeated.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    bound = max(HOT_LINES, (seen.rows or 0) // HOT_KEYS)
+    if (seen.most or 0) <= bound:
+        return lines.join(repeated.drop("n"), ["h1", "h2"]).filter("__doc <> first")
+    hot = repeated.filter(F.col("n") > bound).select("h1", "h2", F.col("first").alias("hot_first"))
+    cold = repeated.filter(F.col("n") <= bound).select("h1", "h2", "first")
+    marked = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+    known = F.col("hot_first").isNotNull()
+    own = hash128(F.col("__doc"), F.col("__row"), F.col("pos"))
+    keyed = marked.select(
+        "__doc", "__row", "pos", "hot_first",
+        F.when(known, own[0]).otherwise(F.col("h1")).alias("h1"),
+        F.when(known, own[1]).otherwise(F.col("h2")).alias("h2"),
+    )
+    met = keyed.join(cold, ["h1", "h2"], "left")
+    return met.filter(F.col("__doc") != F.coalesce("hot_first", "first"))
+
+
 def dedup_lines(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -61,8 +106,8 @@ def dedup_lines(
 
     A line is dropped if its key has ``min_chars`` code points or more and occurs in
     ``min_docs`` distinct documents or more, unless it stands in the smallest of them.
-    Only hashes, ids and positions are shuffled by line; a frequent line is counted by
-    partial aggregates, and its join partition can be split by the adaptive skew join.
+    Only hashes, ids and positions are shuffled by line, and no line's rows meet in one
+    task: see ``_repeated`` and ``_hits``. Only texts that lose lines are split again.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = df.withColumns(
@@ -77,28 +122,18 @@ def dedup_lines(
         .filter(F.length("key") >= min_chars)
         .select("__doc", "__row", "pos", h1.alias("h1"), h2.alias("h2"))
     )
-    if min_docs == 2:
-        seen = lines.groupBy("h1", "h2").agg(
-            F.min("__doc").alias("first"), F.max("__doc").alias("last")
-        )
-        repeated = seen.filter("first <> last").drop("last")
-    else:
-        seen = lines.select("h1", "h2", "__doc").distinct().groupBy("h1", "h2")
-        repeated = seen.agg(F.min("__doc").alias("first"), F.count("*").alias("n"))
-        repeated = repeated.filter(F.col("n") >= min_docs).drop("n")
     drops = (
-        lines.join(repeated, ["h1", "h2"])
-        .filter(F.col("__doc") != F.col("first"))
+        _hits(lines, cut(_repeated(lines, min_docs)))
         .groupBy("__doc", "__row")
         .agg(F.collect_set("pos").alias("__drops"))
     )
-    split = F.split(text, "\n", -1)
     kept = F.when(F.col("__drops").isNull(), text).otherwise(
-        F.array_join(_without(split, F.col("__drops")), "\n")
+        F.array_join(_without(F.split(text, "\n", -1), F.col("__drops")), "\n")
     )
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return base.join(drops, ["__doc", "__row"], "left").withColumns(
         {
-            "n_lines": F.size(split).cast("long"),
+            "n_lines": (feeds + 1).cast("long"),
             "n_dropped": F.coalesce(F.size("__drops"), F.lit(0)).cast("long"),
             text_col: kept,
         }
