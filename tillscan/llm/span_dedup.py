@@ -12,30 +12,28 @@ cut comes within 11 words, the run from it ends within 20 + 10 more, and cuts up
 word depend on nothing outside. (For other ``min_words`` the share is as much longer.)
 
 Hashes are counted over all documents; of a repeated run, the occurrence with the least
-(doc_id, position) stays, and pieces that any other occurrence covers are removed.
-
-Only hashes, ids and positions are shuffled by span, once for the count and the join; the
-rows of a very common span meet in one task, which sorts them on disk if need be. The
-removal checks the hash again, so rows that repeat a doc_id with another text are not
-touched by each other's spans.
-
-Defined cases: null text is empty and has no sentences; a null doc_id sorts first and is
-one document; rows that repeat doc_id and text are one document and get one result each;
-removed sentences go with the white space after them (the first one with what stands before
-it), everything else stays as it is;
-columns that carry the name of a result column are replaced, others pass through; an
-empty table stays empty.
+(doc_id, text hash, position) stays, and pieces that any other occurrence covers are removed.
+
+Texts are dealt to parts of about ``PART_BYTES``, once, for finding runs and for removing
+them. A part hands over each hash once, with its least document, so a passage of a third of
+all documents is one row for each part, not for each document. What comes back to a part is
+the list of its repeated hashes.
+
+Defined cases: null text is empty and has no sentences; a null doc_id sorts first; a
+document is its doc_id and text together, so rows that share an id (null too) but not the
+text are documents of their own, and rows that repeat both are one document and get one
+result each; removed sentences go with the white space after them (the first one with what
+stands before it), everything else stays as it is; columns that carry the name of a result
+column are replaced, others pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +43,8 @@ from .text_arrays import Words, mix, split_words
 _U = np.uint64
 #: Among so many words in a row there is a cut.
 WINDOW = 11
+#: Bytes of text in one part, and in one call of ``cut_texts``.
+PART_BYTES, CALL_BYTES = 4_000_000, 1_000_000
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _CLOSING = np.isin(np.arange(256), [ord(c) for c in "\"')]"])
@@ -67,9 +67,18 @@ class Pieces:
 
     def of(self, number: int) -> list[str]:
         """The pieces of one text, each with the white space after it."""
-        mine = np.flatnonzero(self.text == number)
+        mine = range(*np.searchsorted(self.text, [number, number + 1]))
         return [bytes(self.words.data[self._begins[i] : self._ends[i]]).decode("utf-8", "surrogatepass") for i in mine]
 
+    def without(self, number: int, gone: np.ndarray) -> tuple[str, int]:
+        """One text without some of its pieces, and the words that went."""
+        begin, end = np.searchsorted(self.text, [number, number + 1])
+        begins, ends = self._begins[begin:end], self._ends[begin:end]
+        kept = b"".join(bytes(self.words.data[x:y]) for x, y in zip(begins[~gone], ends[~gone], strict=True))
+        starts = self.words.starts
+        words = np.searchsorted(starts, ends[gone]) - np.searchsorted(starts, begins[gone])
+        return kept.decode("utf-8", "surrogatepass"), int(words.sum())
+
 
 def _least_of_windows(rank: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Marks the words of least rank (by its low 32 bits) in any ``WINDOW`` words of one text, the last of equals."""
@@ -158,68 +167,97 @@ def sentences(text: str) -> list[str]:
     return cut_texts([text]).of(0)
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``limit`` bytes of text, which bounds what lies in memory."""
-    sizes = pa.compute.binary_length(batch.column("__text")).to_pylist()
-    begin = size = 0
-    for i, n in enumerate(sizes):
-        size += n
-        if size >= limit or i + 1 == len(sizes):
-            yield batch.slice(begin, i + 1 - begin)
-            begin, size = i + 1, 0
-
-
-def _emit(span: int, min_words: int, every: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _parts(whole):
-                ids = batch.column("__doc").to_numpy(zero_copy_only=False)
-                cut = cut_texts(batch.column("__text").to_pylist(), span, min_words, every)
-                doc, pos, h1, h2 = cut.text[cut.first], cut.at[cut.first], cut.h1, cut.h2
-                again = np.ones(len(doc), dtype=bool)
-                own = mix(h1.view(np.uint64) ^ (doc.astype(np.uint64) * _U(_ODD[0])))
-                again[np.unique(own, return_index=True)[1]] = False
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[doc]),
-                        pa.array(pos.astype(np.int32)),
-                        pa.array(h1),
-                        pa.array(h2),
-                        pa.array(again),
-                    ],
-                    names=["__doc", "__pos", "h1", "h2", "__again"],
-                )
+@dataclass
+class Part:
+    """The documents of a part in order, and all their runs in order."""
+
+    place: np.ndarray  # of each row: the number of its document
+    docs: np.ndarray  # ids and text hashes of the documents
+    hashes: np.ndarray
+    cuts: list[tuple[int, Pieces]]  # first document of each call, and its pieces
+    doc: np.ndarray  # of each run
+    first: np.ndarray
+    last: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table, text_col: str, span: int, min_words: int, every: bool) -> Part:
+        ids, hashes = (rows.column(c).to_numpy() for c in ("__doc", "__row"))
+        order = np.lexsort((hashes, ids))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(ids[order]) != 0) | (np.diff(hashes[order]) != 0)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        chosen = order[new]
+        texts = [t or "" for t in rows.column(text_col).take(pa.array(chosen)).to_pylist()]
+        cuts, begin, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= CALL_BYTES or i + 1 == len(texts):
+                cuts.append((begin, cut_texts(texts[begin : i + 1], span, min_words, every)))
+                begin, size = i + 1, 0
+        parts = [(c.text[c.first] + b, c.at[c.first], c.at[c.last], c.h1, c.h2) for b, c in cuts]
+        return cls(place, ids[chosen], hashes[chosen], cuts, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _emit(text_col: str, span: int, min_words: int, every: bool):
+    """Each hash of a part once: its least document there, and whether the part has it again."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = Part.of(rows, text_col, span, min_words, every)
+        order = np.lexsort((part.h2, part.h1))  # stable: the least occurrence of a hash comes first
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(part.h1[order]) != 0) | (np.diff(part.h2[order]) != 0)
+        at = np.flatnonzero(new)
+        times, head = np.diff(np.append(at, len(order))), order[at]
+        doc = part.doc[head]
+        number = rows.column("__part")[0].as_py()
+        columns = {
+            "__part": np.full(len(head), number, dtype=np.int64), "h1": part.h1[head], "h2": part.h2[head],
+            "__doc": part.docs[doc], "__row": part.hashes[doc].astype(np.int32), "__again": times > 1,
+        }
+        return pa.table(columns)
 
     return run
 
 
-def _rewrite(span: int, min_words: int, every: bool, text_col: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _parts(whole)):
-            texts = batch.column("__text").to_pylist()
-            drops = batch.column("__drops").to_pylist()
-            cut = cut_texts(texts, span, min_words, every)
-            runs = np.cumsum(np.bincount(cut.text[cut.first], minlength=len(texts)))
-            new, made = list(texts), [(n, 0, 0) for n in cut.counts.tolist()]
-            for i, own in enumerate(drops):
-                if not own:
-                    continue
-                mine = slice(int(runs[i - 1]) if i else 0, int(runs[i]))
-                base = int(cut.counts[:i].sum())
-                wanted = {(d["__pos"], d["h1"]) for d in own}
-                gone = np.zeros(int(cut.counts[i]), dtype=bool)
-                for p, q, h in zip(cut.first[mine].tolist(), cut.last[mine].tolist(), cut.h1[mine].tolist(), strict=True):
-                    if (p - base, h) in wanted:
-                        gone[p - base : q + 1 - base] = True
-                pieces, flags = cut.of(i), gone.tolist()
-                new[i] = "".join(s for s, g in zip(pieces, flags, strict=True) if not g)
-                made[i] = (len(flags), sum(flags), sum(len(s.split()) for s, g in zip(pieces, flags, strict=True) if g))
-            columns = {text_col: pa.array(new, pa.string())}
-            for k, name in enumerate(("n_sentences", "n_removed", "n_removed_words")):
-                columns[name] = pa.array([m[k] for m in made], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [columns[c] if c in columns else batch.column(c) for c in names], names=names
-            )
+def _rewrite(text_col: str, span: int, min_words: int, every: bool, names: list[str]):
+    """The rows of a part, without the pieces that its repeated runs cover."""
+
+    def run(rows: pa.Table, drops: pa.Table) -> pa.Table:
+        part = Part.of(rows, text_col, span, min_words, every)
+        keys = zip(drops.column("h1").to_pylist(), drops.column("h2").to_pylist(), strict=True)
+        stays = dict(zip(keys, drops.column("__stays").to_pylist(), strict=True))
+        some = np.flatnonzero(np.isin(part.h1, drops.column("h1").to_numpy()))
+        wanted = np.zeros(len(some), dtype=bool)
+        for i, key in enumerate(zip(part.h1[some].tolist(), part.h2[some].tolist(), strict=True)):
+            if key in stays:
+                wanted[i] = not stays[key]
+                stays[key] = False  # only the first one of the part stays
+        some = some[wanted]
+        doc, first, last = part.doc[some], part.first[some], part.last[some]
+        new: dict[int, str] = {}
+        made = []
+        for begin, cut in part.cuts:
+            n = len(cut.counts)
+            head = np.cumsum(cut.counts) - cut.counts
+            own = slice(*np.searchsorted(doc, [begin, begin + n]))
+            edge = np.zeros(len(cut.text) + 1, dtype=np.int64)
+            at = head[doc[own] - begin]
+            np.add.at(edge, at + first[own], 1)
+            np.add.at(edge, at + last[own] + 1, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            removed = np.bincount(cut.text[gone], minlength=n) if len(gone) else np.zeros(n, np.int64)
+            words = np.zeros(n, dtype=np.int64)
+            for i in np.flatnonzero(removed).tolist():
+                new[begin + i], words[i] = cut.without(i, gone[head[i] : head[i] + cut.counts[i]])
+            made.append((cut.counts, removed, words))
+        columns = dict(zip(("n_sentences", "n_removed", "n_removed_words"), map(np.concatenate, zip(*made, strict=True)), strict=True))
+        texts = [t or "" for t in rows.column(text_col).to_pylist()] if text_col in names else []
+        out = {c: pa.array(v[part.place], pa.int64()) for c, v in columns.items()}
+        out[text_col] = pa.array([new.get(p, t) for p, t in zip(part.place.tolist(), texts, strict=bool(texts))], pa.string())
+        return pa.table([out[c] if c in out else rows.column(c) for c in names], names=names)
 
     return run
 
@@ -231,38 +269,42 @@ def dedup_spans(
     span: int = 2,
     min_words: int = 20,
     every: bool = False,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """All rows of ``df`` with ``text_col`` rewritten, plus ``n_sentences``, ``n_removed``
     and ``n_removed_words``. Without ``every`` only the shortest run from each
-    piece on counts, and the last pieces of a repeated stretch can stay."""
+    piece on counts, and the last pieces of a repeated stretch can stay. One pass over the
+    sizes of texts comes first, for the number of parts; results do not depend on it."""
+    added = ["n_sentences", "n_removed", "n_removed_words"]
+    df = df.drop(*added)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__text": text})
-    spans = base.select("__doc", "__text").mapInArrow(
-        _emit(span, min_words, every), "__doc long not null, __pos int not null, h1 long not null, h2 long not null, __again boolean not null"
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = F.lit(1 + size // part_bytes)
+    own = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__row": F.xxhash64(text)})
+    # Any number of rows can be alike if the id is null; these are dealt by chance.
+    chance = F.when(F.col(id_col).isNull(), F.floor(F.rand(9) * parts))
+    own = own.withColumn("__part", F.pmod(F.xxhash64("__doc", "__row", chance), parts).cast("long"))
+    runs = own.groupBy("__part").applyInArrow(
+        _emit(text_col, span, min_words, every), "__part long, h1 long, h2 long, __doc long, __row int, __again boolean"
     )
-    # One exchange for the count and the join; it is the same as long as both take all columns.
-    spans = spans.repartition("h1", "h2")
-    seen = spans.groupBy("h1", "h2").agg(
-        F.min("__doc").alias("__first"),
-        F.max("__doc").alias("__last"),
-        F.max("__again").alias("__within"),
-        F.min("__pos").alias("__least"),
-    )
-    repeated = seen.filter("__least >= 0 and (__first <> __last or __within)").select("h1", "h2", "__first")
+    same, document = Window.partitionBy("h1", "h2"), F.struct("__doc", "__row")
     drops = (
-        spans.join(repeated, ["h1", "h2"])
-        .filter("__doc <> __first or __again")
-        .groupBy("__doc")
-        .agg(F.collect_set(F.struct("__pos", "h1")).alias("__drops"))
+        runs.withColumns(
+            {"__least": F.min(document).over(same), "__most": F.max(document).over(same), "__any": F.max("__again").over(same)}
+        )
+        .withColumn("__stays", document == F.col("__least"))
+        .filter("(__least <> __most or __any) and (__again or not __stays)")
+        .select("__part", "h1", "h2", "__stays")
     )
-    added = ["n_sentences", "n_removed", "n_removed_words"]
-    kept = [c for c in df.columns if c not in added]
     schema = T.StructType(
-        [T.StructField(c, T.StringType()) if c == text_col else df.schema[c] for c in kept]
+        [T.StructField(c, T.StringType()) if c == text_col else df.schema[c] for c in df.columns]
         + [T.StructField(c, T.LongType()) for c in added]
     )
-    joined = base.select("__doc", "__text", *[c for c in kept if c != text_col]).join(drops, "__doc", "left")
-    return joined.mapInArrow(_rewrite(span, min_words, every, text_col, [*kept, *added]), schema)
+    # The exchange of the texts by part is the same as above, and so is made once.
+    return (
+        own.groupBy("__part").cogroup(drops.groupBy("__part"))
+        .applyInArrow(_rewrite(text_col, span, min_words, every, [*df.columns, *added]), schema)
+    )
 
 
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
