@@ -8,8 +8,9 @@ of the highest cosine, which is its score. A text that is farther from its centr
 nearly all training texts of it is *rejected*.
 
 The model is fitted on the driver on a bounded sample: at most ``SAMPLE_DOCS`` labelled
-documents in all, equally many for each language, those whose ids hash lowest among texts
-of at most ``SAMPLE_BYTES`` bytes. Every row is predicted from its whole text.
+rows in all, equally many for each language, those whose ids hash lowest among texts
+of at most ``SAMPLE_BYTES`` bytes. At most ``MAX_LANGUAGES`` are learned, the most frequent
+ones. Every row is predicted from its whole text.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; rows without
 a label or an id teach nothing; if nothing can be learned, every text is ``und``; a tie
@@ -34,7 +35,7 @@ from .text_arrays import mix
 _U = np.uint64
 BINS = 4096
 CENTROIDS = 3
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 50_000
+SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 3000, 50_000, 300
 #: Share of a centroid's training texts that may lie beyond its rejection distance, and
 #: the margin added to that distance.
 REJECT_SHARE, REJECT_MARGIN = 0.01, 0.15
@@ -136,29 +137,34 @@ def train(texts: list[str], languages: list[str]) -> Model:
     return Model(idf.astype(np.float32), matrix.astype(np.float32), owner, np.array(nearest))
 
 
-def fit(df: DataFrame, taught: Column, sample: int = SAMPLE_DOCS) -> Model:
+def fit(df: DataFrame, taught: Column, sample: int = SAMPLE_DOCS, languages: int = MAX_LANGUAGES) -> Model:
     """Train on rows where ``taught`` holds and ``lang`` is not null.
 
     The sample is cut in two steps, by salted language and then by language, so that no
-    task gets all rows of a frequent one.
+    task gets all rows of a frequent one. It is of ``sample`` rows at most (or of one for
+    each language), however often an id or a text repeats.
     """
     known = df.filter(taught & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    keys = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    names = keys.select("lang").distinct().count()
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    names = [r.lang for r in counted.select("lang").collect()]
     if not names:
         return train([], [])
-    each = max(1, sample // names)
-    order = [F.col("h"), F.col("doc_id")]
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy(*order)
+    each = max(1, sample // len(names))
+    keys = known.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("h"))
+    keys = keys.filter(F.col("lang").isin(names))
+    order = [F.col("h"), F.col("doc_id"), F.col("t")]
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(16))).orderBy(*order)
     whole = Window.partitionBy("lang").orderBy(*order)
     chosen = (
         keys.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= each).drop("r")
         .withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= each)
-        .select("doc_id").distinct()
+        .groupBy("lang", "doc_id", "t").agg(F.count("*").alias("n"))
     )
-    # At most ``sample`` ids (or one for each language): a bound that does not grow with the rows.
-    rows = known.join(F.broadcast(chosen), "doc_id").select("lang", "text").collect()
-    return train([r.text for r in rows], [r.lang for r in rows])
+    # At most ``sample`` keys: a bound that does not grow with the rows. Rows alike come once.
+    rows = known.withColumn("t", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "t"])
+    rows = rows.groupBy("lang", "doc_id", "t").agg(F.min("text").alias("text"), F.min("n").alias("n")).collect()
+    taken = [(r.lang, r.text) for r in rows for _ in range(r.n)]
+    return train([t for _, t in taken], [x for x, _ in taken])
 
 
 ADDED = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}

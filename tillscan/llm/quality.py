@@ -3,7 +3,9 @@
 Each line of a text has features in [0, 1] (shares of symbols, capitals, digits and marks,
 length, repetition). A linear-chain conditional random field over the labels *content* and
 *boilerplate* is trained on the driver, on a bounded sample: of each quality label the
-``sample`` documents whose ids hash lowest, among those of at most ``SAMPLE_BYTES`` bytes.
+``sample`` rows whose ids hash lowest, among texts of at most ``SAMPLE_BYTES`` bytes and
+``SAMPLE_LINES`` lines.
+Rows that fail the base rules do not train.
 Line labels start as the label of their document; documents of low quality are then
 relabelled by Viterbi and the field is trained again. Every row is scored, whole.
 A document is kept if the base rules hold and at least ``MIN_CONTENT`` of its words stand in
@@ -35,7 +37,7 @@ from .common import table
 from .text_arrays import mix, word_hashes
 
 _U = np.uint64
-SAMPLE_DOCS, SAMPLE_BYTES = 750, 50_000
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LINES = 750, 50_000, 1000
 MIN_CONTENT = 0.5
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -60,7 +62,7 @@ _IS = {
 }
 FEATURES = (
     "bias", "symbols", "marked_words", "shouts", "capitals", "digits", "long_words",
-    "sentences", "repeated", "empty",
+    "sentences", "repeated", "empty", "first", "stutters",
 )
 
 
@@ -127,6 +129,11 @@ def measure(texts: list[str]) -> Lines:
             repeated[at] = line in seen
             seen.add(line)
             at += 1
+    first = np.zeros(len(starts))  # the chain's start potential
+    first[(np.cumsum(counts) - counts)[counts > 0]] = 1.0
+    hashes, n_words = word_hashes(texts)
+    line = np.repeat(np.arange(len(starts)), words)
+    again = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
     features = np.stack(
         [
             np.ones(len(starts)),
@@ -139,11 +146,12 @@ def measure(texts: list[str]) -> Lines:
             np.minimum(1, 8 * stops / per),
             repeated.astype(float),
             (words == 0).astype(float),
+            first,
+            np.bincount(line[1:][again], minlength=len(starts)) / per,
         ],
         axis=1,
     )
     doc = np.repeat(np.arange(len(texts)), counts)
-    hashes, n_words = word_hashes(texts)
 
     def by_text(x: np.ndarray) -> np.ndarray:
         return np.bincount(doc, weights=x, minlength=len(texts)).astype(np.int64)
@@ -158,6 +166,22 @@ def measure(texts: list[str]) -> Lines:
     return Lines(features, words, counts, base)
 
 
+def measure_all(texts: list[str]) -> Lines:
+    """``measure`` in parts of about 2 MB, which bounds the arrays by byte."""
+    parts, begin, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= 2_000_000 or i + 1 == len(texts):
+            parts.append(measure(texts[begin : i + 1]))
+            begin, size = i + 1, 0
+    base = {k: np.concatenate([p.base[k] for p in parts]) for k in parts[0].base}
+    return Lines(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("features", "words", "counts")), base)
+
+
+def base_fails(base: dict[str, np.ndarray]) -> np.ndarray:
+    return (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
+
+
 @dataclass
 class Crf:
     """Scores of boilerplate against content: a weight by feature, and transitions."""
@@ -192,24 +216,26 @@ class Crf:
         return out if len(scores) else []
 
 
-def _expected(model: Crf, scores: np.ndarray, active: list[int], share: np.ndarray):
-    """Forward-backward over padded texts, longest first: expected labels (text x line),
-    and expected transitions weighted by ``share``. ``active[t]`` texts have line ``t``."""
-    length = len(active)
-    emit = [np.stack([np.zeros(a), scores[:a, t]], axis=1) for t, a in enumerate(active)]
+def _expected(model: Crf, scores: np.ndarray, at: list[np.ndarray], share: np.ndarray):
+    """Forward-backward over texts, longest first: expected labels by line, and expected
+    transitions weighted by ``share``. ``at[t]`` are the lines number ``t``, of the texts
+    that have one; nothing is padded."""
+    length = len(at)
+    emit = [np.stack([np.zeros(len(i)), scores[i]], axis=1) for i in at]
     fwd = [emit[0]]
     for t in range(1, length):
-        before = fwd[t - 1][: active[t]]
+        before = fwd[t - 1][: len(at[t])]
         fwd.append(np.logaddexp.reduce(before[:, :, None] + model.moves, axis=1) + emit[t])
-    bwd = [np.zeros((a, 2)) for a in active]
+    bwd = [np.zeros((len(i), 2)) for i in at]
     for t in range(length - 2, -1, -1):
         after = (bwd[t + 1] + emit[t + 1])[:, None, :] + model.moves
-        bwd[t][: active[t + 1]] = np.logaddexp.reduce(after, axis=2)
+        bwd[t][: len(at[t + 1])] = np.logaddexp.reduce(after, axis=2)
     z = np.logaddexp.reduce(fwd[0] + bwd[0], axis=1)
-    label = np.zeros(scores.shape)
+    label = np.zeros(len(scores))
     moves = np.zeros((2, 2))
-    for t, a in enumerate(active):
-        label[:a, t] = np.exp(fwd[t][:, 1] + bwd[t][:, 1] - z[:a])
+    for t, i in enumerate(at):
+        a = len(i)
+        label[i] = np.exp(fwd[t][:, 1] + bwd[t][:, 1] - z[:a])
         if t:
             pair = fwd[t - 1][:a, :, None] + model.moves + (bwd[t] + emit[t])[:, None, :]
             moves += np.einsum("n,nab->ab", share[:a], np.exp(pair - z[:a, None, None]))
@@ -223,28 +249,26 @@ def train(texts: list[str], good: list[bool], rounds: int = 3, steps: int = 80)
         return model
     order = sorted(range(len(texts)), key=lambda i: (-texts[i].count("\n"), texts[i], good[i]))
     texts, good = [texts[i] for i in order], [good[i] for i in order]
-    lines = measure(texts)
-    stop = np.cumsum(lines.counts)
-    length = int(lines.counts.max())
-    n, k = len(texts), lines.features.shape[1]
-    x, mask, y = np.zeros((n, length, k)), np.zeros((n, length), bool), np.zeros((n, length))
-    for i, (b, c) in enumerate(zip(stop - lines.counts, lines.counts, strict=True)):
-        x[i, :c], mask[i, :c] = lines.features[b : b + c], True
-        y[i, :c] = 0.0 if good[i] else 1.0
-    active = mask.sum(axis=0).tolist()
+    lines = measure_all(texts)
+    x, counts, n = lines.features, lines.counts, len(texts)
+    start = np.cumsum(counts) - counts
+    longer = [int((counts > t).sum()) for t in range(int(counts[0]))]
+    at = [start[:a] + t for t, a in enumerate(longer)]
+    y = np.repeat(np.where(good, 0.0, 1.0), counts)
     share = np.full(n, 1 / n)
-    model = Crf(np.zeros(k), np.zeros((2, 2)))
+    inner = np.ones(len(x), dtype=bool)
+    inner[start] = False  # lines that follow another one
+    model = Crf(np.zeros(x.shape[1]), np.zeros((2, 2)))
     for _ in range(rounds):
-        m = [np.zeros(k), np.zeros((2, 2))]
-        v = [np.zeros(k), np.zeros((2, 2))]
-        seen_label = np.einsum("nt,ntk->k", y * share[:, None], x)
-        both = (mask[:, 1:] * share[:, None])[:, :, None]
-        one = np.stack([1 - y, y], axis=2)
-        seen_moves = np.einsum("nta,ntb->ab", one[:, :-1] * both, one[:, 1:])
+        m = [np.zeros(x.shape[1]), np.zeros((2, 2))]
+        v = [np.zeros(x.shape[1]), np.zeros((2, 2))]
+        seen_label = y @ x / n
+        one = np.stack([1 - y, y], axis=1)
+        seen_moves = one[:-1][inner[1:]].T @ one[1:][inner[1:]] / n
         for step in range(1, steps + 1):
-            label, expected = _expected(model, x @ model.weights, active, share)
+            label, expected = _expected(model, x @ model.weights, at, share)
             grads = [
-                seen_label - np.einsum("nt,ntk->k", label * share[:, None], x) - 1e-4 * model.weights,
+                seen_label - label @ x / n - 1e-4 * model.weights,
                 seen_moves - expected - 1e-4 * model.moves,
             ]
             for p, g, a, b in zip((model.weights, model.moves), grads, m, v, strict=True):
@@ -253,28 +277,32 @@ def train(texts: list[str], good: list[bool], rounds: int = 3, steps: int = 80)
                 b *= 0.99
                 b += 0.01 * g * g
                 p += 0.3 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-        for i, ok in enumerate(good):
+        for ok, b, c in zip(good, start.tolist(), counts.tolist(), strict=True):
             if not ok:
-                c = int(lines.counts[i])
-                got = model.viterbi(x[i, :c] @ model.weights)
-                y[i, :c] = got if any(got) else 1.0
+                got = model.viterbi(x[b : b + c] @ model.weights)
+                y[b : b + c] = got if any(got) else 1.0
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Crf:
-    """Train on at most ``sample`` documents of each quality, chosen by hash."""
+    """Train on at most ``sample`` rows of each quality, chosen by hash.
+
+    Ids are chosen among those that have a text that fits; at most ``2 * sample`` of them
+    are broadcast. Rows are bounded again, as an id may stand in many.
+    """
     known = labels.select("doc_id", "quality").dropna().distinct()
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    fits = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & (feeds < SAMPLE_LINES))
+    known = known.join(fits.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.filter(F.col("quality") == q).orderBy(*order).limit(sample) for q in (0, 1)]
-    # At most 2 * sample rows of two numbers: a bound that does not grow with the data.
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = (
-        docs.select("doc_id", "text")
-        .filter(F.octet_length("text") <= SAMPLE_BYTES)
-        .join(ids, "doc_id")
-        .select("text", "quality")
-        .collect()
-    )
+    rows = []
+    for ids in chosen:
+        own = fits.join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(sample)
+        rows += own.select("text", "quality").collect()
+    # What the base rules reject needs no labels, and would teach that plain lines are bad.
+    passed = ~base_fails(measure_all([r.text for r in rows]).base) if rows else []
+    rows = [r for r, ok in zip(rows, passed, strict=True) if ok]
     return train([r.text for r in rows], [bool(r.quality) for r in rows])
 
 
@@ -300,8 +328,7 @@ def judge(texts: list[str], model: Crf) -> dict[str, list]:
         share.append(float(own[~label].sum() / max(int(own.sum()), 1)))
         found.append(np.flatnonzero(label).tolist())
         at += c
-    failed = (lines.base["n_words"] < 10) | (100 * lines.base["n_repeat_words"] > 20 * lines.base["n_words"])
-    out["base_failed"] = failed.tolist()
+    out["base_failed"] = base_fails(lines.base).tolist()
     out["content_share"], out["boilerplate_lines"] = share, found
     out["kept"] = [not f and s >= MIN_CONTENT for f, s in zip(out["base_failed"], share, strict=True)]
     return out
