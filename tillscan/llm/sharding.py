@@ -6,8 +6,8 @@ with another label ask to move to the most frequent one. A shard takes in what i
 leaves room for, what leaves it included, the largest gains first: the demand by shards and
 gain class is summed, full classes are let in whole and the class on the border by a hashed
 share, so no sort of the demand is needed. Members of one group with one label are alike, so a round works on
-one row for each (group, label), however many documents that is. A group beyond a chunk
-(half a shard, at most ``MAX_CHUNK``) is split into chunks by hash before anything else.
+one row for each (group, label), however many documents that is. A group that no single
+shard can hold is split into chunks of at most a shard by hash before anything else.
 
 After the rounds the sizes are made exact. Documents are ranked within their shard; those
 beyond the shard's share, and all documents without links, fill the gaps that are left, by
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, hash128, id_or_least, table
 
-#: Documents of one group that are ranked in one task, and rows of one rank bucket.
-MAX_CHUNK, BUCKET_ROWS = 50_000, 20_000
+#: Rows that are ranked in one task.
+BUCKET_ROWS = 20_000
 _LEAST = -(2**63)
 
 
@@ -78,18 +78,14 @@ def propagate(state: DataFrame, shards: int, quota: int, rounds: int, at_most: i
         # At most one row for each shard here, and one for each two shards and power of two below.
         loads = {r.shard: r.n for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [max(0, quota - loads.get(t, 0)) for t in range(shards)]
-        # Count, then a hash that breaks ties, then the label, packed into one long. In every
-        # second round labels whose shard has room come first, so that groups whose favourite
-        # is full meet elsewhere.
-        tie = F.shiftleft(F.pmod(F.xxhash64("g", "shard", F.lit(turn)), F.lit(1 << 16)), 16)
-        score = F.shiftleft(F.col("n"), 32) + tie + F.col("shard")
-        if turn % 2:
-            score = score + F.when(_pick(room, F.col("shard")) > 0, F.lit(1 << 60)).otherwise(F.lit(0))
-        count = F.shiftright(F.col("top").bitwiseAND(F.lit((1 << 60) - 1)), 32)
-        voted = state.withColumn("top", F.max(score).over(own)).select(
-            "g", "shard", "n",
-            F.col("top").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("target"),
-            F.floor(F.log2(count.cast("double"))).cast("int").alias("gain"),
+        # Count, then a hash that breaks ties, then the label. In every second round labels
+        # whose shard has room come first, so that groups whose favourite is full meet elsewhere.
+        free = _pick(room, F.col("shard")) > 0 if turn % 2 else F.lit(False)
+        tie = F.xxhash64("g", "shard", F.lit(turn))
+        best = F.struct(free.alias("free"), F.col("n").alias("count"), tie.alias("tie"), F.col("shard").alias("target"))
+        voted = state.withColumn("top", F.max(best).over(own)).select(
+            "g", "shard", "n", F.col("top.target").alias("target"),
+            F.floor(F.log2(F.col("top.count").cast("double"))).cast("int").alias("gain"),
         )
         demand = voted.filter("shard <> target").groupBy("target", "shard", "gain").agg(F.sum("n").alias("n")).collect()
         gates = _gates(demand, room)
@@ -122,8 +118,8 @@ def _ranked(df: DataFrame, by: list[str], bucket: Column, order: list[str]) -> D
 def shard_documents(
     df: DataFrame, shards: int = 40, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot, g) for every row; ``g`` is the chunk of equal
-    texts a document belongs to, null without links."""
+    """(doc_id, size, text_crc32, shard, slot, g) for every row; ``g`` is the group of equal
+    texts (or the chunk of one beyond a shard) a document belongs to, null without links."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     h1, h2 = hash128(text)
     rows = df.select(
@@ -136,7 +132,7 @@ def shard_documents(
     rows = cut(rows)
     total = rows.count()
     quota, over = divmod(total, shards)
-    chunk = max(2, min(quota // 2, MAX_CHUNK))
+    chunk = max(2, quota)
     groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
     groups = groups.select("h1", "h2", F.ceil(F.col("n") / chunk).alias("parts"))
     part = F.pmod(F.xxhash64("doc"), F.col("parts"))
@@ -157,16 +153,16 @@ def shard_documents(
         state.withColumn("upto", F.sum("n").over(upto))
         .groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("spans"))
     )
-    member = F.row_number().over(Window.partitionBy("g").orderBy("doc", "size", "crc")) - 1
+    many = F.pmod(F.xxhash64("doc", F.lit("member")), F.lit(1 + total // BUCKET_ROWS))
     placed = (
-        linked.withColumn("member", member)
+        _ranked(linked, ["g"], many, ["doc", "size", "crc"])
         .join(spans, "g")
-        .withColumn("shard", F.get(F.filter("spans", lambda s: s["upto"] > F.col("member")), 0)["shard"])
+        .withColumn("shard", F.get(F.filter("spans", lambda s: s["upto"] > F.col("rank")), 0)["shard"])
         .select("doc", "size", "crc", "g", "shard")
     )
     share = [quota + (s < over) for s in range(shards)]
     buckets = 1 + total // (shards * BUCKET_ROWS)
-    placed = cut(_ranked(placed, ["shard"], F.pmod("g", F.lit(buckets)), ["g", "doc", "size", "crc"]), total)
+    placed = cut(_ranked(placed, ["shard"], F.pmod(F.xxhash64("g", "doc"), F.lit(buckets)), ["g", "doc", "size", "crc"]), total)
     fits = F.col("rank") < _pick(share, F.col("shard"))
     loads = {r.shard: r.n for r in placed.filter(fits).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     kept = [loads.get(s, 0) for s in range(shards)]
