@@ -104,3 +104,33 @@ def test_inclusion_follows_the_probabilities():
         hits.update({i: p[i] for i in range(8)})
         assert len(left) <= 2
     assert all(abs(hits[i] / 4000 - 0.3) < 0.04 for i in range(8))
+
+
+def test_rows_alike_are_one_unit(spark, monkeypatch):
+    """However often a row repeats, a bucket does not grow, and each is there once."""
+    monkeypatch.setattr(mixing, "SPREAD", 700)
+    seen = []
+    frame = [(1, "four words stand here", "a")] * 20_000 + [(i, "w " * (i % 40), "b") for i in range(500)] + [(None, None, None)] * 30
+    df = spark.createDataFrame(frame, "doc_id long, text string, source string").repartition(6)
+    units = mixing.mix_units(_rows(df, "doc_id", "text", "source")).collect()
+    assert len(units) == 502 and sum(u.m for u in units) == 20_530
+    got = mix_sizes(_rows(df, "doc_id", "text", "source")).collect()
+    assert len(got) == 20_530 and all(0 <= r.copies <= 3 for r in got)
+    for size in {r.source_size for r in got if r.source_size}:
+        own = [r for r in got if r.source_size == size]
+        seen.append(abs(sum(r.size * r.copies for r in own) - own[0].target))
+    assert max(seen) <= 4
+    assert mix_documents(df).count() == sum(r.copies for r in got)
+
+
+def test_landing_keeps_the_number_of_documents():
+    draw = random.Random(7)
+    for n in (1, 2, 3, 30, 2000):
+        size = [draw.randint(0, 900) for _ in range(n)]
+        p = [draw.random() for _ in range(n)]
+        expected, words = sum(p), sum(x * s for x, s in zip(p, size, strict=True))
+        left = flight(p, size, draw)
+        land(p, size, left, words)
+        assert abs(sum(p) - expected) < 1 + 1e-6
+        if n >= 2000:
+            assert abs(sum(x * s for x, s in zip(p, size, strict=True)) - words) <= 2

@@ -12,9 +12,15 @@ null space of both constraints) until one of them is at 0 or 1; the direction is
 that probabilities are kept. Flights run in parallel over buckets of at most about
 ``BUCKET_ROWS`` documents of a source; each leaves two undecided at most, and these meet in
 the next level, until one bucket for each source is left. There the landing rounds the last
-two to the nearest number of words, then corrects at most two documents that fly in this
-last bucket if that comes nearer. Directions come from a generator seeded by the bucket,
-and documents are ordered by hash and id, so reruns agree.
+two to the nearest number of words, then changes places between a taken and another
+document of this bucket, at most ``SWAPS`` times, where that comes nearer: the number of
+documents stays as the cube has balanced it, within one of what was expected. Directions
+come from a generator seeded by the bucket, and documents are ordered by hash and id, so
+reruns agree.
+
+Rows alike in everything are one unit with a number of rows: of ``m`` rows with probability
+``p``, ``floor(m p)`` are taken for certain and the rest of ``m p`` flies. So a bucket holds
+as many rows as any other, however often a row repeats.
 
 Defined cases: null text has no words; the null source sorts last; a source without words
 has target 0 and takes nothing; null ids are documents; repeated rows are documents of
@@ -25,6 +31,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, table
 
 BUCKET_ROWS = 4000
+#: Changes of places after the landing, and rows alike that one row is spread to at a time.
+SWAPS, SPREAD = 2, 10_000
 #: Sources up to this number (one small row each) are broadcast; more are joined.
 BROADCAST_SOURCES = 10_000
 _EPS = 1e-9
@@ -95,22 +105,37 @@ def _step(p: list[float], at: list[int], u: list[int], draw: random.Random) -> N
 
 
 def land(p: list[float], size: list[int], left: list[int], wanted: float) -> None:
-    """Round the last documents so that the words come nearest to ``wanted``."""
+    """Round the last documents so that the words come nearest to ``wanted``; then swaps."""
     done = sum(s for x, s in zip(p, size, strict=True) if x == 1.0)
-    choices = [(0.0,), (1.0,)] if len(left) == 1 else [(x, y) for x in (0.0, 1.0) for y in (0.0, 1.0)]
     if left:
+        # As many documents as were expected, up to rounding.
+        expected = sum(p[i] for i in left)
+        counts = {int(expected + _EPS), int(expected + 1 - _EPS)}
+        choices = [c for c in product((0.0, 1.0), repeat=len(left)) if sum(c) in counts]
         best = min(choices, key=lambda c: (abs(done + sum(x * size[i] for x, i in zip(c, left, strict=True)) - wanted), c))
         for x, i in zip(best, left, strict=True):
             p[i] = x
         done += sum(int(x) * size[i] for x, i in zip(best, left, strict=True))
-    for _ in range(2):
-        gap = done - wanted
-        flips = [(abs(gap + (size[i] if p[i] == 0.0 else -size[i])), i) for i in range(len(p))]
-        if not flips or min(flips)[0] >= abs(gap):
+    for _ in range(SWAPS):
+        swap = _swap(p, size, wanted - done)
+        if swap is None:
             return
-        i = min(flips)[1]
-        done += size[i] if p[i] == 0.0 else -size[i]
-        p[i] = 1.0 - p[i]
+        out, into = swap
+        p[out], p[into] = 0.0, 1.0
+        done += size[into] - size[out]
+
+
+def _swap(p: list[float], size: list[int], gap: float) -> tuple[int, int] | None:
+    """A taken document and another whose change of places brings ``gap`` nearest to 0."""
+    others = sorted((size[i], i) for i in range(len(p)) if p[i] == 0.0)
+    best: tuple[float, int, int] | None = None
+    for out in range(len(p)):
+        if p[out] == 1.0 and others:
+            near = bisect_left(others, (size[out] + gap, -1))
+            for s, into in others[max(0, near - 1) : near + 1]:
+                found = (abs(gap - (s - size[out])), out, into)
+                best = found if best is None or found < best else best
+    return None if best is None or best[0] >= abs(gap) else (best[1], best[2])
 
 
 def _decide(last: bool):
@@ -127,16 +152,14 @@ def _decide(last: bool):
     return run
 
 
-def mix_sizes(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFrame:
-    """(doc, row, size, source_size, target, copies) from (doc, row, source, size).
-
-    ``row`` is any long that tells rows of one doc apart.
-    """
-    rows = cut(rows)
-    total = rows.count()
+def mix_units(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFrame:
+    """(doc, row, size, source_size, target, m, base, more) from (doc, row, source, size):
+    of ``m`` rows alike each is taken ``base`` times, and ``more`` of them once more."""
+    units = cut(rows.groupBy("doc", "row", "source", "size").agg(F.count("*").alias("m")))
+    total = units.count()
     sources = cut(
         source_targets(
-            rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")),
+            units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n")),
             weights, max_repeats,
         ).withColumn("sid", F.xxhash64(F.col("source"), F.col("source").isNull())),
         total,
@@ -146,13 +169,15 @@ def mix_sizes(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFr
     facts = sources.select(
         F.col("source").alias("__source"), "sid", "source_size", "target", "n",
         F.floor(ratio + _EPS).cast("int").alias("base"),
-        F.greatest(F.lit(0.0), ratio - F.floor(ratio + _EPS)).alias("p"),
+        F.greatest(F.lit(0.0), ratio - F.floor(ratio + _EPS)).alias("each"),
     )
     facts = F.broadcast(facts) if seen.k <= BROADCAST_SOURCES else facts
-    order = F.xxhash64("doc", "row", "size")
-    units = rows.join(facts, F.col("source").eqNullSafe(F.col("__source"))).select(
-        "doc", "row", "size", "sid", "n", "source_size", "target", "base", "p", order.alias("order")
-    )
+    wanted = F.col("m") * F.col("each")
+    certain = F.floor(wanted + _EPS)
+    units = units.join(facts, F.col("source").eqNullSafe(F.col("__source"))).select(
+        "doc", "row", "size", "m", "sid", "n", "source_size", "target", "base", certain.alias("certain"),
+        F.greatest(F.lit(0.0), wanted - certain).alias("p"), F.xxhash64("doc", "row", "size").alias("order"),
+    )
     sure = units.filter(F.col("p") <= _EPS)
     open_ = units.filter(F.col("p") > _EPS)
     done = [sure.withColumn("p", F.lit(0.0))]
@@ -169,7 +194,7 @@ def mix_sizes(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFr
         if last:
             done.append(flown)
             break
-        flown = cut(flown, total)
+        flown = cut(flown)
         done.append(flown.filter("p = 0 OR p = 1"))
         # Two of each bucket are left at most.
         open_ = flown.filter("p > 0 AND p < 1").withColumn("n", 2 * F.ceil(F.col("n") / BUCKET_ROWS))
@@ -178,10 +203,24 @@ def mix_sizes(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFr
     for part in done[1:]:
         out = out.unionByName(part.drop("n"))
     return out.select(
-        "doc", "row", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies")
+        "doc", "row", "size", "source_size", "target", "m", "base", (F.col("certain") + F.col("p").cast("long")).alias("more")
     )
 
 
+def mix_sizes(rows: DataFrame, weights: int = 3, max_repeats: int = 3) -> DataFrame:
+    """(doc, row, size, source_size, target, copies) from (doc, row, source, size).
+
+    ``row`` is any long that tells rows of one doc apart; rows alike in all four columns are
+    exchangeable.
+    """
+    units = mix_units(rows, weights, max_repeats)
+    parts = units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / SPREAD))))
+    begin, end = F.col("part") * SPREAD, F.least(F.col("m"), (F.col("part") + 1) * SPREAD)
+    rows = parts.withColumn("k", F.explode(F.sequence(begin, end - 1)))
+    copies = (F.col("base") + (F.col("k") < F.col("more")).cast("int")).cast("int")
+    return rows.select("doc", "row", "size", "source_size", "target", copies.alias("copies"))
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     row = F.xxhash64(*[F.col(c) for c in df.columns])
@@ -194,18 +233,21 @@ def mix_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken."""
-    taken = mix_sizes(_rows(df, id_col, text_col, source_col))
-    taken = taken.groupBy(F.col("doc").alias("__taken_doc"), F.col("row").alias("__taken_row"))
-    taken = taken.agg(F.sum("copies").cast("int").alias("__copies")).filter("__copies > 0")
+    units = mix_units(_rows(df, id_col, text_col, source_col))
+    taken = units.select(
+        F.col("doc").alias("__taken_doc"), F.col("row").alias("__taken_row"),
+        (F.col("m") * F.col("base") + F.col("more")).alias("__copies"),
+    ).filter("__copies > 0")
     keyed = df.withColumns(
         {"__doc": F.col(id_col).cast("long"), "__row": F.xxhash64(*[F.col(c) for c in df.columns])}
     )
-    # Rows alike in every column are one row here; the sum above counts their copies.
+    # Rows alike in every column are one row here, as they are one unit above.
     keyed = keyed.dropDuplicates(["__row", "__doc"])
     same = F.col("__row").eqNullSafe(F.col("__taken_row")) & F.col("__doc").eqNullSafe(F.col("__taken_doc"))
     return (
         keyed.join(taken, same)
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
+        .withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / SPREAD))))
+        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(SPREAD), F.col("__copies") - F.col("__part") * SPREAD).cast("int"))))
         .select(*df.columns)
     )
 
