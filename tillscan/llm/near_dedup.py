@@ -12,7 +12,8 @@
 3. Texts that agree in all rows of a band are joined to the least text of the bucket, and
    connected components over these stars give candidate clusters, which hold every pair
    that shares a bucket. No pairs within a bucket are made.
-4. Pairs of different texts within a candidate cluster are compared exactly, by postings.
+4. Pairs of different texts within a candidate cluster are compared exactly, by postings:
+   the sum of the lesser weights over the sum of the greater ones.
    A cluster beyond one block is thinned first without losing a link (``_large_links``),
    and the rest is compared with all in pairs of bounded blocks. Each block returns a
    spanning forest of its links only.
@@ -48,7 +49,9 @@ _U = np.uint64
 _LEAST = -(2**63)
 _ALL = 2**64 - 1
 #: Texts and bytes of text in one block of the exact comparison.
-BLOCK_TEXTS, BLOCK_BYTES = 1500, 24_000_000
+BLOCK_TEXTS, BLOCK_BYTES = 1500, 12_000_000
+#: Bytes of text that are cut into shingles at a time.
+CALL_BYTES = 4_000_000
 
 
 def dart_signatures(
@@ -127,8 +130,7 @@ def _bands(text_col: str, width: int, bands: int, rows: int, weight: str):
             for part in np.unique(size):  # bounds the arrays where texts are long
                 at = np.flatnonzero(size == part)
                 doc, element, times = shingles([texts[i] for i in at], width)
-                w = times.astype(np.float64) if weight == "count" else np.ones(len(doc))
-                sig = dart_signatures(doc, element, w, len(at), bands * rows)
+                sig = dart_signatures(doc, element, _weights(times, weight), len(at), bands * rows)
                 keys[at] = band_keys(sig, bands, rows)
                 some[at[np.unique(doc)]] = True
             flat = pa.array(keys[codes].reshape(-1))
@@ -144,26 +146,32 @@ def _bands(text_col: str, width: int, bands: int, rows: int, weight: str):
     return run
 
 
-def similar_pairs(
-    left: tuple[np.ndarray, np.ndarray, int],
-    right: tuple[np.ndarray, np.ndarray, int],
-    threshold: float,
-    same: bool,
-) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of ``left``, the sets of ``right`` with that Jaccard similarity."""
-    d, e, n = right
+#: Set numbers, elements, number of sets and weights (all 1 where left out).
+Sets = tuple[np.ndarray, np.ndarray, int] | tuple[np.ndarray, np.ndarray, int, np.ndarray]
+
+
+def _with_weights(sets: Sets) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    return sets if len(sets) == 4 else (*sets, np.ones(len(sets[0])))
+
+
+def similar_pairs(left: Sets, right: Sets, threshold: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of ``left``, the sets of ``right`` with that weighted Jaccard similarity."""
+    d, e, n, w = _with_weights(right)
     order = np.argsort(e, kind="stable")
-    e, d = e[order], d[order]
-    sizes = np.bincount(d, minlength=n)
-    ld, le, ln = left
-    lsizes = np.bincount(ld, minlength=ln)
+    e, d, w = e[order], d[order], w[order]
+    sizes = np.bincount(d, weights=w, minlength=n)
+    ld, le, ln, lw = _with_weights(left)
+    lsizes = np.bincount(ld, weights=lw, minlength=ln)
     begin, end = np.searchsorted(e, le, "left"), np.searchsorted(e, le, "right")
     edges = np.searchsorted(ld, np.arange(ln + 1))
     for i in range(ln):
-        lists = [d[b:c] for b, c in zip(begin[edges[i] : edges[i + 1]], end[edges[i] : edges[i + 1]], strict=True) if c > b + same]
-        if not lists:
+        own = range(edges[i], edges[i + 1])
+        own = [x for x in own if end[x] > begin[x] + same]
+        if not own:
             continue
-        common = np.bincount(np.concatenate(lists), minlength=n)
+        lists = [d[begin[x] : end[x]] for x in own]
+        least = [np.minimum(w[begin[x] : end[x]], lw[x]) for x in own]
+        common = np.bincount(np.concatenate(lists), weights=np.concatenate(least), minlength=n)
         hit = np.flatnonzero(common)
         if same:
             hit = hit[hit > i]
@@ -194,61 +202,79 @@ def _forest(pairs: Iterator[tuple[int, np.ndarray]], left: np.ndarray, right: np
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
-def _sets(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    return (*shingles(rows["text"].tolist(), width)[:2], len(rows))
+def _weights(times: np.ndarray, weight: str) -> np.ndarray:
+    return times.astype(np.float64) if weight == "count" else np.ones(len(times))
+
+
+def _sets(texts: list[str], width: int, weight: str) -> Sets:
+    """Weighted shingles of the texts, cut in parts of bounded size."""
+    parts, begin, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CALL_BYTES or i + 1 == len(texts):
+            doc, element, times = shingles(texts[begin : i + 1], width)
+            parts.append(((doc + begin).astype(np.int32), element, _weights(times, weight)))
+            begin, size = i + 1, 0
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.uint64), 0, np.empty(0)
+    doc, element, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return doc, element, len(texts), w
 
 
-def _links_within(width: int, threshold: float):
+def _links_within(width: int, threshold: float, weight: str):
     """Links among all texts of a small cluster."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["node", "text"]).sort_values("node", kind="stable")
-        own, nodes = _sets(rows, width), rows["node"].to_numpy()
+        own, nodes = _sets(rows["text"].tolist(), width, weight), rows["node"].to_numpy()
         return _forest(similar_pairs(own, own, threshold, True), nodes, nodes)
 
     return run
 
 
-def _links_between(width: int, threshold: float):
+def _links_between(width: int, threshold: float, weight: str):
     """Links from the texts of one block that are left over to those of another block."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["left", "node", "text"]).sort_values("node", kind="stable")
         left, right = rows[rows["left"]], rows[~rows["left"]]
-        pairs = similar_pairs(_sets(left, width), _sets(right, width), threshold, False)
+        own, others = (_sets(x["text"].tolist(), width, weight) for x in (left, right))
+        pairs = similar_pairs(own, others, threshold, False)
         return _forest(pairs, left["node"].to_numpy(), right["node"].to_numpy())
 
     return run
 
 
-def _explode_shingles(width: int):
+def _explode_shingles(width: int, weight: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "node", "h")]
             for b in range(0, len(texts), 500):
-                doc, element, _ = shingles(texts[b : b + 500], width)
-                size = np.bincount(doc, minlength=len(texts[b : b + 500]))
+                doc, element, n, w = _sets(texts[b : b + 500], width, weight)
+                size = np.bincount(doc, weights=w, minlength=n)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x[b + doc]) for x in ids), pa.array(element.astype(np.int64)), pa.array(size[doc])],
-                    names=["cluster", "node", "h", "shingle", "size"],
+                    [*(pa.array(x[b + doc]) for x in ids), pa.array(element.astype(np.int64)), pa.array(w), pa.array(size[doc])],
+                    names=["cluster", "node", "h", "shingle", "weight", "size"],
                 )
 
     return run
 
 
-def _near_pivot(width: int, threshold: float):
+def _near_pivot(width: int, threshold: float, weight: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, Sets] = {}
         for batch in batches:
             near = []
             for text, pivot in zip(batch.column("text").to_pylist(), batch.column("pivot_text").to_pylist(), strict=True):
                 if pivot not in known:
                     known.clear()  # pivots come in runs
-                    known[pivot] = shingles([pivot], width)[1]
-                own, other = shingles([text], width)[1], known[pivot]
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                near.append(common >= threshold * (len(own) + len(other) - common) - 1e-9)
+                    known[pivot] = _sets([pivot], width, weight)
+                _, own, _, w = _sets([text], width, weight)
+                _, other, _, v = known[pivot]
+                _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+                common = np.minimum(w[i], v[j]).sum()
+                near.append(bool(common >= threshold * (w.sum() + v.sum() - common) - 1e-9))
             names = ["cluster", "node", "h", "text", "pivot"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(near, pa.bool_())], names=[*names, "near"]
@@ -257,27 +283,28 @@ def _near_pivot(width: int, threshold: float):
     return run
 
 
-def _large_links(big: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links of clusters beyond one block, from (cluster, node, text).
+def _large_links(big: DataFrame, width: int, threshold: float, weight: str) -> DataFrame:
+    """Links of clusters beyond one block, from (cluster, node, text); none is lost.
 
-    A text with fewer than ``threshold`` of its shingles in any other text of its cluster
-    ties to none of them, whatever they are, and is left out: that is most of a large group
-    of noisy copies. Of the others, those near the cluster's most typical text (its pivot)
+    A text with less than ``threshold`` of its weight in shingles of any other text of its
+    cluster ties to none of them, and is left out: what two texts share is at most the
+    weight of such shingles, and what they have together at least the text's whole weight.
+    That is most of a large group of noisy copies. Of the others, those near the cluster's most typical text (its pivot)
     are tied by it. Only the rest is compared with all, in blocks.
     """
     big = cut(big.withColumn("h", F.xxhash64("text")))
-    kinds = "cluster long, node long, h long, shingle long, size long"
+    kinds = "cluster long, node long, h long, shingle long, weight double, size double"
     alone = (
-        big.mapInArrow(_explode_shingles(width), kinds)
+        big.mapInArrow(_explode_shingles(width, weight), kinds)
         .groupBy("cluster", "shingle")
-        .agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("h").alias("h"), F.min("size").alias("size"))
+        .agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("h").alias("h"), F.min("weight").alias("weight"), F.min("size").alias("size"))
         .filter("n = 1")
         .groupBy("cluster", "node", "h")
-        .agg(F.count("*").alias("alone"), F.min("size").alias("size"))
+        .agg(F.sum("weight").alias("alone"), F.min("size").alias("size"))
     )
     able = (
         big.join(alone, ["cluster", "node", "h"], "left")
-        .withColumn("alone", F.coalesce("alone", F.lit(0)))
+        .withColumn("alone", F.coalesce("alone", F.lit(0.0)))
         .filter(F.col("size").isNull() | (F.col("size") - F.col("alone") >= threshold * F.col("size") - 1e-9))
     )
     able = cut(able.select("cluster", "node", "h", "text", "alone"))
@@ -288,7 +315,7 @@ def _large_links(big: DataFrame, width: int, threshold: float) -> DataFrame:
     starred = cut(
         able.join(pivots.dropDuplicates(["cluster"]), "cluster")
         .select("cluster", "node", "h", "text", "pivot", "pivot_text")
-        .mapInArrow(_near_pivot(width, threshold), "cluster long, node long, h long, text string, pivot long, near boolean")
+        .mapInArrow(_near_pivot(width, threshold, weight), "cluster long, node long, h long, text string, pivot long, near boolean")
     )
     blocks = [
         F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
@@ -310,7 +337,7 @@ def _large_links(big: DataFrame, width: int, threshold: float) -> DataFrame:
     both = rest.select(*columns).unionByName(every.select(*columns))
     # Else the join's partitioning by cluster would do, and one task get all its blocks.
     both = both.repartition("cluster", "i", "j")
-    far = both.groupBy("cluster", "i", "j").applyInPandas(_links_between(width, threshold), "a long, b long")
+    far = both.groupBy("cluster", "i", "j").applyInPandas(_links_between(width, threshold, weight), "a long, b long")
     return starred.filter("near AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionByName(far)
 
 
@@ -329,8 +356,8 @@ def near_classes(
     ``doc`` is the id (null as the least long), ``h1, h2`` the hash of the text, and the
     others name the least (doc, h1, h2) of all texts tied to it: ``class`` alone names
     several classes where unrelated texts share an id. ``weight`` is ``set`` (similarity of
-    shingle sets) or ``count`` (darts by how often a shingle occurs; the exact check still
-    takes sets).
+    shingle sets) or ``count`` (a shingle weighs as often as the text has it, in the darts
+    and in the exact check).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     h1, h2 = hash128(text)
@@ -364,9 +391,9 @@ def near_classes(
     )
     large = cut(sized.filter("blocks > 1").select("cluster"))
     small = member.join(large, "cluster", "left_anti") if large.limit(1).count() else member
-    links = small.groupBy("cluster").applyInPandas(_links_within(width, threshold), "a long, b long")
+    links = small.groupBy("cluster").applyInPandas(_links_within(width, threshold, weight), "a long, b long")
     if large.limit(1).count():
-        links = links.unionByName(_large_links(member.join(large, "cluster", "left_semi"), width, threshold))
+        links = links.unionByName(_large_links(member.join(large, "cluster", "left_semi"), width, threshold, weight))
     roots = components(links)
     own = F.struct("doc", "h1", "h2")
     tied = texts.select("node", own.alias("own")).join(roots, "node")
@@ -401,7 +428,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     Where unrelated texts share that id, their classes show the same ``class_id``, and each
     has its own row that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    classes = near_classes(docs)
+    classes = near_classes(docs, weight="count")
     return classes.select(
         _shown("doc").alias("doc_id"),
         _shown("class").alias("class_id"),
