@@ -163,15 +163,15 @@ def similar_pairs(left: Sets, right: Sets, threshold: float, same: bool) -> Iter
     ld, le, ln, lw = _with_weights(left)
     lsizes = np.bincount(ld, weights=lw, minlength=ln)
     begin, end = np.searchsorted(e, le, "left"), np.searchsorted(e, le, "right")
-    edges = np.searchsorted(ld, np.arange(ln + 1))
+    met = np.flatnonzero(end > begin + same)  # elements that another set has too
+    edges = np.searchsorted(ld[met], np.arange(ln + 1))
     for i in range(ln):
-        own = range(edges[i], edges[i + 1])
-        own = [x for x in own if end[x] > begin[x] + same]
-        if not own:
+        own = met[edges[i] : edges[i + 1]]
+        if not len(own):
             continue
-        lists = [d[begin[x] : end[x]] for x in own]
-        least = [np.minimum(w[begin[x] : end[x]], lw[x]) for x in own]
-        common = np.bincount(np.concatenate(lists), weights=np.concatenate(least), minlength=n)
+        size = end[own] - begin[own]
+        at = np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        common = np.bincount(d[at], weights=np.minimum(w[at], np.repeat(lw[own], size)), minlength=n)
         hit = np.flatnonzero(common)
         if same:
             hit = hit[hit > i]
