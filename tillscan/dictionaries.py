@@ -154,3 +154,13 @@ KILOGRAMS = r"(?i)(\d+(?:[\.,]\d+)?)\s*kg\b"
 GLUED_SIZE = r"(?i)([a-z])x(\d)"
 TRAILING_TAX_RATE = r"(?i)\s*\(?\b21\)?\s*$"
 SPECS = r"(?i)\b(?:x\d+[a-z]*|\d+(?:[a-z]+)?)\b"
+
+# --- Images and retries (fixed values) -------------------------------------------------------
+
+#: Weights of red, green and blue, in 1/65536 (ITU-R 601-2).
+GRAY_RED, GRAY_GREEN, GRAY_BLUE = 19595, 38470, 7471
+CONTRAST_SCALE, CONTRAST_OFFSET, BORDER = 1.28, 14, 16
+PAPER_LEVEL, PAPER_SHARE, PAPER_LINES, PAPER_MARGIN = 165, 0.45, 40, 25
+PAPER_WIDTH, PAPER_HEIGHT = 0.22, 0.35
+LONGEST_SIDE = 2200
+RETRY_STEP, RETRY_MOST = 1500, 4000

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillscan import dictionaries as D
 
 #: Java's notion of a blank character beyond those that ``trim`` removes.
-BLANK = r"^[\s\x1c-\x1f  -  -    　]*$"
+BLANK = r"^[\s\x1c-\x1f\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]*$"
 
 
 @cache

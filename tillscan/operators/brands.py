@@ -3,7 +3,8 @@
 Two ways of matching give the same rows. Small dictionaries are literals, tried longest
 first (J1, J2 as expressions, no join). Large ones are joined: a description is exploded
 to its prefixes (or substrings) of the lengths that aliases have, and these meet the alias
-table in an equi-join, which Spark can hash, broadcast or split as sizes ask for.
+table in an equi-join, which Spark can hash, broadcast or split as sizes ask for. An alias
+without letters or digits is in every description, and the last choice of both ways.
 """
 
 from __future__ import annotations
@@ -95,7 +96,6 @@ def match_brands(
     of aliases (few) are the only thing gathered; explode and join are linear in text
     length times their number.
     """
-    aliases = aliases.filter("compact <> ''")
     lengths = sorted(r[0] for r in aliases.select(F.length("compact")).distinct().collect())
     if not lengths:
         lengths = [1]
@@ -105,7 +105,7 @@ def match_brands(
     def pieces(n: Column) -> Column:
         if not anywhere:
             return F.array(F.substr(c, F.lit(1), n))
-        return F.when(
+        return F.when(n == 0, F.array(F.lit(""))).when(
             F.length(c) >= n,
             F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)),
         ).otherwise(F.array().cast("array<string>"))
@@ -120,6 +120,22 @@ def match_brands(
     return hits.select(*key_cols, F.col("b.brand").alias("brand"), F.col("b.norm").alias("alias"))
 
 
+def with_known_brands(df: DataFrame, aliases: DataFrame, text_col: str, anywhere: Column) -> DataFrame:
+    """``df`` with ``known`` (brand, alias, or null) from a dictionary of any size.
+
+    Distinct descriptions are matched, once from their start and once anywhere, as
+    ``anywhere`` says of their rows; so a frequent description costs one match.
+    """
+    keyed = df.withColumns({"__t": F.coalesce(F.col(text_col), F.lit("")), "__any": anywhere})
+    texts = keyed.select("__t", "__any").distinct()
+    found = [
+        match_brands(texts.filter(F.col("__any") == flag), aliases, "__t", ["__t"], anywhere=flag).withColumn("__any", F.lit(flag))
+        for flag in (False, True)
+    ]
+    both = found[0].unionByName(found[1]).select("__t", "__any", F.struct("brand", "alias").alias("known"))
+    return keyed.join(both, ["__t", "__any"], "left").drop("__t", "__any")
+
+
 def can_learn(brand: Column) -> Column:
     """Whether a fallback brand is fit for the catalog."""
     cleaned, n = clean_brand(brand), dict_norm(brand)

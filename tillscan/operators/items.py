@@ -18,7 +18,7 @@ from tillscan.functions import lines as L
 from tillscan.functions.text import beautify, let, letters
 from tillscan.sources.dictionaries import Alias, Rule, StoreAlias, brand_aliases
 
-from .brands import fallback_brand, known_brand, remove_brand
+from .brands import fallback_brand, known_brand, remove_brand, with_known_brands
 from .header import headed
 from .products import expand_product
 
@@ -174,9 +174,12 @@ def raw_items(
 
 
 def built_items(
-    raw: DataFrame, aliases: Sequence[Alias] | None = None, rules: Sequence[Rule] | None = None
+    raw: DataFrame, aliases: Sequence[Alias] | DataFrame | None = None, rules: Sequence[Rule] | None = None
 ) -> DataFrame:
-    """The finished items of ``raw`` (B1, B2); nulls where a line has none."""
+    """The finished items of ``raw`` (B1, B2); nulls where a line has none.
+
+    ``aliases`` are literals, or a table of any size, which is joined.
+    """
     aliases = brand_aliases() if aliases is None else aliases
     app = F.col("layout") == "app"
     keep = [*CARRIED, "raw_description", "raw_price", "raw_quantity"]
@@ -190,8 +193,11 @@ def built_items(
     )
     keep += ["shown", "total_price", "quantity"]
     shown = F.col("shown")
-    known = F.when(app, known_brand(shown, aliases, anywhere=True)).otherwise(known_brand(shown, aliases))
-    out = _once(out, keep, known=known)
+    if isinstance(aliases, DataFrame):
+        out = with_known_brands(out, aliases, "shown", app).select(*keep, "known")
+    else:
+        known = F.when(app, known_brand(shown, aliases, anywhere=True)).otherwise(known_brand(shown, aliases))
+        out = _once(out, keep, known=known)
     generic = F.struct(F.lit(D.GENERIC_BRAND).alias("brand"), F.lit("").alias("alias"))
     brand = F.coalesce("known", F.when(app, generic).otherwise(fallback_brand(shown)))
     out = _once(out, keep, brand=brand, brand_is_new=~app & F.col("known").isNull())
@@ -225,7 +231,7 @@ def receipt_items(
     receipts: DataFrame,
     as_of_year: int,
     stores: Sequence[StoreAlias] | None = None,
-    aliases: Sequence[Alias] | None = None,
+    aliases: Sequence[Alias] | DataFrame | None = None,
     rules: Sequence[Rule] | None = None,
 ) -> DataFrame:
     """All items of all receipts, one row each (``ITEM_COLUMNS``)."""

@@ -18,14 +18,20 @@ ITEM_ORDER = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores, where the input has too few parts to keep them busy.
+def parts_wanted(spark: SparkSession) -> int:
+    """Parts that keep all cores busy, and not fewer than an exchange has anyway."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a table dealt over all cores, where its files have too few parts to keep them busy.
 
     Parsing is far more work than moving a text, but a table of one file and one row group
-    is one task. Large inputs have parts enough and are left as they are.
+    is one task. Large inputs have parts enough and are left as they are. Only for plain
+    scans, whose parts are known from file sizes without running anything.
     """
-    wanted = 4 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    wanted = 4 * scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +44,13 @@ def comma(value: Column, pattern: str = "0.00") -> Column:
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, o_orderdate, r_name, items): items sorted, each with its part's name."""
+    """(o_orderkey, o_orderdate, r_name, items): items sorted, each with its part's name.
+
+    Lines are dealt by order with a stated number of parts, so that the exchange which the
+    aggregate needs in any case also keeps all cores busy with parsing.
+    """
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey").repartition(parts_wanted(spark), "l_orderkey")
     packed = F.struct(*[F.col(c) for c in ITEM_ORDER], "p_name")
     items = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(packed)).alias("items"))
     region = (
@@ -59,7 +69,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _receipts(orders: DataFrame, head: Column, body: Column, foot: Column) -> DataFrame:
     text = F.array_join(F.concat(head, F.flatten(body), foot), "\n")
-    return spread(orders.select(F.col("o_orderkey").alias("receipt_id"), text.alias("raw_text")))
+    return orders.select(F.col("o_orderkey").alias("receipt_id"), text.alias("raw_text"))
 
 
 def date_line(years: int = YEARS, pattern: str = "dd/MM/yyyy") -> Column:

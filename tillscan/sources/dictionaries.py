@@ -2,7 +2,7 @@
 
 A dictionary is small by nature (hundreds of entries). ``brand_aliases`` and friends return
 plain rows on the driver after checking ``MAX_ENTRIES``; the plans put them into literals.
-Larger ones go through the join operators of ``tillscan.operators.brands``.
+``load_brands`` returns a larger catalog as a table, which the same plans join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
-from tillscan.functions.text import clean_brand, py_dict_norm, py_norm
+from tillscan.functions.text import clean_brand, dict_norm, py_dict_norm, py_norm
 
 MAX_ENTRIES = 5000
 
@@ -49,8 +49,8 @@ def read_brands(spark: SparkSession, path: str) -> DataFrame:
     """(pos, brand) of a JSON list of names (S10); blank names and "-" are left out."""
     text = spark.read.text(path, wholetext=True)
     names = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "brand"))
-    names = names.withColumn("brand", clean_brand(F.col("brand")))
-    return names.filter(~F.col("brand").isin("", "-"))
+    names = names.withColumn("brand", clean_brand(F.col("brand"))).filter(~F.col("brand").isin("", "-"))
+    return names.groupBy("brand").agg(F.min("pos").alias("pos")).select("pos", "brand").orderBy("pos")  # a set
 
 
 def read_stores(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +60,6 @@ def read_stores(spark: SparkSession, path: str) -> DataFrame:
     """
     text = spark.read.text(path, wholetext=True)
     pairs = text.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("i", "e"))
-    from tillscan.functions.text import dict_norm
-
     rows = pairs.select("i", dict_norm(F.col("e.key")).alias("alias"), F.col("e.value").alias("store"))
     return rows.groupBy("alias").agg(F.min("i").alias("pos"), F.max_by("store", "i").alias("store"))
 
@@ -80,6 +78,38 @@ def brand_aliases(brands: Iterable[str] = D.BRANDS) -> list[Alias]:
     return list(_bounded(sorted(out, key=lambda a: (-len(a.compact), a.pos, a.alias_pos))))
 
 
+def alias_frame(brands: DataFrame) -> DataFrame:
+    """Every spelling (N8) of a table (pos, brand) of any size, as ``brand_aliases`` has them."""
+    named = F.array("brand", *[F.replace("brand", F.lit(a), F.lit(b)) for a, b in D.BRAND_VARIANTS])
+    own = dict_norm(F.col("brand"))
+    for brand, more in D.BRAND_SPELLINGS.items():
+        named = F.when(own == brand, F.concat(named, F.array(*map(F.lit, more)))).otherwise(named)
+    names = brands.select("pos", "brand", F.posexplode(named).alias("alias_pos", "name"))
+    names = names.withColumn("norm", dict_norm(F.col("name")))
+    return (
+        names.groupBy("pos", "brand", "norm").agg(F.min("alias_pos").alias("alias_pos"))
+        .select("pos", "alias_pos", "brand", "norm", F.replace("norm", F.lit(" "), F.lit("")).alias("compact"))
+    )
+
+
+def load_brands(spark: SparkSession, path: str) -> list[Alias] | DataFrame:
+    """The brands of a JSON list for ``parse``: literals, or a table of any size.
+
+    At most ``MAX_ENTRIES`` and one rows come to the driver.
+    """
+    table = alias_frame(read_brands(spark, path))
+    rows = table.limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        return table
+    return sorted((Alias(*r) for r in rows), key=lambda a: (-len(a.compact), a.pos, a.alias_pos))
+
+
+def load_stores(spark: SparkSession, path: str) -> list[StoreAlias]:
+    """The stores of a JSON object for ``parse``, behind those that come first anyway."""
+    rows = read_stores(spark, path).orderBy("pos").limit(MAX_ENTRIES + 1).collect()
+    return store_aliases(_bounded([(r.alias, r.store) for r in rows]))
+
+
 def brand_alias_table(spark: SparkSession, brands: Iterable[str] = D.BRANDS) -> DataFrame:
     return spark.createDataFrame(brand_aliases(brands), "pos int, alias_pos int, brand string, norm string, compact string")
 
