@@ -5,7 +5,8 @@ with the variable-bitrate table, then MPEG-1 Layer III frames (48 kHz, mono) tha
 silence and carry the bytes as ancillary data, each with its CRC-16; the last frame has the
 least bitrate that holds the rest. ``read_stream`` makes no use of how a stream came about:
 it skips tags, resynchronises on frame headers (a header counts if another of the same kind,
-or the end, follows at its length, or if it stands right behind a frame of its kind), verifies the CRC-16 of Layers I and III, parses Xing,
+or the end, follows at its length, or if it stands right behind a frame of its kind; free-format
+frames, whose length no header tells, are skipped bytes), verifies the CRC-16 of all layers, parses Xing,
 Info and VBRI tables, and returns exact durations (samples over rate) and the byte offset
 of every frame.
 
@@ -70,6 +71,7 @@ class Header:
     size: int  # bytes of the frame
     samples: int
     channels: int
+    bound: int = 32  # subband from which both channels share their bits (Layers I and II)
 
     @property
     def kind(self) -> tuple[int, int, int]:
@@ -83,6 +85,22 @@ class Header:
         return 9 if self.channels == 1 else 17
 
 
+#: Layer II: widths of the bit allocation of runs of subbands, by table (Annex B of both standards).
+L2_WIDE, L2_NARROW = ((11, 4), (12, 3), (7, 2)), ((2, 4), (10, 3))
+L2_LOW_RATES = ((4, 4), (7, 3), (19, 2))
+
+
+def allocation_widths(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a Layer II frame."""
+    if h.version != 3:
+        table, bands = L2_LOW_RATES, 30
+    elif h.kbps // h.channels < 56:
+        table, bands = L2_NARROW, 12 if h.rate == 32000 else 8
+    else:
+        table, bands = L2_WIDE, 30 if h.kbps // h.channels >= 96 and h.rate != 48000 else 27
+    return [bits for n, bits in table for _ in range(n)][:bands]
+
+
 _HEADERS: dict[int, Header | None] = {}
 
 
@@ -112,7 +130,8 @@ def _parse_header(word: int) -> Header | None:
     padding = word >> 9 & 1
     size = (12000 * kbps // hz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + padding
     channels = 1 if word >> 6 & 3 == 3 else 2
-    return Header(version, layer, not word >> 16 & 1, kbps, hz, size, samples, channels)
+    bound = 4 * ((word >> 4 & 3) + 1) if word >> 6 & 3 == 1 else 32
+    return Header(version, layer, not word >> 16 & 1, kbps, hz, size, samples, channels, bound)
 
 
 @dataclass
@@ -192,17 +211,49 @@ def _vbr_table(data: bytes, at: int, h: Header) -> dict | None:
 _CHECKED: dict[bytes, int] = {}
 
 
-def _checksum(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether the frame's CRC holds; None for Layer II, whose extent is not parsed."""
-    if h.layer == 2:
-        return None
-    extent = h.side if h.layer == 3 else 16 * h.channels
-    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + extent]
-    if covered not in _CHECKED:
+def _crc_bits(data: bytes, bits: int) -> int:
+    """The checksum of the first ``bits`` bits."""
+    r = crc16(data[: bits // 8])
+    for i in range(bits // 8 * 8, bits):
+        bit = data[i // 8] >> (7 - i % 8) & 1
+        r = (r << 1 & 0xFFFF) ^ (0x8005 if (r >> 15) ^ bit else 0)
+    return r
+
+
+def _covered_bits(data: bytes, at: int, h: Header) -> int:
+    """Bits behind the checksum that it covers.
+
+    Layer III: the side information. Layer I: the bit allocation, which subbands from the
+    bound on have once for both channels. Layer II: that, and the scale factor selection,
+    two bits for each channel of a subband that has bits at all.
+    """
+    if h.layer == 3:
+        return 8 * h.side
+    shared = min(h.bound, 32) if h.channels == 2 else 32
+    if h.layer == 1:
+        return 4 * (shared * h.channels + 32 - shared)
+    widths = allocation_widths(h)
+    value = int.from_bytes(data[at + 6 : at + 6 + 32], "big")
+    place, chosen = 256, 0
+    for band, width in enumerate(widths):
+        separate = h.channels if band < shared else 1
+        for _ in range(separate):
+            place -= width
+            if value >> place & (1 << width) - 1:
+                chosen += 2 * h.channels // separate
+    return 256 - place + chosen
+
+
+def _checksum(data: bytes, at: int, h: Header) -> bool:
+    """Whether the frame's CRC holds."""
+    bits = _covered_bits(data, at, h)
+    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits + 7) // 8]
+    key = covered + bytes([bits % 8])
+    if key not in _CHECKED:
         if len(_CHECKED) > 10_000:
             _CHECKED.clear()
-        _CHECKED[covered] = crc16(covered)
-    return _CHECKED[covered] == int.from_bytes(data[at + 4 : at + 6], "big")
+        _CHECKED[key] = _crc_bits(covered, 16 + bits)
+    return _CHECKED[key] == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 def _ancillary(data: bytes, at: int, h: Header) -> bytes:
