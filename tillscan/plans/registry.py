@@ -692,7 +692,7 @@ def learned_brands(spark, sf_dir):
 @query(
     f"""
 WITH c AS (SELECT DISTINCT {_T1} || CASE WHEN length({_W1}) <= 3 THEN ' ' || {_T2} ELSE '' END AS brand FROM part)
-SELECT '["' || string_agg(brand, '","' ORDER BY lower(brand), brand) || '"]' AS value FROM (SELECT brand FROM c UNION SELECT 'sancor')
+SELECT '[ "' || string_agg(brand, '", "' ORDER BY lower(brand), brand) || '" ]' AS value FROM (SELECT brand FROM c UNION SELECT 'sancor')
 """
 )
 def catalog_merge(spark, sf_dir):

@@ -12,9 +12,9 @@ def write_exports(response: DataFrame, path: str, column: str = "csv") -> None:
 
 
 def catalog_json(catalog: DataFrame) -> DataFrame:
-    """The catalog as one JSON list, sorted regardless of case (K7); small by nature."""
+    """The catalog as one spaced JSON list, sorted regardless of case (K7); small by nature."""
     names = F.sort_array(F.collect_list(F.struct(F.lower("brand").alias("k"), "brand")))
-    return catalog.agg(F.to_json(F.transform(names, lambda n: n["brand"])).alias("value"))
+    return catalog.agg(F.to_json(F.transform(names, lambda n: n["brand"]), {"pretty": "true"}).alias("value"))
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
