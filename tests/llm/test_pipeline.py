@@ -1,14 +1,18 @@
-"""The pipeline at sf0.01 against the operators' own brute-force versions."""
+"""The pipeline at sf0.001 against the operators' own brute-force versions."""
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline as P
 from tests.llm.test_lines_and_chats import brute_lines
+from tests.llm.test_mixing import brute_targets
 from tests.llm.test_near_dedup import brute_classes
+from tests.llm.test_quality import WORD
+from tests.llm.test_quality import brute as brute_counts
+from tillscan.llm import quality
 from tillscan.llm.common import cut, table
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +42,41 @@ def test_quality_keeps_clean_documents(spark, stages):
     assert sum(d not in kept for d in poor) >= 0.7 * len(poor)
 
 
+def best_labels(scores, moves):
+    """The best labelling from the best ones that end in content and in boilerplate."""
+    ends = None
+    for s in scores:
+        if ends is None:
+            ends = [(0.0, [0]), (s, [1])]
+            continue
+        ends = [
+            max(((v + moves[a][b] + b * s, [*path, b]) for a, (v, path) in enumerate(ends)), key=lambda x: x[0])
+            for b in (0, 1)
+        ]
+    return max(ends, key=lambda x: x[0])[1]
+
+
+def test_quality_equals_brute_force(spark, stages):
+    _, before, after, _ = stages[0]
+    model = quality.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    good = {r.doc_id for r in table(spark, SF, "labels").collect() if r.quality == 1}
+    want, clean = Counter(), []
+    for r in before:
+        text = r.text or ""
+        n, _, _, _, again = brute_counts(text)
+        if n < 10 or 100 * again > 20 * n:
+            continue
+        scores = (quality.measure([text]).features @ model.weights).tolist()
+        labels = best_labels(scores, model.moves.tolist())
+        own = [len(WORD.findall(line)) for line in text.split("\n")]
+        keep = sum(w for w, b in zip(own, labels, strict=True) if not b) >= quality.MIN_CONTENT * n
+        want[r.doc_id, r.text] += keep
+        if r.doc_id in good:
+            clean.append(keep)
+    assert Counter((r.doc_id, r.text) for r in after) == +want
+    assert clean and sum(clean) >= 0.98 * len(clean)
+
+
 def test_line_dedup(stages):
     _, before, after, _ = stages[1]
     want = Counter((i, t) for i, _, _, t in brute_lines([(r.doc_id, r.text) for r in before]))
@@ -55,8 +94,15 @@ def test_mixing(stages):
     _, before, after, _ = stages[3]
     assert set(map(str, after)) <= set(map(str, before))
     assert max(Counter(r.doc_id for r in after).values()) <= 3
-    words = [sum(len(r.text.split()) for r in rows) for rows in (before, after)]
-    assert abs(words[0] - words[1]) < 0.1 * words[0]
+    sizes, taken, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in before:
+        n = len(WORD.findall(r.text or ""))
+        sizes[r.source] += n
+        longest[r.source] = max(longest[r.source], n)
+    for r in after:
+        taken[r.source] += len(WORD.findall(r.text or ""))
+    for source, target in brute_targets(sizes).items():
+        assert abs(taken[source] - target) <= longest[source]
 
 
 def test_bpe(stages):
