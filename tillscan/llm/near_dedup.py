@@ -382,8 +382,9 @@ def near_classes(
     stars = keyed.join(heads, "key").filter("node <> head").select("node", "head").distinct()
     clusters = components(stars, "node", "head")
     placed = clusters.select("node", F.col("root").alias("cluster")).join(texts.select("node", "doc", "h1", "h2"), "node")
-    member = base.join(placed, ["doc", "h1", "h2"])
-    member = member.select("cluster", "node", "text")
+    # Rows that repeat id and text become one before the exchange, which the join then shares.
+    keys = ["doc", "h1", "h2"]
+    member = base.dropDuplicates(keys).join(placed, keys).select("cluster", "node", "text")
     sized = member.groupBy("cluster").agg(
         F.greatest(
             F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)
@@ -419,7 +420,8 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = kept.select(F.col("doc").alias("__doc"), F.struct("h1", "h2").alias("__h"))
     h1, h2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
     own = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__h": F.struct(h1.alias("h1"), h2.alias("h2"))})
-    return own.join(kept, ["__doc", "__h"], "left_semi").dropDuplicates(["__doc", "__h"]).drop("__doc", "__h")
+    # Repeated rows become one before the exchange, so that a hot one is a row for each task.
+    return own.dropDuplicates(["__doc", "__h"]).join(kept, ["__doc", "__h"], "left_semi").drop("__doc", "__h")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
