@@ -126,21 +126,22 @@ def _bands(text_col: str, width: int, bands: int, rows: int, weight: str):
             texts, codes = column.dictionary.to_pylist(), column.indices.to_numpy(False)
             keys = np.empty((len(texts), bands), dtype=np.int64)
             some = np.zeros(len(texts), dtype=bool)
-            size = np.cumsum([len(t) for t in texts]) // 4_000_000 if texts else np.empty(0)
-            for part in np.unique(size):  # bounds the arrays where texts are long
-                at = np.flatnonzero(size == part)
+            parts = np.cumsum([len(t) for t in texts]) // CALL_BYTES if texts else np.empty(0)
+            for part in np.unique(parts):  # bounds the arrays where texts are long
+                at = np.flatnonzero(parts == part)
                 doc, element, times = shingles([texts[i] for i in at], width)
                 sig = dart_signatures(doc, element, _weights(times, weight), len(at), bands * rows)
                 keys[at] = band_keys(sig, bands, rows)
                 some[at[np.unique(doc)]] = True
             flat = pa.array(keys[codes].reshape(-1))
             has = some[codes]
+            size = pa.compute.binary_length(batch.column(text_col)).cast(pa.int64())
             ends = np.arange(len(codes) + 1, dtype=np.int32) * bands
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             lists = pa.compute.if_else(pa.array(has), lists, pa.scalar(None, lists.type))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("h1"), batch.column("h2"), lists],
-                names=["doc", "h1", "h2", "bands"],
+                [batch.column("doc"), batch.column("h1"), batch.column("h2"), size, lists],
+                names=["doc", "h1", "h2", "size", "bands"],
             )
 
     return run
@@ -365,11 +366,11 @@ def near_classes(
         id_or_least(F.col(id_col)).alias("doc"), h1.alias("h1"), h2.alias("h2"), text.alias("text")
     )
     sketched = base.mapInArrow(
-        _bands("text", width, bands, rows, weight), "doc long, h1 long, h2 long, bands array<long>"
+        _bands("text", width, bands, rows, weight), "doc long, h1 long, h2 long, size long, bands array<long>"
     )
     texts = cut(
         sketched.groupBy("h1", "h2")
-        .agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
+        .agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())  # a node is a text, whatever its id
     )
     keyed = texts.select("node", F.explode("bands").alias("key"))
@@ -381,19 +382,21 @@ def near_classes(
     )
     stars = keyed.join(heads, "key").filter("node <> head").select("node", "head").distinct()
     clusters = components(stars, "node", "head")
-    placed = clusters.select("node", F.col("root").alias("cluster")).join(texts.select("node", "doc", "h1", "h2"), "node")
+    placed = clusters.select("node", F.col("root").alias("cluster")).join(
+        texts.select("node", "doc", "h1", "h2", "size"), "node"
+    )
+    # Which clusters are large is known from sizes alone, before any text is moved.
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES))
+    large = cut(placed.groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1").select("cluster"))
     # Rows that repeat id and text become one before the exchange, which the join then shares.
     keys = ["doc", "h1", "h2"]
     member = base.dropDuplicates(keys).join(placed, keys).select("cluster", "node", "text")
-    sized = member.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)
-        ).alias("blocks")
-    )
-    large = cut(sized.filter("blocks > 1").select("cluster"))
-    small = member.join(large, "cluster", "left_anti") if large.limit(1).count() else member
+    some_large = large.limit(1).count() > 0
+    if some_large:
+        member = cut(member)  # candidates only, read more than once
+    small = member.join(large, "cluster", "left_anti") if some_large else member
     links = small.groupBy("cluster").applyInPandas(_links_within(width, threshold, weight), "a long, b long")
-    if large.limit(1).count():
+    if some_large:
         links = links.unionByName(_large_links(member.join(large, "cluster", "left_semi"), width, threshold, weight))
     roots = components(links)
     own = F.struct("doc", "h1", "h2")
