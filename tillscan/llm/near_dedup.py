@@ -50,8 +50,8 @@ _LEAST = -(2**63)
 _ALL = 2**64 - 1
 #: Texts and bytes of text in one block of the exact comparison.
 BLOCK_TEXTS, BLOCK_BYTES = 1500, 12_000_000
-#: Bytes of text that are cut into shingles at a time.
-CALL_BYTES = 4_000_000
+#: Bytes of text that are cut into shingles at a time, which bounds a worker's arrays.
+CALL_BYTES = 1_000_000
 
 
 def dart_signatures(
@@ -123,19 +123,19 @@ def _bands(text_col: str, width: int, bands: int, rows: int, weight: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(text_col).dictionary_encode()
-            texts, codes = column.dictionary.to_pylist(), column.indices.to_numpy(False)
+            texts, codes = column.dictionary, column.indices.to_numpy(False)
             keys = np.empty((len(texts), bands), dtype=np.int64)
             some = np.zeros(len(texts), dtype=bool)
-            parts = np.cumsum([len(t) for t in texts]) // CALL_BYTES if texts else np.empty(0)
-            for part in np.unique(parts):  # bounds the arrays where texts are long
+            size = pa.compute.binary_length(batch.column(text_col)).cast(pa.int64())
+            parts = np.cumsum(pa.compute.binary_length(texts).to_numpy(False).astype(np.int64)) // CALL_BYTES
+            for part in np.unique(parts):  # bounds strings and arrays
                 at = np.flatnonzero(parts == part)
-                doc, element, times = shingles([texts[i] for i in at], width)
+                doc, element, times = shingles(texts.take(pa.array(at)).to_pylist(), width)
                 sig = dart_signatures(doc, element, _weights(times, weight), len(at), bands * rows)
                 keys[at] = band_keys(sig, bands, rows)
                 some[at[np.unique(doc)]] = True
             flat = pa.array(keys[codes].reshape(-1))
             has = some[codes]
-            size = pa.compute.binary_length(batch.column(text_col)).cast(pa.int64())
             ends = np.arange(len(codes) + 1, dtype=np.int32) * bands
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             lists = pa.compute.if_else(pa.array(has), lists, pa.scalar(None, lists.type))
