@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tillscan-checkpoint-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that nobody has used, below the one that the driver and all executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        ensure_checkpoint_dir(spark)
+        named = spark.sparkContext.getCheckpointDir()
+    return f"{named}/{name}-{uuid.uuid4().hex}"
+
+
 #: Rows of a narrow table that one checkpoint file should hold at least.
 FILE_ROWS = 100_000
 
@@ -57,3 +67,22 @@ def cut(df: DataFrame, at_most: int | None = None) -> DataFrame:
 def id_or_least(col: Column) -> Column:
     """A long id in which null sorts before every other value."""
     return F.coalesce(col.cast("long"), F.lit(-(2**63)))
+
+
+#: DuckDB SQL: the table of the CRC-32 of zlib, one list of 256 entries, from the polynomial.
+CRC_SQL = """
+crc_steps AS (
+  SELECT range AS i, range::UBIGINT AS v, 0 AS k FROM range(256) UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, k + 1 FROM crc_steps WHERE k < 8
+),
+crc_table AS (SELECT list(v ORDER BY i) AS crc_t FROM crc_steps WHERE k = 8)
+"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes, beside ``crc_table``."""
+    code = f"hex(encode({text}))"
+    values = f"list_transform(range(length({code}) // 2), lambda j: ('0x' || substr({code}, 2 * j + 1, 2))::UBIGINT)"
+    step = "xor(c >> 8, crc_t[((xor(c, b) & 255) + 1)::BIGINT])"
+    whole = f"list_reduce(list_prepend(4294967295::UBIGINT, {values}), lambda c, b: {step})"
+    return f"xor(4294967295::UBIGINT, {whole})::BIGINT"

@@ -11,6 +11,7 @@ from . import (
     mpeg_audio,
     near_dedup,
     quality,
+    session_close,
     sharding,
     span_dedup,
 )
@@ -26,8 +27,10 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_span_dedup": span_dedup.op9_span_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op13_session_close": session_close.op13_session_close,
 }
 SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
+    "op13_session_close": session_close.OP13_SQL,
 }
