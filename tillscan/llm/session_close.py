@@ -49,7 +49,13 @@ FED = "click_id long, client_id long, us long, crc long, ts timestamp"
 SLOTS = "client_id long, slot long, first_us long, last_us long, n long, crc long"
 SESSIONS = "client_id long, first_us long, last_us long, n_clicks long, ids_crc32 long, n_merges long, close_batch long"
 _SESSION = Row(*(f.split()[0] for f in SESSIONS.split(", ")))
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+STATE = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    # Else each partition's store takes 4 MB of disk at once.
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def micros(df: DataFrame, name: str) -> Column:
@@ -239,8 +245,8 @@ def close_sessions(
     if not cut.marks:
         return spark.createDataFrame([], SESSIONS)
     own = spark.newSession()  # the caller's settings stay as they are
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    for key, value in (STATE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
+        own.conf.set(key, value)
     before = BEFORE_ALL
     for b, mark in enumerate(cut.marks):
         _move(spark, f"{cut.staged}/batch={b}", f"{cut.source}/batch={b}")
