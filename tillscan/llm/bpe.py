@@ -166,7 +166,7 @@ def _values(bpe: Bpe, text: str, outputs: Sequence[str]) -> tuple:
     return tuple(got[o] for o in outputs)
 
 
-def _slices(batch: pa.RecordBatch, text_col: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def batch_slices(batch: pa.RecordBatch, text_col: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``limit`` bytes of text, which bounds what lies in memory."""
     sizes = pa.compute.binary_length(batch.column(text_col)).fill_null(0).to_pylist()
     begin = size = 0
@@ -212,7 +212,7 @@ def bpe_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tables(key, spec.value)
         for whole in batches:
-            for batch in _slices(whole, text_col):
+            for batch in batch_slices(whole, text_col):
                 rows = [_values(bpe, t.as_py() or "", wanted) for t in batch.column(text_col)]
                 made = list(zip(*rows, strict=True)) or [()] * len(wanted)
                 yield pa.RecordBatch.from_arrays(

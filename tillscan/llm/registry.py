@@ -5,11 +5,13 @@ from __future__ import annotations
 from . import (
     bpe,
     chat_format,
+    importance,
     language_id,
     line_dedup,
     mixing,
     mpeg_audio,
     near_dedup,
+    packing,
     quality,
     session_close,
     sharding,
@@ -27,10 +29,13 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_span_dedup": span_dedup.op9_span_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_packing": packing.op11_packing,
+    "op12_importance": importance.op12_importance,
     "op13_session_close": session_close.op13_session_close,
 }
 SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
+    "op12_importance": importance.OP12_SQL,
     "op13_session_close": session_close.OP13_SQL,
 }
