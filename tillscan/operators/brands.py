@@ -1,9 +1,8 @@
 """Brands: matching, falling back, removing from descriptions, learning.
 
 Two ways of matching give the same rows. Small dictionaries are literals, tried longest
-first (J1, J2 as expressions, no join). Large ones are joined: a description is exploded
-to its prefixes (or substrings) of the lengths that aliases have, and these meet the alias
-table in an equi-join, which Spark can hash, broadcast or split as sizes ask for. An alias
+first (J1, J2 as expressions, no join). Large ones are joined: a description meets the alias
+table by its beginnings, or by an index of 3-grams where an alias may stand anywhere. An alias
 without letters or digits is in every description, and the last choice of both ways.
 """
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
 from tillscan.functions.text import any_of, clean_brand, compact, dict_norm, fold, let, letters, norm, title_case
+from tillscan.operators.containment import contained, starting
 from tillscan.sources.dictionaries import Alias
 
 
@@ -92,32 +92,17 @@ def match_brands(
 ) -> DataFrame:
     """(keys, brand, alias) by join: J1, or J2 with ``anywhere``; rows without a match are left out.
 
-    ``aliases`` is (pos, alias_pos, brand, norm, compact) of any size. The distinct lengths
-    of aliases (few) are the only thing gathered; explode and join are linear in text
-    length times their number.
+    ``aliases`` is (pos, alias_pos, brand, norm, compact) of any size. Distinct texts meet
+    distinct spellings: by their beginnings, or by an index of 3-grams.
     """
-    lengths = sorted(r[0] for r in aliases.select(F.length("compact")).distinct().collect())
-    if not lengths:
-        lengths = [1]
-    sizes = F.array(*[F.lit(n) for n in lengths])
-    c = F.col("__c")
-
-    def pieces(n: Column) -> Column:
-        if not anywhere:
-            return F.array(F.substr(c, F.lit(1), n))
-        return F.when(n == 0, F.array(F.lit(""))).when(
-            F.length(c) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)),
-        ).otherwise(F.array().cast("array<string>"))
-
-    exploded = df.select(*key_cols, compact(dict_norm(F.col(text_col))).alias("__c")).select(
-        *key_cols, F.explode(F.array_distinct(F.flatten(F.transform(sizes, pieces)))).alias("compact")
-    )
+    keyed = df.select(*key_cols, compact(dict_norm(F.col(text_col))).alias("text"))
+    patterns = aliases.select(F.col("compact").alias("pattern")).distinct()
+    pairs = (contained if anywhere else starting)(keyed.select("text").distinct(), patterns)
     best = F.struct(
         F.length("compact").alias("n"), (-F.col("pos")).alias("p"), (-F.col("alias_pos")).alias("q"), "brand", "norm"
     )
-    hits = exploded.join(aliases, "compact").groupBy(*key_cols).agg(F.max(best).alias("b"))
-    return hits.select(*key_cols, F.col("b.brand").alias("brand"), F.col("b.norm").alias("alias"))
+    hits = pairs.join(aliases.withColumn("pattern", F.col("compact")), "pattern").groupBy("text").agg(F.max(best).alias("b"))
+    return keyed.join(hits, "text").select(*key_cols, F.col("b.brand").alias("brand"), F.col("b.norm").alias("alias"))
 
 
 def with_known_brands(df: DataFrame, aliases: DataFrame, text_col: str, anywhere: Column) -> DataFrame:

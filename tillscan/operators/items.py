@@ -16,10 +16,12 @@ from tillscan import dictionaries as D
 from tillscan.functions import amounts as A
 from tillscan.functions import lines as L
 from tillscan.functions.text import beautify, let, letters
+from tillscan.sinks.shared import written
 from tillscan.sources.dictionaries import Alias, Rule, StoreAlias, brand_aliases
 
 from .brands import fallback_brand, known_brand, remove_brand, with_known_brands
 from .header import headed
+from .learning import with_learned_brands
 from .products import expand_product
 
 AHEAD = 4
@@ -174,11 +176,16 @@ def raw_items(
 
 
 def built_items(
-    raw: DataFrame, aliases: Sequence[Alias] | DataFrame | None = None, rules: Sequence[Rule] | None = None
+    raw: DataFrame,
+    aliases: Sequence[Alias] | DataFrame | None = None,
+    rules: Sequence[Rule] | None = None,
+    learn: bool = False,
 ) -> DataFrame:
     """The finished items of ``raw`` (B1, B2); nulls where a line has none.
 
-    ``aliases`` are literals, or a table of any size, which is joined.
+    ``aliases`` are literals, or a table of any size, which is joined. With ``learn``, lines
+    know the brands that lines before them (by receipt_id and line_no) have taught; that runs
+    jobs at once.
     """
     aliases = brand_aliases() if aliases is None else aliases
     app = F.col("layout") == "app"
@@ -198,6 +205,8 @@ def built_items(
     else:
         known = F.when(app, known_brand(shown, aliases, anywhere=True)).otherwise(known_brand(shown, aliases))
         out = _once(out, keep, known=known)
+    if learn:
+        out = with_learned_brands(written(out, "items"), "shown", app, ["receipt_id", "line_no"])
     generic = F.struct(F.lit(D.GENERIC_BRAND).alias("brand"), F.lit("").alias("alias"))
     brand = F.coalesce("known", F.when(app, generic).otherwise(fallback_brand(shown)))
     out = _once(out, keep, brand=brand, brand_is_new=~app & F.col("known").isNull())
@@ -233,6 +242,7 @@ def receipt_items(
     stores: Sequence[StoreAlias] | None = None,
     aliases: Sequence[Alias] | DataFrame | None = None,
     rules: Sequence[Rule] | None = None,
+    learn: bool = False,
 ) -> DataFrame:
-    """All items of all receipts, one row each (``ITEM_COLUMNS``)."""
-    return built_items(raw_items(receipts, as_of_year, stores), aliases, rules).select(*ITEM_COLUMNS)
+    """All items of all receipts, one row each (``ITEM_COLUMNS``); ``learn`` as in ``built_items``."""
+    return built_items(raw_items(receipts, as_of_year, stores), aliases, rules, learn).select(*ITEM_COLUMNS)

@@ -1,18 +1,26 @@
-"""A folder that the driver and all executors share."""
+"""Folders that the driver and all executors share, and tables that cut a lineage there."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder of that name below the one the cluster names; a local one only in one process."""
+    """A folder that nobody has used, below the one the cluster names; a local one only in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tillscan-")
-    return f"{named}/{spark.sparkContext.applicationId}-{name}"
+    return f"{named}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in a shared folder: computed once, and there when executors are lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
