@@ -2,17 +2,22 @@
 
 Clicks are cut into batches by their arrival, written below ``spark.checkpoint.dir``, and fed in
 order to a Structured Streaming query that is started anew for each batch on one checkpoint.
-Its ``transformWithState`` keeps, for each client, a map of open sessions keyed by their
-start, and one event-time timer for each of them. A row that bridges open sessions deletes
+Its ``transformWithState`` keeps a map of open sessions keyed by client and start, and an event-time
+timer for each of them. A row that bridges open sessions deletes
 their entries and timers and registers the merged session. The watermark fires the timers.
 
 W(b) is the latest ts through batch b less ``delay``. It is known in microseconds once the batches
 are cut (one number for each batch), while Spark's watermark and timers count milliseconds. So
-rows of batch b before W(b-1) are dropped by their own microseconds, a timer stands up to
-2 ms early, and what it finds is compared with W(b) exactly. A session that W(b) has passed when its
+rows of batch b before W(b-1) are dropped by their own microseconds. A timer stands at the last multiple of
+``gap`` before the session's end, and what it finds is compared with W(b) exactly: a session that W(b) has
+not passed gets a timer again. A session that W(b) has passed when its
 rows come in closes there, without an entry. After the last batch one row without a client,
 far in the future, moves the watermark over what is left.
 
+Calls from Python into the state cost far more than the work in between. So the stream is grouped by
+``GROUP_CLIENTS`` clients, not by one, and sessions of a group that end at one multiple of ``gap`` have their timer in
+common: it is deleted with the last of them. The number of groups follows the number of clients; results do not depend on it.
+
 A client may have any share of the rows. Before the stream is dealt by client, rows are summed by
 client and slot of length ``gap`` (rows of one slot always share a session): first within
 each task, then after an exchange by client and slot. So the state's task sees one row for each slot of
@@ -27,6 +32,7 @@ their names may be anything; an empty table gives no sessions.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -44,6 +50,8 @@ HOUR_US = 3_600_000_000
 BEFORE_ALL, AFTER_ALL = -(2**62), 2**62
 #: Rows that a task sums up at a time.
 SUM_ROWS = 200_000
+#: Clients that share a group of the stream: a call of the processor costs as much as several sessions.
+GROUP_CLIENTS = 1000
 
 FED = "click_id long, client_id long, us long, crc long, ts timestamp"
 SLOTS = "client_id long, slot long, first_us long, last_us long, n long, crc long"
@@ -74,6 +82,7 @@ class Batches:
     staged: str
     source: str
     marks: list[int]
+    groups: int  # of clients
 
 
 def _move(spark: SparkSession, old: str, new: str) -> None:
@@ -96,11 +105,11 @@ def cut_batches(clicks: DataFrame, folder: str, batches: int, delay_us: int) ->
     once.write.parquet(f"{folder}/once")
     once = spark.read.parquet(f"{folder}/once")
     hour = F.floor(F.col("arrived") / F.lit(HOUR_US))
-    low, high = once.agg(F.min(hour), F.max(hour)).first()
+    low, high, clients = once.agg(F.min(hour), F.max(hour), F.approx_count_distinct("client_id")).first()
     staged, source = f"{folder}/staged", f"{folder}/source"
     if low is None:
         once.limit(0).selectExpr("click_id", "client_id", "us", "us AS crc", "timestamp_micros(us) AS ts").write.parquet(source)
-        return Batches(staged, source, [])
+        return Batches(staged, source, [], 1)
     moment = F.concat_ws(":", F.col("client_id").cast("string"), F.floor(F.col("us") / F.lit(HOUR_US)).cast("string"))
     late = F.when(F.crc32(moment) % LATE_EVERY == 0, 1).otherwise(0)
     batch = F.least(F.lit(batches - 1), F.floor((hour - low) * batches / F.lit(high - low + 1)) + late).cast("int")
@@ -115,7 +124,7 @@ def cut_batches(clicks: DataFrame, folder: str, batches: int, delay_us: int) ->
     for b in range(batches):
         top = max(top, most.get(b, BEFORE_ALL))
         marks.append(top - delay_us if top > BEFORE_ALL else BEFORE_ALL)
-    return Batches(staged, source, marks)
+    return Batches(staged, source, marks, 1 + clients // GROUP_CLIENTS)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
@@ -143,60 +152,58 @@ def sum_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Sessions(StatefulProcessor):
-    """Open sessions of a client: first_us -> (last_us, n, crc, merges), and a timer for each."""
+    """Open sessions of a group of clients: (client_id, first_us) -> (last_us, n, crc, merges), and their timers."""
 
     def __init__(self, batch: int, mark: int, gap: int) -> None:
         self.batch, self.mark, self.gap = batch, mark, gap
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "first_us long", "last_us long, n long, crc long, merges long")
-        self.swept: set[int] = set()  # clients whose timers of this batch have been seen to
+        self.open = handle.getMapState("open", "client_id long, first_us long", "last_us long, n long, crc long, merges long")
+        self.swept: set[int] = set()  # groups whose timers of this batch have been seen to
 
     def timer(self, last: int) -> int:
-        """In time for W > last + gap, however the milliseconds of both are rounded."""
-        return max(1, (last + self.gap) // 1000 - 2)
-
-    def closed(self, client: int, s: list[int]) -> Row:
-        return _SESSION(client, *s, self.batch)
+        """Before W > last + gap, at a multiple of the gap, so that near timers of a group are one."""
+        return max(1, (last + self.gap) // self.gap * self.gap // 1000 - 2)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        found = [(r[2], r[3], r[4], r[5], None) for r in rows]
         # An open session carries its merges; what has just come has None.
-        found += [(k[0], *v) for k, v in self.open.iterator()]
-        found.sort(key=lambda s: s[0])
+        found = [(r[1], r[3], r[4], r[5], r[6], None) for r in rows]
+        held = [(*k, *v) for k, v in self.open.iterator()]
+        timers = Counter(self.timer(s[2]) for s in held)
+        had = set(timers)
+        found += held
+        found.sort(key=lambda s: s[:2])
         at = 0
         while at < len(found):
-            first, last, n, crc, _ = found[at]
+            client, first, last, n, crc, _ = found[at]
             to = at + 1
-            while to < len(found) and found[to][0] - last <= self.gap:
-                last = max(last, found[to][1])
-                n, crc = n + found[to][2], crc + found[to][3]
+            while to < len(found) and found[to][0] == client and found[to][1] - last <= self.gap:
+                last = max(last, found[to][2])
+                n, crc = n + found[to][3], crc + found[to][4]
                 to += 1
-            old = [s for s in found[at:to] if s[4] is not None]
+            old = [s for s in found[at:to] if s[5] is not None]
             if len(old) < to - at:  # something new is in it
-                merges = sum(s[4] for s in old) + max(0, len(old) - 1)
-                now = [first, last, n, crc, merges]
-                yield from self.replace(key[0], old, now)
+                merges = sum(s[5] for s in old) + max(0, len(old) - 1)
+                over = last + self.gap < self.mark
+                for s in old:  # absorbed: their entries and timers go
+                    if over or s[1] != first:
+                        self.open.removeKey(s[:2])
+                    timers[self.timer(s[2])] -= 1
+                if over:
+                    yield _SESSION(client, first, last, n, crc, merges, self.batch)
+                else:
+                    self.open.updateValue((client, first), (last, n, crc, merges))
+                    timers[self.timer(last)] += 1
             at = to
-
-    def replace(self, client: int, old: list[tuple], now: list[int]) -> Iterator[Row]:
-        """Absorbed sessions go with their timers; the merged one is registered, unless W has passed it."""
-        over = now[1] + self.gap < self.mark
-        for s in old:
-            if over or s[0] != now[0]:
-                self.open.removeKey((s[0],))
-            if over or s[1] != now[1]:
-                self.handle.deleteTimer(self.timer(s[1]))
-        if over:
-            yield self.closed(client, now)
-            return
-        self.open.updateValue((now[0],), tuple(now[1:]))
-        if all(s[1] != now[1] for s in old):
-            self.handle.registerTimer(self.timer(now[1]))
+        for at_ms, sessions in timers.items():
+            if sessions and at_ms not in had:
+                self.handle.registerTimer(at_ms)
+            elif not sessions and at_ms in had:
+                self.handle.deleteTimer(at_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """The client's first timer closes all sessions that W has passed; the others find them gone."""
+        """The group's first timer closes all sessions that W has passed; the others find them gone."""
         if key[0] in self.swept:
             return
         self.swept.add(key[0])
@@ -205,8 +212,8 @@ class Sessions(StatefulProcessor):
         for k, v in list(self.open.iterator()):
             if v[0] + self.gap < self.mark:
                 self.open.removeKey(k)
-                yield self.closed(key[0], [k[0], *v])
-            else:  # its timer may be one of those that fired up to 2 ms early
+                yield _SESSION(*k, *v, self.batch)
+            else:  # its timer may be one of those that fired up to a gap early
                 early = early or self.timer(v[0]) < again
         if early:
             self.handle.registerTimer(again)
@@ -224,7 +231,8 @@ def _feed(
         F.col("us").alias("last_us"), F.lit(1).cast("long").alias("n"), "crc",
     )
     slots = slots.mapInArrow(sum_slots, SLOTS).repartition("client_id", "slot").mapInArrow(sum_slots, SLOTS)
-    sessions = slots.groupBy("client_id").transformWithState(
+    dealt = slots.withColumn("clients", F.pmod(F.hash("client_id"), F.lit(cut.groups))).select("clients", *slots.columns)
+    sessions = dealt.groupBy("clients").transformWithState(
         statefulProcessor=Sessions(batch, mark, gap_us), outputStructType=T.StructType.fromDDL(SESSIONS),
         outputMode="Append", timeMode="EventTime",
     )
