@@ -15,8 +15,9 @@ from tillscan import dictionaries as D
 from tillscan.functions.dates import find_date, is_date_label, normalize_date, parse_date
 from tillscan.functions.lines import has_metadata, is_app_line
 from tillscan.functions.text import any_of, clean_noise, let, norm, title_case
-from tillscan.sources.dictionaries import StoreAlias, store_aliases
+from tillscan.sources.dictionaries import StoreAlias, joined, store_aliases, store_table
 
+from .containment import contained
 from .lines import split_lines
 
 
@@ -72,8 +73,30 @@ def mapped_store(text: Column, stores: Sequence[StoreAlias]) -> Column:
     return let(F.translate(text, " /", ""), pick)
 
 
-def headed(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | None = None) -> DataFrame:
-    """Every row of ``receipts`` with its lines and header; one narrow stage.
+def _candidates() -> Column:
+    """What can name the store, in order: each line, then the detected name; as ``mapped_store`` sees them."""
+    return F.transform(F.concat("__norms", F.array(norm(F.col("__store")))), lambda n: F.translate(n, " /", ""))
+
+
+def with_mapped_store(df: DataFrame, stores: DataFrame) -> DataFrame:
+    """``df`` with ``__mapped``: the store of the first line that holds an alias, of its aliases the
+    first; else that of the detected name; else null (J3, J4), for (pos, compact, store) of any size.
+
+    Different lines meet different aliases. Rows are known by the hash of their text, on
+    which alone the answer depends.
+    """
+    keyed = df.withColumns({"__h1": F.xxhash64("raw_text"), "__h2": F.xxhash64(F.lit(1), "raw_text")})
+    lines = keyed.select("__h1", "__h2", F.posexplode(_candidates()).alias("at", "text")).filter("text <> ''")
+    pairs = contained(lines.select("text").distinct(), stores.select(F.col("compact").alias("pattern")).distinct())
+    first = F.min(F.struct("pos", "store")).alias("s")
+    named = pairs.join(stores.withColumn("pattern", F.col("compact")), "pattern").groupBy("text").agg(first)
+    found = lines.join(named, "text").groupBy("__h1", "__h2").agg(F.min(F.struct("at", "s")).alias("f"))
+    found = found.select("__h1", "__h2", F.col("f.s.store").alias("__mapped"))
+    return keyed.join(found, ["__h1", "__h2"], "left").drop("__h1", "__h2")
+
+
+def headed(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | DataFrame | None = None) -> DataFrame:
+    """Every row of ``receipts`` with its lines and header; one narrow stage, but for a table of ``stores``.
 
     Adds ``lines``, ``cleans``, ``clean_norms``, ``layout``, ``date_raw``, ``store_name``,
     ``date_text`` and ``date``. ``as_of_year`` is the year of dates without one.
@@ -91,16 +114,19 @@ def headed(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] |
         "cleans", lambda x, i: F.when(F.get(F.col("lines"), i).contains("|"), norm(x)).otherwise(F.get(F.col("__norms"), i))
     )
     out = out.withColumn("clean_norms", norms)
-    by_line = _first(F.transform("__norms", lambda x: mapped_store(x, stores)))
     out = out.withColumns(
         {
             "layout": layout(F.col("__norms")),
             "date_raw": date_text(F.col("lines"), F.col("__norms"), as_of_year),
-            "__mapped": by_line,
             "__store": detected_store(F.col("cleans"), F.col("clean_norms")),
         }
     )
-    store = F.coalesce("__mapped", mapped_store(norm(F.col("__store")), stores), F.col("__store"))
+    if joined(stores):
+        out = with_mapped_store(out, store_table(out.sparkSession, stores))
+        store = F.coalesce("__mapped", "__store")
+    else:
+        out = out.withColumn("__mapped", _first(F.transform("__norms", lambda x: mapped_store(x, stores))))
+        store = F.coalesce("__mapped", mapped_store(norm(F.col("__store")), stores), F.col("__store"))
     raw = F.coalesce("date_raw", F.lit(""))
     return out.withColumns(
         {
@@ -111,7 +137,7 @@ def headed(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] |
     ).drop("__norms", "__mapped", "__store")
 
 
-def receipt_header(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | None = None) -> DataFrame:
+def receipt_header(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | DataFrame | None = None) -> DataFrame:
     """(receipt_id, store_name, date_raw, date_text, date, layout)."""
     return headed(receipts, as_of_year, stores).select(
         "receipt_id", "store_name", "date_raw", "date_text", "date", "layout"

@@ -17,12 +17,14 @@ from tillscan.functions import amounts as A
 from tillscan.functions import lines as L
 from tillscan.functions.text import beautify, let, letters
 from tillscan.sinks.shared import written
-from tillscan.sources.dictionaries import Alias, Rule, StoreAlias, brand_aliases
+from tillscan.sources.dictionaries import (
+    Alias, Rule, StoreAlias, brand_aliases, joined, product_rules, rule_table,
+)
 
 from .brands import fallback_brand, known_brand, remove_brand, with_known_brands
 from .header import headed
 from .learning import with_learned_brands
-from .products import expand_product
+from .products import expand_product, with_products
 
 AHEAD = 4
 PRICE_AHEAD = 3
@@ -116,7 +118,7 @@ def app_item(line: Column, n: Column, ahead: Sequence[Column]) -> Column:
     )
 
 
-def candidate_lines(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | None = None) -> DataFrame:
+def candidate_lines(receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | DataFrame | None = None) -> DataFrame:
     """One row for each line (one without a line for an empty receipt) with what it needs."""
     ahead = [f"a{k}" for k in range(1, AHEAD + 1)]
     packed = F.transform(
@@ -150,7 +152,7 @@ def _once(df: DataFrame, keep: Sequence[str], **values: Column) -> DataFrame:
 
 
 def raw_items(
-    receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | None = None, all_lines: bool = False
+    receipts: DataFrame, as_of_year: int, stores: Sequence[StoreAlias] | DataFrame | None = None, all_lines: bool = False
 ) -> DataFrame:
     """Lines with an item: its ``raw_description``, ``raw_price`` and ``raw_quantity``.
 
@@ -178,12 +180,12 @@ def raw_items(
 def built_items(
     raw: DataFrame,
     aliases: Sequence[Alias] | DataFrame | None = None,
-    rules: Sequence[Rule] | None = None,
+    rules: Sequence[Rule] | DataFrame | None = None,
     learn: bool = False,
 ) -> DataFrame:
     """The finished items of ``raw`` (B1, B2); nulls where a line has none.
 
-    ``aliases`` are literals, or a table of any size, which is joined. With ``learn``, lines
+    ``aliases`` and ``rules`` are literals, or tables of any size, which are joined. With ``learn``, lines
     know the brands that lines before them (by receipt_id and line_no) have taught; that runs
     jobs at once.
     """
@@ -200,7 +202,9 @@ def built_items(
     )
     keep += ["shown", "total_price", "quantity"]
     shown = F.col("shown")
-    if isinstance(aliases, DataFrame):
+    if joined(aliases):
+        if not isinstance(aliases, DataFrame):
+            aliases = out.sparkSession.createDataFrame(aliases, "pos int, alias_pos int, brand string, norm string, compact string")
         out = with_known_brands(out, aliases, "shown", app).select(*keep, "known")
     else:
         known = F.when(app, known_brand(shown, aliases, anywhere=True)).otherwise(known_brand(shown, aliases))
@@ -214,9 +218,13 @@ def built_items(
     total, quantity = F.col("total_price"), F.col("quantity")
     unit = F.when(~app & (quantity <= 0), total).otherwise(A.unit_price(total, quantity))
     out = _once(out, [*keep, "brand", "brand_is_new"], left=left, unit_price=unit)
+    rules = product_rules() if rules is None else rules
+    if joined(rules):
+        out = with_products(written(out, "built"), "left", F.col("brand.brand"), rule_table(out.sparkSession, rules), "descripcion")
+    else:
+        out = out.withColumn("descripcion", expand_product(F.col("left"), F.col("brand.brand"), rules))
     return out.withColumns(
         {
-            "descripcion": expand_product(F.col("left"), F.col("brand.brand"), rules),
             "marca": F.col("brand.brand"),
             "lugar_de_compra": F.col("store_name"),
             "categoria": F.lit(D.CATEGORY),
@@ -239,9 +247,9 @@ ITEM_COLUMNS = (
 def receipt_items(
     receipts: DataFrame,
     as_of_year: int,
-    stores: Sequence[StoreAlias] | None = None,
+    stores: Sequence[StoreAlias] | DataFrame | None = None,
     aliases: Sequence[Alias] | DataFrame | None = None,
-    rules: Sequence[Rule] | None = None,
+    rules: Sequence[Rule] | DataFrame | None = None,
     learn: bool = False,
 ) -> DataFrame:
     """All items of all receipts, one row each (``ITEM_COLUMNS``); ``learn`` as in ``built_items``."""

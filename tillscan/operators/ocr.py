@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillscan import dictionaries as D
 from tillscan.functions.lines import is_ocr_item, squeeze_ends
+from tillscan.functions.text import let
 
 KEYS = ("receipt_id", "page", "variant_pos")
 
@@ -38,69 +35,54 @@ def boxes(results: DataFrame, result_col: str = "result") -> DataFrame:
     return found.filter("text <> ''")
 
 
-class _Row:
-    """Boxes of one printed line; centre and height follow its members."""
+#: A printed line while boxes join it: sum of their centres, their number, the greatest height, the boxes.
+_MEMBER = "struct<left:double,seq:int,text:string,score:double,top:double>"
+_ROWS = f"array<struct<centers:double,n:int,height:double,members:array<{_MEMBER}>>>"
 
-    def __init__(self) -> None:
-        self.members: list[dict] = []
-        self.center_sum = 0.0
-        self.height = 0.0
 
-    def takes(self, center: float, height: float) -> bool:
-        reach = max(18.0, 0.8 * min(self.height, height))
-        return abs(center - self.center_sum / len(self.members)) <= reach
+def _joined(rows: Column, box: Column) -> Column:
+    """``rows`` with a box in the first row whose centre is near enough, or in a new one."""
+    center = box["top"] + box["height"] / 2
+    member = F.array(F.struct(*[box[c].alias(c) for c in ("left", "seq", "text", "score", "top")]))
 
-    def add(self, box: dict, center: float) -> None:
-        self.members.append(box)
-        self.center_sum += center
-        self.height = max(self.height, box["height"])
+    def takes(r: Column) -> Column:
+        reach = F.greatest(F.lit(18.0), F.least(r["height"], box["height"]) * 0.8)
+        return F.coalesce(F.abs(center - r["centers"] / r["n"]) <= reach, F.lit(False))
 
-    def line(self) -> tuple[str, float, float, float]:
-        text = " ".join(b["text"] for b in sorted(self.members, key=lambda b: b["left"])).strip()
-        return text, *(min(b[c] for b in self.members) for c in ("score", "top", "left"))
+    def grown(r: Column) -> Column:
+        return F.struct(
+            (r["centers"] + center).alias("centers"), (r["n"] + 1).alias("n"),
+            F.greatest(r["height"], box["height"]).alias("height"), F.concat(r["members"], member).alias("members"),
+        )
 
+    new = F.struct(center.alias("centers"), F.lit(1).alias("n"), box["height"].alias("height"), member.alias("members"))
+    return let(
+        F.array_position(F.transform(rows, takes), True),
+        lambda at: F.when(at == 0, F.concat(rows, F.array(new))).otherwise(
+            F.transform(rows, lambda r, i: F.when(i + 1 == at, grown(r)).otherwise(r))
+        ),
+    )
 
-def fold_page(page: list[dict]) -> list[tuple[str, float, float, float]]:
-    """Lines (text, score, top, left) of one page's boxes, which come from top to bottom.
 
-    A box joins the first row whose centre is near enough, and moves that centre.
-    """
-    rows: list[_Row] = []
-    for box in page:
-        center = box["top"] + box["height"] / 2
-        row = next((r for r in rows if r.takes(center, box["height"])), None)
-        if row is None:
-            rows.append(row := _Row())
-        row.add(box, center)
-    return sorted((r.line() for r in rows), key=lambda x: (x[2], x[3]))
+def _line(row: Column, i: Column) -> Column:
+    text = F.trim(F.array_join(F.sort_array(row["members"])["text"], " "))  # by left, then in the order of joining
+    top, left, score = (F.array_min(row["members"][c]).alias(c) for c in ("top", "left", "score"))
+    return F.struct(top, left, i.alias("i"), text.alias("text"), score)
 
 
 def box_rows(df: DataFrame) -> DataFrame:
     """(keys, line_no, text, score, top, left): boxes merged into lines (F1, A5).
 
-    The one true fold: the centre of a row moves as boxes join. A page and rendering is one
-    row (bounded by what fits on a page), and Arrow batches hold many of them, so there is
-    no call for each group.
+    The one true fold: boxes come from top to bottom, and the centre of a row moves as they
+    join. It runs over the page's array (bounded by what fits on a page) as one
+    aggregate expression with the rows as its state.
     """
     box = F.struct("top", "left", "box_no", "height", "score", "text")
-    pages = df.groupBy(*KEYS).agg(F.sort_array(F.collect_list(box)).alias("page_boxes"))
-    line = T.StructType(
-        [T.StructField("text", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("score", "top", "left"))]
-    )
-    schema = T.StructType([pages.schema[k] for k in KEYS] + [T.StructField("lines", T.ArrayType(line))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), *((c, pa.float64()) for c in ("score", "top", "left"))]))
-        for batch in batches:
-            lines = [
-                [dict(zip(("text", "score", "top", "left"), x, strict=True)) for x in fold_page(p)]
-                for p in batch.column("page_boxes").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in KEYS), pa.array(lines, kind)], names=[*KEYS, "lines"]
-            )
-
-    merged = pages.mapInArrow(run, schema).select(*KEYS, F.posexplode("lines").alias("line_no", "l"))
+    pages = df.groupBy(*KEYS).agg(F.sort_array(F.collect_list(box)).alias("found"))
+    numbered = F.transform("found", lambda b, i: F.struct(b["top"], b["left"], b["height"], b["score"], b["text"], i.alias("seq")))
+    rows = F.aggregate(numbered, F.array().cast(_ROWS), _joined)
+    lines = F.sort_array(F.transform(rows, _line))
+    merged = pages.select(*KEYS, F.posexplode(lines).alias("line_no", "l"))
     return merged.select(*KEYS, "line_no", "l.text", "l.score", "l.top", "l.left")
 
 

@@ -4,28 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
 from tillscan.functions.text import any_of, let, norm, specs
 from tillscan.sources.dictionaries import Rule, product_rules
 
+from .containment import contained
+
+
+def _shown(description: Column, brand: Column, rule: Column, n: Column) -> Column:
+    """The name by ``rule`` and the sizes in the description; one product goes by its brand."""
+    special_brand, part, special = D.SPECIAL_PRODUCT
+    name = F.when((norm(brand) == special_brand) & n.contains(part), F.lit(special)).otherwise(rule)
+    sizes = specs(description)
+    full = F.when(sizes == "", name).otherwise(F.concat_ws(" ", name, sizes))
+    return F.when(name.isNull(), description).otherwise(full)
+
 
 def expand_product(description: Column, brand: Column, rules: Sequence[Rule] | None = None) -> Column:
     """The name of the first rule with a word in the description, and its sizes."""
     rules = product_rules() if rules is None else rules
-    special_brand, part, special = D.SPECIAL_PRODUCT
 
     def named(n: Column) -> Column:
-        name = F.when((norm(brand) == special_brand) & n.contains(part), F.lit(special))
-        for rule in rules:
-            name = name.when(any_of(n, rule.words), F.lit(rule.product))
-        return name
-
-    def shown(name: Column) -> Column:
-        sizes = specs(description)
-        full = F.when(sizes == "", name).otherwise(F.concat_ws(" ", name, sizes))
-        return F.when(name.isNull(), description).otherwise(full)
-
-    return let(let(norm(description), named), shown)
+        rule = F.lit(None).cast("string")
+        for r in reversed(rules):
+            rule = F.when(any_of(n, r.words), F.lit(r.product)).otherwise(rule)
+        return _shown(description, brand, rule, n)
+
+    return let(norm(description), named)
+
+
+def with_products(df: DataFrame, text_col: str, brand: Column, rules: DataFrame, into: str) -> DataFrame:
+    """``df`` with ``into`` as ``expand_product`` has it, for rules (pos, product, word) of any size.
+
+    Different descriptions meet different words; of the rules met the first counts.
+    """
+    keyed = df.withColumn("__n", norm(F.col(text_col)))
+    texts = keyed.select(F.col("__n").alias("text")).distinct()
+    pairs = contained(texts, rules.select(F.col("word").alias("pattern")).distinct())
+    first = F.min(F.struct("pos", "product")).alias("r")
+    met = pairs.join(rules.withColumn("pattern", F.col("word")), "pattern").groupBy("text").agg(first)
+    named = keyed.join(met.select(F.col("text").alias("__n"), F.col("r.product").alias("__rule")), "__n", "left")
+    return named.withColumn(into, _shown(F.col(text_col), brand, F.col("__rule"), F.col("__n"))).drop("__n", "__rule")

@@ -1,8 +1,8 @@
 """Dictionaries as ordered tables, from the built-in values or from JSON files.
 
-A dictionary is small by nature (hundreds of entries). ``brand_aliases`` and friends return
-plain rows on the driver after checking ``MAX_ENTRIES``; the plans put them into literals.
-``load_brands`` returns a larger catalog as a table, which the same plans join.
+A dictionary is small by nature (hundreds of entries): plain rows on the driver, which the plans
+put into literals. Files may hold any number: ``load_brands``, ``load_stores`` and ``load_rules``
+return more than ``MAX_ENTRIES`` as a table, which the same plans join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
-from tillscan.functions.text import clean_brand, dict_norm, py_dict_norm, py_norm
+from tillscan.functions.text import clean_brand, dict_norm, norm, py_dict_norm, py_norm
 
 MAX_ENTRIES = 5000
 
@@ -39,12 +39,6 @@ class Rule(NamedTuple):
     words: tuple[str, ...]
 
 
-def _bounded(rows: Sequence) -> Sequence:
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"a literal dictionary has at most {MAX_ENTRIES} entries; join larger ones")
-    return rows
-
-
 def read_brands(spark: SparkSession, path: str) -> DataFrame:
     """(pos, brand) of a JSON list of names (S10); blank names and "-" are left out."""
     text = spark.read.text(path, wholetext=True)
@@ -75,7 +69,7 @@ def brand_aliases(brands: Iterable[str] = D.BRANDS) -> list[Alias]:
             if (brand, n) not in seen:
                 seen.add((brand, n))
                 out.append(Alias(pos, alias_pos, brand, n, n.replace(" ", "")))
-    return list(_bounded(sorted(out, key=lambda a: (-len(a.compact), a.pos, a.alias_pos))))
+    return sorted(out, key=lambda a: (-len(a.compact), a.pos, a.alias_pos))
 
 
 def alias_frame(brands: DataFrame) -> DataFrame:
@@ -104,10 +98,56 @@ def load_brands(spark: SparkSession, path: str) -> list[Alias] | DataFrame:
     return sorted((Alias(*r) for r in rows), key=lambda a: (-len(a.compact), a.pos, a.alias_pos))
 
 
-def load_stores(spark: SparkSession, path: str) -> list[StoreAlias]:
-    """The stores of a JSON object for ``parse``, behind those that come first anyway."""
-    rows = read_stores(spark, path).orderBy("pos").limit(MAX_ENTRIES + 1).collect()
-    return store_aliases(_bounded([(r.alias, r.store) for r in rows]))
+def load_stores(spark: SparkSession, path: str) -> list[StoreAlias] | DataFrame:
+    """The stores of a JSON object for ``parse``, behind those that come first anyway.
+
+    Literals, or a table (pos, compact, store) of any size.
+    """
+    table = read_stores(spark, path)
+    rows = table.orderBy("pos").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) <= MAX_ENTRIES:
+        return store_aliases([(r.alias, r.store) for r in rows])
+    first = spark.createDataFrame(store_aliases(()), STORE_TABLE)
+    return first.unionByName(table.select("pos", F.replace("alias", F.lit(" "), F.lit("")).alias("compact"), "store"))
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, product, word) of a JSON list of {"product": ..., "words": [...]}; words are normal forms."""
+    text = spark.read.text(path, wholetext=True)
+    kind = "array<struct<product:string,words:array<string>>>"
+    rules = text.select(F.posexplode(F.from_json("value", kind)).alias("pos", "r"))
+    return rules.select("pos", F.col("r.product").alias("product"), F.explode(F.transform("r.words", norm)).alias("word"))
+
+
+def load_rules(spark: SparkSession, path: str) -> list[Rule] | DataFrame:
+    """Product rules for ``parse``: literals, or a table (pos, product, word) of any size."""
+    table = read_rules(spark, path)
+    rows = table.limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        return table
+    found: dict[int, tuple[str, list[str]]] = {}
+    for r in rows:
+        found.setdefault(r.pos, (r.product, []))[1].append(r.word)
+    return [Rule(pos, product, tuple(words)) for pos, (product, words) in sorted(found.items())]
+
+
+STORE_TABLE = "pos int, compact string, store string"
+RULE_TABLE = "pos int, product string, word string"
+
+
+def store_table(spark: SparkSession, stores: Sequence[StoreAlias] | DataFrame) -> DataFrame:
+    return stores if isinstance(stores, DataFrame) else spark.createDataFrame(stores, STORE_TABLE)
+
+
+def rule_table(spark: SparkSession, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    if isinstance(rules, DataFrame):
+        return rules
+    return spark.createDataFrame([(r.pos, r.product, w) for r in rules for w in r.words], RULE_TABLE)
+
+
+def joined(entries: Sequence | DataFrame) -> bool:
+    """Whether a dictionary is joined: it is a table, or too long for literals."""
+    return isinstance(entries, DataFrame) or len(entries) > MAX_ENTRIES
 
 
 def brand_alias_table(spark: SparkSession, brands: Iterable[str] = D.BRANDS) -> DataFrame:
@@ -120,8 +160,8 @@ def store_aliases(stores: Iterable[tuple[str, str]] = D.STORES) -> list[StoreAli
     for alias, store in stores:
         named[py_dict_norm(alias)] = store
     rows = [*D.STORE_FIRST, *named.items()]
-    return list(_bounded([StoreAlias(i - len(D.STORE_FIRST), a.replace(" ", ""), s) for i, (a, s) in enumerate(rows)]))
+    return [StoreAlias(i - len(D.STORE_FIRST), a.replace(" ", ""), s) for i, (a, s) in enumerate(rows)]
 
 
 def product_rules(rules: Iterable[tuple[str, Sequence[str]]] = D.PRODUCT_RULES) -> list[Rule]:
-    return list(_bounded([Rule(i, name, tuple(py_norm(w) for w in words)) for i, (name, words) in enumerate(rules)]))
+    return [Rule(i, name, tuple(py_norm(w) for w in words)) for i, (name, words) in enumerate(rules)]
