@@ -164,3 +164,8 @@ PAPER_LEVEL, PAPER_SHARE, PAPER_LINES, PAPER_MARGIN = 165, 0.45, 40, 25
 PAPER_WIDTH, PAPER_HEIGHT = 0.22, 0.35
 LONGEST_SIDE = 2200
 RETRY_STEP, RETRY_MOST = 1500, 4000
+#: Renderings of a page: factors, levels and longest sides; turns in the order in which they are tried.
+CONTRAST_FACTOR, SHARPNESS_FACTOR, DARK_LEVEL, LIGHT_LEVEL = 2.3, 2.0, 172, 150
+VARIANT_SIDE, ENLARGED_SIDE, SMALL_SIDE = 1400, 1800, 900
+VARIANT_TURNS = ((0, "original"), (90, "rot90"), (270, "rot270"), (180, "rot180"))
+VARIANT_NAMES = ("cropped", "gray", "enhanced", "threshold", "denoised", "light-threshold", "small", "small-gray")
