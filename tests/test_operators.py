@@ -144,7 +144,7 @@ def test_uploads_and_texts(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"")
     (tmp_path / "c.jpeg").write_bytes(b"x")
     got = {r.path.rsplit("/")[-1]: (r.kind, r.message) for r in R.read_uploads(spark, str(tmp_path)).collect()}
-    assert got == {"a.PDF": ("pdf", None), "c.jpeg": ("image", None)}
+    assert got == {"a.PDF": ("pdf", None), "b.png": ("image", D.EMPTY_UPLOAD_MESSAGE), "c.jpeg": ("image", None)}
     empty = spark.createDataFrame([("b.png", 0, b"")], "path string, length long, content binary")
     assert R.uploads(empty).first().message == D.EMPTY_UPLOAD_MESSAGE
     (tmp_path / "t").mkdir()

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillscan.sources.files import write_files
+
 
 def write_exports(response: DataFrame, path: str, column: str = "csv") -> None:
     """One Parquet row for each receipt: its id and the export in ``column``."""
     response.select("receipt_id", column).write.mode("overwrite").parquet(path)
 
 
+def write_export_files(response: DataFrame, path: str, column: str = "csv", mode: str = "append") -> None:
+    """One text file for each receipt, with its export as it is (K1-K3); a failed job leaves no file."""
+    suffix = {"csv": ".csv", "tsv": ".tsv"}.get(column, ".txt")
+    write_files(response, path, "receipt_id", column, mode, suffix=suffix)
+
+
 def catalog_json(catalog: DataFrame) -> DataFrame:
     """The catalog as one spaced JSON list, sorted regardless of case (K7); small by nature."""
     names = F.sort_array(F.collect_list(F.struct(F.lower("brand").alias("k"), "brand")))
@@ -18,5 +26,5 @@ def catalog_json(catalog: DataFrame) -> DataFrame:
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
-    """Replace the catalog file as a whole."""
-    catalog_json(catalog).coalesce(1).write.mode("overwrite").text(path)
+    """Replace the catalog file as a whole: the new one is there before the old one goes."""
+    write_files(catalog_json(catalog).select(F.lit("catalog").alias("name"), "value"), path, "name", "value", "overwrite", suffix=".json")

@@ -39,9 +39,13 @@ class Rule(NamedTuple):
     words: tuple[str, ...]
 
 
+def _whole_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+
+
 def read_brands(spark: SparkSession, path: str) -> DataFrame:
     """(pos, brand) of a JSON list of names (S10); blank names and "-" are left out."""
-    text = spark.read.text(path, wholetext=True)
+    text = _whole_files(spark, path)
     names = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "brand"))
     names = names.withColumn("brand", clean_brand(F.col("brand"))).filter(~F.col("brand").isin("", "-"))
     return names.groupBy("brand").agg(F.min("pos").alias("pos")).select("pos", "brand").orderBy("pos")  # a set
@@ -52,7 +56,7 @@ def read_stores(spark: SparkSession, path: str) -> DataFrame:
 
     Aliases are normal forms; of equal ones the first keeps its place and the last its store.
     """
-    text = spark.read.text(path, wholetext=True)
+    text = _whole_files(spark, path)
     pairs = text.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("i", "e"))
     rows = pairs.select("i", dict_norm(F.col("e.key")).alias("alias"), F.col("e.value").alias("store"))
     return rows.groupBy("alias").agg(F.min("i").alias("pos"), F.max_by("store", "i").alias("store"))
@@ -113,7 +117,7 @@ def load_stores(spark: SparkSession, path: str) -> list[StoreAlias] | DataFrame:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(pos, product, word) of a JSON list of {"product": ..., "words": [...]}; words are normal forms."""
-    text = spark.read.text(path, wholetext=True)
+    text = _whole_files(spark, path)
     kind = "array<struct<product:string,words:array<string>>>"
     rules = text.select(F.posexplode(F.from_json("value", kind)).alias("pos", "r"))
     return rules.select("pos", F.col("r.product").alias("product"), F.explode(F.transform("r.words", norm)).alias("word"))

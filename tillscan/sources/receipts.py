@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
+from tillscan.sources.files import read_files
+
+LARGE_UPLOAD_MESSAGE = "El archivo supera los 20 MB."
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -17,20 +20,21 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def uploads(files: DataFrame) -> DataFrame:
     """(path, kind, content, message) of files (path, length, content).
 
-    ``kind`` is ``pdf`` by the suffix, else ``image``; an empty file has a message instead
-    of a result.
+    ``kind`` is ``pdf`` by the suffix, else ``image``; a file that is empty or too large to be
+    read has a message instead of a result.
     """
+    too_large = F.col("content").isNull() & (F.col("length") > 0)
     return files.select(
         "path",
         F.when(F.lower("path").endswith(".pdf"), "pdf").otherwise("image").alias("kind"),
         "content",
-        F.when(F.col("length") == 0, D.EMPTY_UPLOAD_MESSAGE).alias("message"),
+        F.when(F.col("length") == 0, D.EMPTY_UPLOAD_MESSAGE).when(too_large, LARGE_UPLOAD_MESSAGE).alias("message"),
     )
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Uploads from a folder. Spark's file sources pass over empty files by themselves."""
-    return uploads(spark.read.format("binaryFile").load(path))
+    """Uploads from a folder; empty files, and those over 20 MB, are rows with a message."""
+    return uploads(read_files(spark, path))
 
 
 OCR_REPLY = "error string, text string, variant string, lines array<struct<text:string,score:double,top:double,left:double>>"
