@@ -25,13 +25,15 @@ from tillscan.operators.lines import receipt_lines
 from tillscan.operators.products import expand_product
 from tillscan.plans import rendered as R
 from tillscan.plans.parse import parse
+from tillscan.sinks.shared import shared_folder
 from tillscan.sinks.writers import catalog_json
 from tillscan.sources.dictionaries import (
-    brand_alias_table,
+    alias_frame,
     brand_aliases,
     product_rules,
-    store_aliases,
+    read_stores,
 )
+from tillscan.sources.files import write_files
 from tillscan.sources.receipts import decode_replies, join_pages, rejects
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -530,14 +532,25 @@ def store_map(spark, sf_dir):
 
 @query(
     f"""
-SELECT pos::INT AS pos, replace({_DICT_NORM.format('alias')}, ' ', '') AS compact, store FROM (
-  SELECT unnest(range({len(D.STORE_FIRST)})) - {len(D.STORE_FIRST)} AS pos, unnest({[a for a, _ in D.STORE_FIRST]!r}) AS alias, unnest({[s for _, s in D.STORE_FIRST]!r}) AS store
-  UNION ALL SELECT unnest(range({len(D.STORES)})), unnest({[a for a, _ in D.STORES]!r}), unnest({[s for _, s in D.STORES]!r}))
+WITH k AS (
+  SELECT s_suppkey, s_name, 'súper ' || s_nationkey || repeat('!', row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT) AS key,
+    row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier
+)
+SELECT {_DICT_NORM.format('key')} AS alias, min(i)::INT AS pos, arg_max(s_name, i) AS store FROM k GROUP BY 1
 """
 )
 def store_dictionary(spark, sf_dir):
-    """Names of stores in the order in which they are tried."""
-    return spark.createDataFrame(store_aliases(), "pos int, compact string, store string")
+    """A file of names of stores; of equal ones the first keeps its place and the last its store."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    key = F.concat(F.lit("SÚPER "), F.col("s_nationkey"), F.repeat(F.lit("!"), place))
+    pairs = R.table(spark, sf_dir, "supplier").select("s_suppkey", key.alias("key"), "s_name")
+    ordered = F.sort_array(F.collect_list(F.struct("s_suppkey", "key", "s_name")))
+    entries = F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["key"], x["s_name"])))
+    path = shared_folder(spark, "store-names")
+    write_files(pairs.agg(F.to_json(entries).alias("v")).select(F.lit("stores").alias("n"), "v"), path, "n", "v", suffix=".json")
+    return read_stores(spark, path).select("alias", "pos", "store")
 
 
 # --- Brands and products --------------------------------------------------------------------------
@@ -644,9 +657,12 @@ _NORM_ALIAS = _DICT_NORM.format("alias")
 
 @query(
     f"""
-WITH b AS (SELECT unnest({_BRAND_LIST}) AS brand, unnest(range({len(D.BRANDS)}))::INT AS pos),
+WITH b AS (
+  SELECT p_partkey::INT AS pos, CASE p_partkey % 6 WHEN 0 THEN 'Casa del ' || p_name WHEN 1 THEN 'Flor de la ' || p_name WHEN 2 THEN p_name || chr(39) || 's ' || p_size
+    WHEN 3 THEN 'La Providencia' WHEN 4 THEN 'UNIÓN  Ganadera' ELSE 'Frutigram' END AS brand FROM part
+),
 a AS (
-  SELECT brand, pos, unnest([brand, replace(brand, ' del ', ' de '), replace(brand, ' de la ', ' '), replace(brand, '''', '')]) AS alias FROM b
+  SELECT brand, pos, unnest([brand, replace(brand, ' del ', ' de '), replace(brand, ' de la ', ' '), replace(brand, chr(39), '')]) AS alias FROM b
   UNION ALL SELECT b.brand, pos, s FROM b JOIN (SELECT * FROM (VALUES ('la providencia', 'la providecia'),
     ('la providencia', 'la providedcia'), ('frutigram', 'frutigran'), ('union ganadera', 'union')) v(n, s))
     ON n = {_DICT_NORM.format('b.brand')}
@@ -655,8 +671,15 @@ SELECT DISTINCT pos, brand, {_NORM_ALIAS} AS norm, replace({_NORM_ALIAS}, ' ', '
 """
 )
 def brand_alias(spark, sf_dir):
-    """Every spelling of the catalog."""
-    return brand_alias_table(spark).select("pos", "brand", "norm", "compact")
+    """Every spelling of every name of a table: left-out and changed words, an apostrophe, known misreadings."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    brand = (
+        F.when(key % 6 == 0, F.concat(F.lit("Casa del "), name)).when(key % 6 == 1, F.concat(F.lit("Flor de la "), name))
+        .when(key % 6 == 2, F.concat(name, F.lit("'s "), F.col("p_size"))).when(key % 6 == 3, "La Providencia")
+        .when(key % 6 == 4, "UNIÓN  Ganadera").otherwise("Frutigram")
+    )
+    brands = R.table(spark, sf_dir, "part").select(key.cast("int").alias("pos"), brand.alias("brand"))
+    return alias_frame(brands).select("pos", "brand", "norm", "compact")
 
 
 @query(
