@@ -33,3 +33,18 @@ def test_repeated_rows_are_one_in_a_large_cluster(spark, monkeypatch):
     assert {(r["doc"], r["class"]) for r in near_classes(df).collect()} == {
         (-(2**63), -(2**63)), (5, -(2**63)), (6, -(2**63)), (8, 8)
     }
+
+
+def test_reading_order_decides_nothing(spark):
+    """Of rows alike in id and text the least by the other columns stays, however rows are dealt."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text, "b", 1), (3, text, "a", 2), (3, text, None, 5), (3, text, "a", 1), (8, text + " more", "a", 0)]
+    rows += [(None, None, "z", 1), (None, None, "z", 1), (None, "", "a", 1), (9, "alone here", "q", None)]
+    found = set()
+    for seed in range(4):
+        order = sorted(rows, key=lambda r: hash((seed, str(r))))
+        df = spark.createDataFrame(order, "doc_id long, text string, source string, n long").repartition(1 + seed)
+        found.add(tuple(sorted(map(str, near_dedup.keep_one_of_each(df, weight="count").collect()))))
+    assert len(found) == 1
+    kept = {(r.doc_id, r.text, r.source, r.n) for r in near_dedup.keep_one_of_each(df, weight="count").collect()}
+    assert kept == {(3, text, None, 5), (None, "", "a", 1), (9, "alone here", "q", None)}

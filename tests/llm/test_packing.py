@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+from zlib import crc32
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from tillscan.llm import packing
+
+SCHEMA = "doc_id long, text string, start string, extra string"
+
+
+def brute(rows, size):
+    """All ids one after the other, in the order of the pieces' places; (doc, ids) by sequence and offset."""
+    tokenizer = Tokenizer.from_file(packing.public_path())
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t, *_ in rows]
+
+
+def packed(spark, rows, size=packing.SIZE, parts=3, **kw):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    return packing.pack_documents(df, packing.public_path(), 2, size=size, apart=True, with_ids=True, **kw)
+
+
+ODD = [
+    (1, "The quick brown fox", "a", "x"),
+    (1, "The quick brown fox", "a", "x"),
+    (None, None, None, None),
+    (2, "", "b", "y"),
+    (3, " \t\n\x0b\x0c\r ", "b", "y"),
+    (4, "ÀÉ́ naïve café   ΣΑΣ İ 12345 ''s don't <|endoftext|>x <|startoftext|> end", "b", "y"),
+    (5, "word " * 9000, "b", "y"),
+    (None, "日本語のテキスト 和 " * 300, "c", "z"),
+    (6, "x" * 5000, "c", "z"),
+    (7, "a\x1cb\x85c d ́e", "c", "z"),
+]
+
+
+@pytest.mark.parametrize("size", [7, 64, 4096])
+def test_every_id_in_one_piece(spark, size):
+    got = packed(spark, ODD, size).collect()
+    wanted = sorted(map(tuple, brute(ODD, size)))
+    place = sorted(got, key=lambda r: (r.sequence_id, r.offset))
+    row: list[int] = []
+    docs: list[tuple[int, ...]] = []
+    for r in place:
+        assert r.sequence_id * size + r.offset == len(row)  # gapless
+        assert 0 < r.length == len(r.ids) <= size - r.offset
+        assert r.ids_crc32 == crc32(np.array(r.ids, "<u4").tobytes())
+        row += r.ids
+        if r.start == 0:
+            docs.append(())
+        assert len(docs[-1]) == r.start
+        docs[-1] += tuple(r.ids)
+        if len(docs[-1]) == r.doc_tokens:
+            assert docs[-1][-1] == 2
+    assert sorted(docs) == wanted
+
+
+def test_order_is_that_of_the_partitions_and_reruns_agree(spark, tmp_path):
+    rows = [(i, f"text {i} " * (i % 9), "", "") for i in range(500)]
+    spark.createDataFrame(rows, SCHEMA).repartition(7).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    runs = [
+        sorted(map(tuple, packing.pack_documents(df, packing.public_path(), 2, size=50, apart=True).collect()))
+        for _ in range(2)
+    ]
+    assert runs[0] == runs[1]
+
+
+def test_sequences_and_boundaries(spark):
+    pieces = packed(spark, ODD, 64)
+    rows = packing.sequences(pieces, 64, pad_id=9).orderBy("sequence_id").collect()
+    total = sum(map(len, brute(ODD, 64)))
+    assert [r.sequence_id for r in rows] == list(range(len(rows))) and sum(r.n_tokens for r in rows) == total
+    for r in rows:
+        assert [b.offset for b in r.boundaries] == list(np.cumsum([0, *(b.length for b in r.boundaries)])[:-1])
+        assert sum(b.length for b in r.boundaries) == r.n_tokens
+        whole = r.n_tokens & (r.n_tokens - 1) == 0
+        assert len(r.ids) == (r.n_tokens if whole else 64) and set(r.ids[r.n_tokens :]) <= {9}
+
+
+def test_columns_that_clash_pass_only_when_named(spark):
+    got = packed(spark, ODD[:2], keep=("doc_id", "extra", "start"))
+    assert got.columns[:2] == ["doc_id", "extra"] and dict(got.dtypes)["start"] == "bigint"
+    assert {r.extra for r in got.collect()} == {"x"}
+
+
+def test_empty_table(spark):
+    assert packed(spark, []).collect() == []
+
+
+def test_texts_apart_equal_whole_texts(spark):
+    raw = open(packing.public_path(), "rb").read()
+    apart, whole = packing.Encoder(raw, True), packing.Encoder(raw, False)
+    for _, text, *_ in ODD:
+        data = (text or "").encode()
+        assert apart.encode(data) == whole.encode(data)
+
+
+def test_long_text_in_parts_and_full_cache(monkeypatch):
+    raw = open(packing.public_path(), "rb").read()
+    text = " ".join(f"w{i % 977} {i}" for i in range(30_000)).encode()
+    wanted = packing.Encoder(raw, False).encode(text)
+    monkeypatch.setattr(packing, "PART_BYTES", 1000)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 300)
+    assert packing.Encoder(raw, True).encode(text) == wanted
+
+
+def test_offsets_over_many_partitions(spark, monkeypatch):
+    """Blocks of two partitions, totals joined instead of broadcast: the same places."""
+    rows = [(i, f"text {i}", "", "") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(11, "doc_id")
+    wanted = sorted(map(tuple, packing.pack_documents(df, packing.public_path(), 2, size=30, apart=True).collect()))
+    monkeypatch.setattr(packing, "BLOCK", 2)
+    monkeypatch.setattr(packing, "BROADCAST_PARTS", 1)
+    assert sorted(map(tuple, packing.pack_documents(df, packing.public_path(), 2, size=30, apart=True).collect())) == wanted

@@ -118,3 +118,25 @@ def test_bpe(stages):
 
 def test_run_agrees_with_the_stages(spark, stages):
     assert sorted(map(str, P.run(spark, SF).collect())) == sorted(map(str, stages[-1][2]))
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, rows alike, clashing columns and empty tables: as the docstring has it."""
+    docs = table(spark, SF, "documents").limit(60).collect()
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs]
+    odd = [(None, base[0][1], None, None, None), (None, None, None, None, None), (5, None, "en", "s", 0), (6, "", "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, rank int"
+    rows = [(*r, "k", "z", 1) for r in base + base[:20] + odd]
+    results = []
+    for name, some in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        table(spark, SF, "labels").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = table(spark, f"{tmp_path}/{name}", "documents")
+        for _, stage in P.STAGES[:3]:
+            docs = cut(stage(spark, docs, f"{tmp_path}/{name}"))
+            assert docs.columns == P.COLUMNS
+        results.append([tuple(r) for r in docs.collect()])
+        assert P.run(spark, f"{tmp_path}/{name}").count() >= 0
+    assert results[1] == []
+    kept = results[0]
+    assert len(kept) == len({r[1] for r in kept}) and not any(r[1] is None for r in kept)

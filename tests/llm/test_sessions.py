@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql.streaming.query import StreamingQuery
+
+from tillscan.llm import session_close as S
+
+START = dt.datetime(2024, 1, 1)
+SCHEMA = "click_id long, client_id long, ts timestamp_ntz, arrived_at timestamp_ntz, kind string, batch string, n string"
+
+
+def rows_of(seed, n, clients, days=60):
+    """Bursts at a few places of each client, many of them late, so that sessions bridge across batches."""
+    r = random.Random(seed)
+    places = [(r.randrange(clients), r.uniform(0, days * 86400)) for _ in range(max(1, n // 12))]
+    rows = []
+    for i in range(n):
+        client, at = r.choice(places)
+        ts = START + dt.timedelta(seconds=at, microseconds=r.randrange(10**6)) + dt.timedelta(minutes=r.choice([0, 5, 29, 30, 31, 60, 90]))
+        late = r.choice([0, 0, 1, 20, 100, 119, 125, 200])
+        rows.append((i, client, ts, ts + dt.timedelta(hours=late), "k", "b", "n"))
+    rows += r.sample(rows, n // 20)  # copies
+    rows += [(n + 1, None, START, START, "k", "b", "n"), (n + 2, 1, None, START, "k", "b", "n"), (None, 1, START, START, "k", "b", "n")]
+    return rows
+
+
+def oracle(rows):
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["click_id", "client_id", "ts", "arrived_at", "kind", "batch", "n"])
+    frame = frame.astype({"click_id": "Int64", "client_id": "Int64", "ts": "datetime64[us]", "arrived_at": "datetime64[us]"})
+    con.register("clicks", frame)
+    return sorted(con.sql(S.OP13_SQL).fetchall())
+
+
+def test_late_rows_bridge_sessions(spark):
+    rows = rows_of(1, 6000, 9)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = sorted(map(tuple, S.close_sessions(df).collect()))
+    wanted = oracle(rows)
+    assert got == wanted
+    assert sum(r[5] for r in got) > 20  # merges of open sessions
+    assert len({r[6] for r in got}) > 6
+
+
+def test_groups_do_not_matter(spark, monkeypatch):
+    rows = rows_of(2, 1500, 30)
+    wanted = oracle(rows)
+    monkeypatch.setattr(S, "GROUP_CLIENTS", 2)
+    assert sorted(map(tuple, S.close_sessions(spark.createDataFrame(rows, SCHEMA)).collect())) == wanted
+
+
+def test_one_start_a_batch_on_one_checkpoint(spark, monkeypatch):
+    ids = []
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, *a: (ids.append((q.id, q.runId)), wait(q, *a))[1])
+    one = [(1, 4, START, START, "k", "b", "n"), (2, 4, START + dt.timedelta(minutes=30), None, "k", "b", "n")]
+    got = S.close_sessions(spark.createDataFrame(one, SCHEMA)).collect()
+    us = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 10**6)
+    assert [tuple(r) for r in got] == [(4, us, us + 30 * 60 * 10**6, 2, 0x83DCEFB7 + 0x1AD5BE0D, 0, 12)]
+    assert len({i for i, _ in ids}) == 1 and len({r for _, r in ids}) == len(ids) == 13
+
+
+@pytest.mark.parametrize("rows", [[], [(None, 1, START, START, "k", "b", "n"), (1, None, START, START, "k", "b", "n")]])
+def test_empty_table(spark, rows):
+    assert S.close_sessions(spark.createDataFrame(rows, SCHEMA)).collect() == []
+
+
+def test_micros_do_not_follow_the_session_zone(spark):
+    day = dt.datetime(2024, 3, 10, 2, 30, 1, 123457)
+    df = spark.createDataFrame([(day,)], "ts timestamp_ntz")
+    wanted = int(day.replace(tzinfo=dt.timezone.utc).timestamp()) * 10**6 + 123457
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            assert df.select(S.micros(df, "ts")).first()[0] == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_slots_are_summed(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "SUM_ROWS", 50)
+    names = ["client_id", "slot", "first_us", "last_us", "n", "crc"]
+    rows = [(i % 3, i % 2, i, i, 1, 2**31) for i in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 20], strict=True)], names=names) for a in range(0, 500, 20)]
+    got = pa.Table.from_batches(list(S.sum_slots(batches))).to_pylist()
+    assert len(got) == 6 and sum(x["n"] for x in got) == 500 and sum(x["crc"] for x in got) == 500 * 2**31
+    assert all(x["first_us"] == min(i for i in range(500) if (i % 3, i % 2) == (x["client_id"], x["slot"])) for x in got)

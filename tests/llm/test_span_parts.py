@@ -7,6 +7,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillscan.llm.span_dedup import cut_texts, dedup_spans
 
@@ -104,3 +105,24 @@ def test_a_very_long_text():
     text = " ".join(f"w{i % 977}" for i in range(300_000))
     cut = cut_texts([text, "", "a"], every=True)
     assert cut.counts[1] == 0 and cut.counts[2] == 1 and "".join(cut.of(0)) == text
+
+
+def test_copies_of_short_texts_go_as_a_whole(spark):
+    short = "One sentence of eight words stands in here. Another sentence of eight words stands there too."
+    rows = [(1, short), (2, short.replace(". ", ".\n")), (3, short + " And one more."), (4, "Other words."), (None, "a. b.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_spans(df, every=True, whole=True).collect()}
+    assert got == {1: short, 2: "", 3: short + " And one more.", 4: "Other words.", None: "a. b."}
+    assert dedup_spans(df, every=True).filter("n_removed > 0").count() == 0
+
+
+def test_rows_alike_lie_in_many_parts(spark):
+    """Two thousand equal rows are no one group, and all get what one of them gets."""
+    long = " ".join(f"w{i}" + (". " if i % 9 == 8 else "") for i in range(90))
+    rows = [(5, long)] * 2000 + [(4, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    parts = F.lit(50)
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts)
+    assert df.groupBy(part).count().agg(F.max("count")).first()[0] < 100
+    got = dedup_spans(df, every=True, whole=True, part_bytes=20_000).groupBy("doc_id", "text").count().collect()
+    assert sorted(map(tuple, got)) == [(4, long, 1), (5, "", 2000)]

@@ -388,9 +388,10 @@ def near_classes(
     # Which clusters are large is known from sizes alone, before any text is moved.
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES))
     large = cut(placed.groupBy("cluster").agg(blocks.alias("blocks")).filter("blocks > 1").select("cluster"))
-    # Rows that repeat id and text become one before the exchange, which the join then shares.
+    # Rows that repeat id and text become one before the exchange, by a hash aggregate (the text is among its
+    # keys) that needs no sort of texts.
     keys = ["doc", "h1", "h2"]
-    member = base.dropDuplicates(keys).join(placed, keys).select("cluster", "node", "text")
+    member = base.dropDuplicates().join(placed, keys).select("cluster", "node", "text")
     some_large = large.limit(1).count() > 0
     if some_large:
         member = cut(member)  # candidates only, read more than once
@@ -418,13 +419,21 @@ def _shown(col: str):
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near duplicates: the least document of each class stays."""
+    """The rows of ``df`` without near duplicates: the least document of each class stays.
+
+    Of rows that share its id and text the one whose other columns are least (in their order, nulls
+    first) stays, so the order of reading decides nothing. Columns have to be comparable.
+    """
     kept = near_classes(df, id_col, text_col, **options).filter(_LEADS)
-    kept = kept.select(F.col("doc").alias("__doc"), F.struct("h1", "h2").alias("__h"))
+    kept = kept.select(F.col("doc").alias("__doc"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"))
     h1, h2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
-    own = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__h": F.struct(h1.alias("h1"), h2.alias("h2"))})
-    # Repeated rows become one before the exchange, so that a hot one is a row for each task.
-    return own.dropDuplicates(["__doc", "__h"]).join(kept, ["__doc", "__h"], "left_semi").drop("__doc", "__h")
+    others = F.struct(F.col(text_col).isNull().alias("__null"), *[F.col(c) for c in df.columns if c != text_col])
+    own = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__h1": h1, "__h2": h2, "__others": others})
+    keys = ["__doc", "__h1", "__h2"]
+    least = own.groupBy(*keys).agg(F.min("__others").alias("__least")).join(kept, keys)
+    # Rows alike in all columns become one before the exchange, so that a hot one is a row for each task.
+    rows = own.dropDuplicates().join(least, keys).filter(F.col("__others").eqNullSafe(F.col("__least")))
+    return rows.select(*df.columns)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

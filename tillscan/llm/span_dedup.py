@@ -6,7 +6,8 @@ ends a piece: the one whose hash is least, where no stop stands among them. So w
 say where a text is cut, whatever stands before and behind a passage. Of the runs of ``span``
 pieces or more with ``min_words`` words or more, the shortest from every piece on is hashed
 to 128 bits over its words; with ``every`` (as the query has it) also the shortest up to every
-piece, and both once more without the cuts at line feeds. Together they cover every piece of
+piece, and both once more without the cuts at line feeds; with ``whole`` (the query has it too) the whole text is
+one more run, even under ``min_words``, so copies of a short text go. Together they cover every piece of
 any longer run, and any 51 words that two texts share hold a run that both hash: the first
 cut comes within 11 words, the run from it ends within 20 + 10 more, and cuts up to the 41st
 word depend on nothing outside. (For other ``min_words`` the share is as much longer.)
@@ -14,8 +15,8 @@ word depend on nothing outside. (For other ``min_words`` the share is as much lo
 Hashes are counted over all documents; of a repeated run, the occurrence with the least
 (doc_id, text hash, position) stays, and pieces that any other occurrence covers are removed.
 
-Texts are dealt to parts of about ``PART_BYTES``, once, for finding runs and for removing
-them. A part hands over each hash once, with its least document, so a passage of a third of
+Texts are dealt to parts of about ``PART_BYTES`` by their place in the table, once, for finding runs
+and for removing them; rows alike lie in any parts and get one result. A part hands over each hash once, with its least document, so a passage of a third of
 all documents is one row for each part, not for each document. What comes back to a part is
 the list of its repeated hashes.
 
@@ -113,8 +114,8 @@ def _shortest(upto: np.ndarray, number: np.ndarray, span: int, min_words: int, e
     return np.concatenate([runs, first_word[start[end]] * (n + 1) + upto[end]])
 
 
-def cut_texts(texts: list[str], span: int = 2, min_words: int = 20, every: bool = False) -> Pieces:
-    """Cut whole texts and hash their runs; all texts at once. ``every``: see above."""
+def cut_texts(texts: list[str], span: int = 2, min_words: int = 20, every: bool = False, whole: bool = False) -> Pieces:
+    """Cut whole texts and hash their runs; all texts at once. ``every`` and ``whole``: see above."""
     w = split_words(texts)
     n = len(w.starts)
     none = np.empty(0, np.int64)
@@ -143,6 +144,9 @@ def cut_texts(texts: list[str], span: int = 2, min_words: int = 20, every: bool
     words_say[np.cumsum(w.counts)[w.counts > 0] - 1] = True  # the last word of a text
     if every and not words_say[upto - 1].all():
         runs = np.concatenate([runs, _shortest(np.flatnonzero(words_say) + 1, number, span, min_words, True)])
+    if whole:  # a text as one run, however few words it has
+        head_word = np.cumsum(w.counts) - w.counts
+        runs = np.concatenate([runs, (head_word * (n + 1) + head_word + w.counts)[counts >= span]])
     runs = np.unique(runs)
     begin, end = runs // (n + 1), runs % (n + 1)
     first, last = np.searchsorted(first_word, begin), np.searchsorted(upto, end)
@@ -182,7 +186,7 @@ class Part:
     h2: np.ndarray
 
     @classmethod
-    def of(cls, rows: pa.Table, text_col: str, span: int, min_words: int, every: bool) -> Part:
+    def of(cls, rows: pa.Table, text_col: str, *rule) -> Part:
         ids, hashes = (rows.column(c).to_numpy() for c in ("__doc", "__row"))
         order = np.lexsort((hashes, ids))
         new = np.ones(len(order), dtype=bool)
@@ -195,17 +199,17 @@ class Part:
         for i, t in enumerate(texts):
             size += len(t)
             if size >= CALL_BYTES or i + 1 == len(texts):
-                cuts.append((begin, cut_texts(texts[begin : i + 1], span, min_words, every)))
+                cuts.append((begin, cut_texts(texts[begin : i + 1], *rule)))
                 begin, size = i + 1, 0
         parts = [(c.text[c.first] + b, c.at[c.first], c.at[c.last], c.h1, c.h2) for b, c in cuts]
         return cls(place, ids[chosen], hashes[chosen], cuts, *(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _emit(text_col: str, span: int, min_words: int, every: bool):
+def _emit(text_col: str, *rule):
     """Each hash of a part once: its least document there, and whether the part has it again."""
 
     def run(rows: pa.Table) -> pa.Table:
-        part = Part.of(rows, text_col, span, min_words, every)
+        part = Part.of(rows, text_col, *rule)
         order = np.lexsort((part.h2, part.h1))  # stable: the least occurrence of a hash comes first
         new = np.ones(len(order), dtype=bool)
         new[1:] = (np.diff(part.h1[order]) != 0) | (np.diff(part.h2[order]) != 0)
@@ -222,11 +226,11 @@ def _emit(text_col: str, span: int, min_words: int, every: bool):
     return run
 
 
-def _rewrite(text_col: str, span: int, min_words: int, every: bool, names: list[str]):
+def _rewrite(text_col: str, names: list[str], *rule):
     """The rows of a part, without the pieces that its repeated runs cover."""
 
     def run(rows: pa.Table, drops: pa.Table) -> pa.Table:
-        part = Part.of(rows, text_col, span, min_words, every)
+        part = Part.of(rows, text_col, *rule)
         keys = zip(drops.column("h1").to_pylist(), drops.column("h2").to_pylist(), strict=True)
         stays = dict(zip(keys, drops.column("__stays").to_pylist(), strict=True))
         some = np.flatnonzero(np.isin(part.h1, drops.column("h1").to_numpy()))
@@ -269,23 +273,23 @@ def dedup_spans(
     span: int = 2,
     min_words: int = 20,
     every: bool = False,
+    whole: bool = False,
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """All rows of ``df`` with ``text_col`` rewritten, plus ``n_sentences``, ``n_removed``
     and ``n_removed_words``. Without ``every`` only the shortest run from each
     piece on counts, and the last pieces of a repeated stretch can stay. One pass over the
     sizes of texts comes first, for the number of parts; results do not depend on it."""
-    added = ["n_sentences", "n_removed", "n_removed_words"]
+    added, rule = ["n_sentences", "n_removed", "n_removed_words"], (span, min_words, every, whole)
     df = df.drop(*added)
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = F.lit(1 + size // part_bytes)
     own = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__row": F.xxhash64(text)})
-    # Any number of rows can be alike if the id is null; these are dealt by chance.
-    chance = F.when(F.col(id_col).isNull(), F.floor(F.rand(9) * parts))
-    own = own.withColumn("__part", F.pmod(F.xxhash64("__doc", "__row", chance), parts).cast("long"))
+    # Dealt by place, as any number of rows can be alike; a document is known by id and text, not by its part.
+    own = own.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("long"))
     runs = own.groupBy("__part").applyInArrow(
-        _emit(text_col, span, min_words, every), "__part long, h1 long, h2 long, __doc long, __row int, __again boolean"
+        _emit(text_col, *rule), "__part long, h1 long, h2 long, __doc long, __row int, __again boolean"
     )
     same, document = Window.partitionBy("h1", "h2"), F.struct("__doc", "__row")
     drops = (
@@ -303,11 +307,11 @@ def dedup_spans(
     # The exchange of the texts by part is the same as above, and so is made once.
     return (
         own.groupBy("__part").cogroup(drops.groupBy("__part"))
-        .applyInArrow(_rewrite(text_col, span, min_words, every, [*df.columns, *added]), schema)
+        .applyInArrow(_rewrite(text_col, [*df.columns, *added], *rule), schema)
     )
 
 
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: what was removed, and the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_spans(docs, every=True).withColumn("removed", F.col("n_removed") > 0)
+    return dedup_spans(docs, every=True, whole=True).withColumn("removed", F.col("n_removed") > 0)
