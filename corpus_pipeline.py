@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.
 All but the last return the columns of ``documents``; the last returns the token ids of
 each document of the mix, so a document that the mix repeats comes repeatedly.
+
+Defined cases: a null text has no words, so the first stage drops it; a null id or source is a value
+like any other; of rows alike in all columns, or in id and text alone, the third stage keeps one, the least; an
+empty table gives an empty result; columns beyond ``COLUMNS`` play no part and are dropped by
+the first stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dedup.keep_one_of_each(docs.select(*COLUMNS))
+    return near_dedup.keep_one_of_each(docs.select(*COLUMNS), weight="count")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
