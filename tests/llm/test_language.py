@@ -5,7 +5,9 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from tillscan.llm import language_id
 from tillscan.llm.common import table
 from tillscan.llm.language_id import BINS, fit, op10_language_id, predict, train, trigram_counts
 
@@ -61,3 +63,24 @@ def test_order_does_not_matter():
     langs = ["a" if i % 2 else "b" for i in range(30)]
     one, two = train(texts, langs), train(texts[::-1], langs[::-1])
     assert np.array_equal(one.centroids, two.centroids) and one.languages == two.languages
+
+
+def test_long_texts_are_counted_by_piece(monkeypatch):
+    text = "Über ΑΣ'Α straße, 12 x_y don't été\n" * 400 + "z" * 500
+    wanted = language_id.trigram_counts([text, "kurz", ""])
+    for size in (10, 333, 5000):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        assert (language_id.trigram_counts([text, "kurz", ""]) == wanted).all()
+
+
+def test_hundreds_of_languages(spark):
+    """Each label of 301 has its own letters, and all are learned."""
+    def text(k, i):
+        return " ".join(f"{chr(0x4E00 + k)}{chr(0x4E00 + (k * 7 + j + i) % 5)}{chr(0x4E00 + k)}" for j in range(30))
+
+    rows = [(i * 1000 + k, text(k, i), f"l{k:03d}") for k in range(301) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    assert len(set(model.languages)) == 301
+    got = language_id.predict(df, model, reject=False).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)

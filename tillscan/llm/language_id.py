@@ -9,7 +9,7 @@ nearly all training texts of it is *rejected*.
 
 The model is fitted on the driver on a bounded sample: at most ``SAMPLE_DOCS`` labelled
 rows in all, equally many for each language, those whose ids hash lowest among texts
-of at most ``SAMPLE_BYTES`` bytes. At most ``MAX_LANGUAGES`` are learned, the most frequent
+of at most ``SAMPLE_BYTES`` bytes. So at most ``SAMPLE_DOCS`` languages are learned, the most frequent
 ones. Every row is predicted from its whole text.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; rows without
@@ -20,6 +20,7 @@ the name of a result column are replaced, others pass through; an empty table st
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,11 @@ from .text_arrays import mix
 _U = np.uint64
 BINS = 4096
 CENTROIDS = 3
-SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 3000, 50_000, 300
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 50_000
+MAX_LANGUAGES = SAMPLE_DOCS  # a row for each
+#: Characters of a text whose trigrams are counted at once.
+PIECE = 1_000_000
+_BREAK = re.compile(r"[\W\d_]")
 #: Share of a centroid's training texts that may lie beyond its rejection distance, and
 #: the margin added to that distance.
 REJECT_SHARE, REJECT_MARGIN = 0.01, 0.15
@@ -51,12 +56,37 @@ def _letters() -> np.ndarray:
     return _LETTER[0]
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about ``PIECE`` characters, each cut behind a break between words."""
+    begin = 0
+    while len(text) - begin > PIECE:
+        found = _BREAK.search(text, begin + PIECE)
+        if not found:
+            break
+        yield text[begin : found.end()]
+        begin = found.end()
+    yield text[begin:]
+
+
 def trigram_counts(texts: list[str]) -> np.ndarray:
-    """(text x bin) counts of hashed letter trigrams of whole texts."""
+    """(text x bin) counts of hashed letter trigrams of whole texts; those of a long text are added up by piece."""
+    lowered = [t.lower() for t in texts]
+    out = np.zeros((len(texts), BINS), dtype=np.float32)
+    short = [i for i, t in enumerate(lowered) if len(t) <= PIECE]
+    out[short] = _counts([lowered[i] for i in short])
+    for i in set(range(len(texts))) - set(short):
+        total = np.zeros(BINS)
+        for piece in _pieces(lowered[i]):
+            total += _counts([piece])[0]
+        out[i] = total
+    return out
+
+
+def _counts(texts: list[str]) -> np.ndarray:
     n = len(texts)
-    joined = "\n".join([*(t.lower() for t in texts), ""])
+    joined = "\n".join([*texts, ""])
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.cumsum([len(t.lower()) + 1 for t in texts]) if n else np.empty(0, np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts]) if n else np.empty(0, np.int64)
     letter = _letters()[code]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one break after each word

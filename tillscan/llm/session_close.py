@@ -12,7 +12,9 @@ rows of batch b before W(b-1) are dropped by their own microseconds. A timer sta
 ``gap`` before the session's end, and what it finds is compared with W(b) exactly: a session that W(b) has
 not passed gets a timer again. A session that W(b) has passed when its
 rows come in closes there, without an entry. After the last batch one row without a client,
-far in the future, moves the watermark over what is left.
+far in the future, moves the watermark over what is left. Timers that W(b) reaches fire as batch b + 1 starts, with the
+watermark that the checkpoint kept, and close their sessions as of b: no row of b + 1 can reach them, and a start is
+one micro-batch instead of two.
 
 Calls from Python into the state cost far more than the work in between. So the stream is grouped by
 ``GROUP_CLIENTS`` clients, not by one, and sessions of a group that end at one multiple of ``gap`` have their timer in
@@ -58,6 +60,7 @@ SLOTS = "client_id long, slot long, first_us long, last_us long, n long, crc lon
 SESSIONS = "client_id long, first_us long, last_us long, n_clicks long, ids_crc32 long, n_merges long, close_batch long"
 _SESSION = Row(*(f.split()[0] for f in SESSIONS.split(", ")))
 _STORE = "spark.sql.streaming.stateStore"
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 STATE = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
@@ -154,8 +157,8 @@ def sum_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Sessions(StatefulProcessor):
     """Open sessions of a group of clients: (client_id, first_us) -> (last_us, n, crc, merges), and their timers."""
 
-    def __init__(self, batch: int, mark: int, gap: int) -> None:
-        self.batch, self.mark, self.gap = batch, mark, gap
+    def __init__(self, batch: int, before: int, mark: int, gap: int) -> None:
+        self.batch, self.before, self.mark, self.gap = batch, before, mark, gap
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -168,7 +171,7 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # An open session carries its merges; what has just come has None.
-        found = [(r[1], r[3], r[4], r[5], r[6], None) for r in rows]
+        found = [(*r[:5], None) for r in rows]
         held = [(*k, *v) for k, v in self.open.iterator()]
         timers = Counter(self.timer(s[2]) for s in held)
         had = set(timers)
@@ -208,11 +211,14 @@ class Sessions(StatefulProcessor):
             return
         self.swept.add(key[0])
         again = timerValues.getCurrentWatermarkInMs() + 1
+        # The watermark is that of the batch before, but at the very end, where it has passed everything.
+        last = self.mark == AFTER_ALL and again * 1000 > self.before + self.gap
+        batch, mark = (self.batch, self.mark) if last else (self.batch - 1, self.before)
         early = False
         for k, v in list(self.open.iterator()):
-            if v[0] + self.gap < self.mark:
+            if v[0] + self.gap < mark:
                 self.open.removeKey(k)
-                yield _SESSION(*k, *v, self.batch)
+                yield _SESSION(*k, *v, batch)
             else:  # its timer may be one of those that fired up to a gap early
                 early = early or self.timer(v[0]) < again
         if early:
@@ -231,9 +237,9 @@ def _feed(
         F.col("us").alias("last_us"), F.lit(1).cast("long").alias("n"), "crc",
     )
     slots = slots.mapInArrow(sum_slots, SLOTS).repartition("client_id", "slot").mapInArrow(sum_slots, SLOTS)
-    dealt = slots.withColumn("clients", F.pmod(F.hash("client_id"), F.lit(cut.groups))).select("clients", *slots.columns)
+    dealt = slots.withColumn("clients", F.pmod(F.hash("client_id"), F.lit(cut.groups))).drop("slot")
     sessions = dealt.groupBy("clients").transformWithState(
-        statefulProcessor=Sessions(batch, mark, gap_us), outputStructType=T.StructType.fromDDL(SESSIONS),
+        statefulProcessor=Sessions(batch, before, mark, gap_us), outputStructType=T.StructType.fromDDL(SESSIONS),
         outputMode="Append", timeMode="EventTime",
     )
     query = (
@@ -255,6 +261,8 @@ def close_sessions(
     own = spark.newSession()  # the caller's settings stay as they are
     for key, value in (STATE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
         own.conf.set(key, value)
+    # Timers of W(b) fire when batch b + 1 starts, so a start is one micro-batch.
+    own.conf.set(NO_DATA, "false")
     before = BEFORE_ALL
     for b, mark in enumerate(cut.marks):
         _move(spark, f"{cut.staged}/batch={b}", f"{cut.source}/batch={b}")
@@ -267,6 +275,7 @@ def close_sessions(
         F.lit(end).cast("long").alias("us"), F.lit(0).cast("long").alias("crc"), F.timestamp_micros(F.lit(end)).alias("ts"),
     )
     last.write.parquet(f"{cut.source}/batch={batches}")
+    own.conf.set(NO_DATA, "true")  # one more, once the last row has moved the watermark
     _feed(own, folder, cut, batches, before, AFTER_ALL, gap_us, delay_us)
     return spark.read.schema(SESSIONS).parquet(f"{folder}/sessions")
 
