@@ -171,7 +171,7 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # An open session carries its merges; what has just come has None.
-        found = [(*r[:5], None) for r in rows]
+        found = [(*r[1:6], None) for r in rows]
         held = [(*k, *v) for k, v in self.open.iterator()]
         timers = Counter(self.timer(s[2]) for s in held)
         had = set(timers)
@@ -237,7 +237,8 @@ def _feed(
         F.col("us").alias("last_us"), F.lit(1).cast("long").alias("n"), "crc",
     )
     slots = slots.mapInArrow(sum_slots, SLOTS).repartition("client_id", "slot").mapInArrow(sum_slots, SLOTS)
-    dealt = slots.withColumn("clients", F.pmod(F.hash("client_id"), F.lit(cut.groups))).drop("slot")
+    group = F.pmod(F.hash("client_id"), F.lit(cut.groups)).alias("clients")
+    dealt = slots.select(group, "client_id", "first_us", "last_us", "n", "crc")
     sessions = dealt.groupBy("clients").transformWithState(
         statefulProcessor=Sessions(batch, before, mark, gap_us), outputStructType=T.StructType.fromDDL(SESSIONS),
         outputMode="Append", timeMode="EventTime",
