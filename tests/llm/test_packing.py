@@ -32,6 +32,7 @@ ODD = [
     (5, "word " * 9000, "b", "y"),
     (None, "日本語のテキスト 和 " * 300, "c", "z"),
     (6, "x" * 5000, "c", "z"),
+    (8, "\x01 a\x01b \x01\x01 c", "c", "z"),
     (7, "a\x1cb\x85c d ́e", "c", "z"),
 ]
 
@@ -95,16 +96,16 @@ def test_texts_apart_equal_whole_texts(spark):
     apart, whole = packing.Encoder(raw, True), packing.Encoder(raw, False)
     for _, text, *_ in ODD:
         data = (text or "").encode()
-        assert apart.encode(data) == whole.encode(data)
+        assert apart.encode([data, b"", data]) == whole.encode([data, b"", data])
 
 
 def test_long_text_in_parts_and_full_cache(monkeypatch):
     raw = open(packing.public_path(), "rb").read()
     text = " ".join(f"w{i % 977} {i}" for i in range(30_000)).encode()
-    wanted = packing.Encoder(raw, False).encode(text)
+    wanted = packing.Encoder(raw, False).encode([text])
     monkeypatch.setattr(packing, "PART_BYTES", 1000)
     monkeypatch.setattr(packing, "CACHE_WORDS", 300)
-    assert packing.Encoder(raw, True).encode(text) == wanted
+    assert packing.Encoder(raw, True).encode([text]) == wanted
 
 
 def test_offsets_over_many_partitions(spark, monkeypatch):

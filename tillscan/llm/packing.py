@@ -28,7 +28,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -50,11 +52,13 @@ BROADCAST_PARTS = 100_000
 #: Pieces of texts whose ids a Python worker remembers, and their greatest length in bytes.
 CACHE_WORDS, CACHE_BYTES = 400_000, 64
 PART_BYTES = 1_000_000
+#: Pieces in one call of the tokenizer, and what stands between them.
+JOINED_PIECES, _SEPARATOR = 5000, b"\x01"
 _WHITE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 class Encoder:
-    """Ids of texts as bytes, ``width`` bytes an id, little-endian."""
+    """Ids of texts as bytes, two or four an id, as this machine orders them."""
 
     def __init__(self, raw: bytes, apart: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -65,28 +69,55 @@ class Encoder:
         self.tokenizer.no_padding()
         self.apart = apart
         most = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
-        self.kind = np.dtype("<u2" if most < 2**16 else "<u4")
+        self.kind = np.dtype(np.uint16 if most < 2**16 else np.uint32)
         self.known: dict[bytes, bytes] = {}
 
     def _library(self, texts: Sequence[bytes]) -> list[bytes]:
         strings = [t.decode("utf-8", "replace") for t in texts]
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return [array(self.kind.char, e.ids).tobytes() for e in found]
+
+    def _pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces without white space, many in one text with a separator that none of them has."""
+        plain = [p for p in pieces if _SEPARATOR not in p]
+        odd = [p for p in pieces if _SEPARATOR in p]
+        mark = self._library([_SEPARATOR])[0]
+        size = self.kind.itemsize
+        if len(mark) != size:  # the separator is no id of its own here
+            plain, odd = [], pieces
+        out = dict(zip(odd, self._library(odd), strict=True))
+        for at in range(0, len(plain), JOINED_PIECES):
+            part = plain[at : at + JOINED_PIECES]
+            whole = self._library([(b" " + _SEPARATOR + b" ").join(part)])[0]
+            cuts = size * np.flatnonzero(np.frombuffer(whole, self.kind) == np.frombuffer(mark, self.kind))
+            begins, ends = [0, *(cuts + size).tolist()], [*cuts.tolist(), len(whole)]
+            out.update((p, whole[b:e]) for p, b, e in zip(part, begins, ends, strict=True))
+        return out
 
-    def encode(self, text: bytes) -> bytes:
+    def encode(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Ids of each text; of a few megabytes of texts at a time."""
         if not self.apart:
-            return self._library([text])[0]
-        return b"".join(self._part(text[a:b]) for a, b in spans(text, PART_BYTES))
+            return self._library(texts)
+        out = [b""] * len(texts)
+        short = [i for i, t in enumerate(texts) if len(t) <= PART_BYTES]
+        for i, ids in zip(short, self._parts([texts[i] for i in short]), strict=True):
+            out[i] = ids
+        for i, t in enumerate(texts):
+            if len(t) > PART_BYTES:
+                out[i] = b"".join(self._parts([t[a:b]])[0] for a, b in spans(t, PART_BYTES))
+        return out
 
-    def _part(self, text: bytes) -> bytes:
-        chunks = text.split()
+    def _parts(self, texts: Sequence[bytes]) -> list[bytes]:
+        """Each different piece between white space is tokenised once."""
+        pieces = [t.split() for t in texts]
+        different = set(chain.from_iterable(pieces))
         known = self.known
-        new = list({c for c in chunks if c not in known})
+        new = list(different.difference(known))
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
-            new = list(set(chunks))
-        if new:
-            known.update(zip(new, self._library(new), strict=True))
-        out = b"".join(map(known.__getitem__, chunks))
+            new = list(different)
+        known.update(self._pieces(new))
+        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
         for c in new:
             if len(c) > CACHE_BYTES:
                 del known[c]
@@ -133,8 +164,8 @@ def tokenise(df: DataFrame, tokenizer_path: str, end_id: int, text_col: str, kee
         part, at = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in batch_slices(whole, text_col):
-                texts = batch.column(text_col).cast(pa.binary())
-                ids = [encoder.encode(t.as_py() or b"") + end for t in texts]
+                texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+                ids = [i + end for i in encoder.encode(texts)]
                 n = np.array([len(i) // encoder.kind.itemsize for i in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
@@ -170,7 +201,7 @@ def cut_pieces(tokens: DataFrame, size: int, wide: bool, with_ids: bool) -> Data
     added = [c for c in PIECES if with_ids or c != "ids"]
     keep = [c for c in tokens.columns if not c.startswith("__")]
     schema = T.StructType([tokens.schema[c] for c in keep] + [T.StructField(c, PIECES[c]) for c in added])
-    kind = np.dtype("<u4" if wide else "<u2")
+    kind = np.dtype(np.uint32 if wide else np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
