@@ -33,6 +33,7 @@ ODD = [
     (None, "日本語のテキスト 和 " * 300, "c", "z"),
     (6, "x" * 5000, "c", "z"),
     (8, "\x01 a\x01b \x01\x01 c", "c", "z"),
+    (9, "He said, \"yes.\" It's. a,b c.. d?! e.\n1. 2.5 É. x,y. .z", "c", "z"),
     (7, "a\x1cb\x85c d ́e", "c", "z"),
 ]
 

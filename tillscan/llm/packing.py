@@ -14,7 +14,7 @@ does not depend on how a retry would deal rows. No text and no id is shuffled. T
 is that of the table's partitions; a caller who wants another sorts or shuffles before.
 
 Tokenising: with ``apart`` (for vocabularies that drop white space, as the query's) a text is taken
-apart at ASCII white space, and a piece between is handed to the tokenizer once for each
+apart at ASCII white space and before the stops of words, and a piece between is handed to the tokenizer once for each
 Python worker, as long as its table has room; a very long text is taken in parts of
 ``PART_BYTES``. Without it the library gets whole texts.
 
@@ -50,10 +50,12 @@ BLOCK = 1024
 #: Totals of so many partitions (24 bytes each) may be broadcast; beyond, they are joined.
 BROADCAST_PARTS = 100_000
 #: Pieces of texts whose ids a Python worker remembers, and their greatest length in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
 PART_BYTES = 1_000_000
 #: Pieces in one call of the tokenizer, and what stands between them.
 JOINED_PIECES, _SEPARATOR = 5000, b"\x01"
+#: Stops between a letter or digit and white space: a token of their own, so a word with and without them is one piece.
+_STOPS = r"([0-9A-Za-z])([.,!?;:]+)([ \t\n\x0b\x0c\r]|$)"
 _WHITE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
@@ -108,20 +110,27 @@ class Encoder:
         return out
 
     def _parts(self, texts: Sequence[bytes]) -> list[bytes]:
-        """Each different piece between white space is tokenised once."""
-        pieces = [t.split() for t in texts]
-        different = set(chain.from_iterable(pieces))
+        """Each different piece between white space is tokenised once; its ids are put in its places."""
+        spaced = pa.compute.replace_substring_regex(pa.array(texts, pa.binary()).cast(pa.string()), _STOPS, r"\1 \2\3")
+        lists = pa.compute.ascii_split_whitespace(spaced)
+        pieces = lists.flatten().dictionary_encode()
+        different = pieces.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         known = self.known
-        new = list(different.difference(known))
-        if len(known) + len(new) > CACHE_WORDS:
+        found = list(map(known.get, different))
+        new = [i for i, f in enumerate(found) if f is None]
+        made = self._pieces([different[i] for i in new])
+        for i in new:
+            found[i] = made[different[i]]
+        if len(known) + len(made) > CACHE_WORDS:
             known.clear()
-            new = list(different)
-        known.update(self._pieces(new))
-        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
-        for c in new:
-            if len(c) > CACHE_BYTES:
-                del known[c]
-        return out
+        known.update((p, f) for p, f in made.items() if len(p) <= CACHE_BYTES)
+        ids = pa.array(found, pa.binary()).take(pieces.indices)
+        _, offsets, data = ids.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        at = np.frombuffer(offsets, np.int32)[ids.offset :]
+        edges, whole = at[lists.offsets.to_numpy()].tolist(), memoryview(data)
+        return [bytes(whole[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def spans(text: bytes, size: int, breaks: re.Pattern[bytes] = _WHITE) -> Iterator[tuple[int, int]]:
