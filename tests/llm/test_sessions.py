@@ -37,7 +37,9 @@ def oracle(rows):
     return sorted(con.sql(S.OP13_SQL).fetchall())
 
 
-def test_late_rows_bridge_sessions(spark):
+def test_late_rows_bridge_sessions(spark, monkeypatch):
+    """Against the SQL, with several clients in a group of the stream and several groups."""
+    monkeypatch.setattr(S, "GROUP_CLIENTS", 4)
     rows = rows_of(1, 6000, 9)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = sorted(map(tuple, S.close_sessions(df).collect()))
@@ -47,13 +49,6 @@ def test_late_rows_bridge_sessions(spark):
     assert len({r[6] for r in got}) > 6
 
 
-def test_groups_do_not_matter(spark, monkeypatch):
-    rows = rows_of(2, 1500, 30)
-    wanted = oracle(rows)
-    monkeypatch.setattr(S, "GROUP_CLIENTS", 2)
-    assert sorted(map(tuple, S.close_sessions(spark.createDataFrame(rows, SCHEMA)).collect())) == wanted
-
-
 def test_one_start_a_batch_on_one_checkpoint(spark, monkeypatch):
     ids = []
     wait = StreamingQuery.awaitTermination
