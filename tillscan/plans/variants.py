@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
+from tillscan.operators import decode as C
 from tillscan.operators import images as I
 from tillscan.plans import rendered as R
 from tillscan.plans.registry import query
@@ -119,3 +120,25 @@ def image_variants(spark, sf_dir):
     )
     out = I.image_variants(pages, "s_suppkey")
     return out.withColumn("digest", F.md5(F.lower(F.hex("pixels")).cast("binary"))).drop("pixels")
+
+
+@query(
+    f"""
+SELECT p_partkey, CASE WHEN p_partkey % 7 > 1 THEN 3 END::INT AS width, CASE WHEN p_partkey % 7 > 1 THEN 3 END::INT AS height,
+  CASE WHEN p_partkey % 7 > 1 THEN {" || ".join(f"repeat(format('{{:02x}}', {v}), 3)" for v in _NINE)} END AS pixels,
+  CASE WHEN p_partkey % 7 <= 1 THEN 'No se pudo leer la imagen.' END AS message
+FROM part
+"""
+)
+def image_files(spark, sf_dir):
+    """Files written as PNG or PNM, decoded again; damaged ones and other files are errors."""
+    images = _images(spark, sf_dir, "3", "3")
+    key = F.col("p_partkey")
+    png = C.encode_images(images, "p_partkey")
+    pnm = images.select(key, F.concat(F.lit(b"P5 # gray\n3 3\n255\n"), F.col("pixels")).alias("pnm"))
+    size = F.length("content")
+    broken = F.concat(F.substr("content", F.lit(1), size - 20), F.lit(b"\x00"), F.substr("content", size - 18, F.lit(19)))
+    content = F.when(key % 7 == 0, broken).when(key % 7 == 1, F.lit(b"no image")).when(key % 2 == 0, F.col("pnm")).otherwise(F.col("content"))
+    files = png.join(pnm, "p_partkey").select("p_partkey", content.alias("content"))
+    out = C.decode_images(files, "p_partkey")
+    return out.select("p_partkey", "width", "height", F.lower(F.hex("pixels")).alias("pixels"), "message")
