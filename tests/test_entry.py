@@ -17,6 +17,7 @@ from tillscan.plans import registry
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+TABLES += " clicks client_changes clients items sale_lines sales stamps vendors"
 
 
 @pytest.fixture(scope="module")
