@@ -99,6 +99,12 @@ class FilesWriter(DataSourceWriter):
     def _hidden(self) -> str:
         return f"_writing-{self.run}"
 
+    def begin(self) -> FilesWriter:
+        """The hidden folder is made before any task runs."""
+        system, root = _at(self.path)
+        system.create_dir(f"{root}/{self._hidden}")
+        return self
+
     def write(self, iterator: Iterator) -> Written:
         system, root = _at(self.path)
         task = TaskContext.get()
@@ -106,7 +112,8 @@ class FilesWriter(DataSourceWriter):
         used: dict[str, int] = {}
         for name, content in iterator:
             if not used:
-                system.create_dir(f"{root}/{self._hidden}/{folder}")
+                # Not its parent: once the job has been given up, a task that still runs fails here.
+                system.create_dir(f"{root}/{self._hidden}/{folder}", recursive=False)
             safe = _file_name(str(name))
             used[safe] = used.get(safe, 0) + 1
             numbered = safe if used[safe] == 1 else f"{safe}~{used[safe]}"  # rows of one name get files each
@@ -117,7 +124,6 @@ class FilesWriter(DataSourceWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = _at(self.path)
         hidden, kept = f"{root}/{self._hidden}", {m.folder for m in messages if m}
-        system.create_dir(hidden)
         for f in system.get_file_info(fs.FileSelector(hidden)):
             if f.base_name not in kept:  # an attempt that was given up
                 system.delete_dir(f.path)
@@ -146,7 +152,7 @@ class WholeFiles(DataSource):
         return FilesReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> FilesWriter:
-        return FilesWriter(self.options, overwrite)
+        return FilesWriter(self.options, overwrite).begin()
 
 
 def read_files(spark: SparkSession, path: str, **options: object) -> DataFrame:
