@@ -91,9 +91,9 @@ def test_catalog_files(spark, tmp_path):
     assert [(r.pos, r.alias, r.store) for r in stores] == [(0, "kiosco n", "K2"), (1, "otro", "O")]
 
 
-def test_dictionaries_are_bounded():
-    with pytest.raises(ValueError):
-        S.brand_aliases([f"brand {i}" for i in range(S.MAX_ENTRIES + 1)])
+def test_dictionaries_beyond_the_literals_are_joined():
+    aliases = S.brand_aliases([f"brand {i}" for i in range(S.MAX_ENTRIES + 1)])
+    assert len(aliases) > S.MAX_ENTRIES and S.joined(aliases) and not S.joined(S.brand_aliases())
 
 
 def test_export_escape(spark):
