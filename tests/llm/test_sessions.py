@@ -49,6 +49,16 @@ def test_late_rows_bridge_sessions(spark, monkeypatch):
     assert len({r[6] for r in got}) > 6
 
 
+def test_batches_without_rows(spark):
+    """Sessions that the last batch with rows has passed close as of that one."""
+    rows = [r for r in rows_of(3, 400, 5, days=12)] + [
+        (10_000 + i, 1, START + dt.timedelta(days=90, minutes=i), START + dt.timedelta(days=90, minutes=i), "k", "b", "n") for i in range(3)
+    ]
+    got = sorted(map(tuple, S.close_sessions(spark.createDataFrame(rows, SCHEMA).coalesce(2)).collect()))
+    assert got == oracle(rows)
+    assert len({r[6] for r in got}) < 6
+
+
 def test_one_start_a_batch_on_one_checkpoint(spark, monkeypatch):
     ids = []
     wait = StreamingQuery.awaitTermination

@@ -86,6 +86,7 @@ class Batches:
     staged: str
     source: str
     marks: list[int]
+    filled: set[int]  # batches with rows
     groups: int  # of clients
 
 
@@ -113,7 +114,7 @@ def cut_batches(clicks: DataFrame, folder: str, batches: int, delay_us: int) ->
     staged, source = f"{folder}/staged", f"{folder}/source"
     if low is None:
         once.limit(0).selectExpr("click_id", "client_id", "us", "us AS crc", "timestamp_micros(us) AS ts").write.parquet(source)
-        return Batches(staged, source, [], 1)
+        return Batches(staged, source, [], set(), 1)
     moment = F.concat_ws(":", F.col("client_id").cast("string"), F.floor(F.col("us") / F.lit(HOUR_US)).cast("string"))
     late = F.when(F.crc32(moment) % LATE_EVERY == 0, 1).otherwise(0)
     batch = F.least(F.lit(batches - 1), F.floor((hour - low) * batches / F.lit(high - low + 1)) + late).cast("int")
@@ -128,7 +129,7 @@ def cut_batches(clicks: DataFrame, folder: str, batches: int, delay_us: int) ->
     for b in range(batches):
         top = max(top, most.get(b, BEFORE_ALL))
         marks.append(top - delay_us if top > BEFORE_ALL else BEFORE_ALL)
-    return Batches(staged, source, marks, 1 + clients // GROUP_CLIENTS)
+    return Batches(staged, source, marks, set(most), 1 + clients // GROUP_CLIENTS)
 
 
 def _summed(rows: pa.Table) -> pa.Table:
@@ -158,8 +159,9 @@ def sum_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Sessions(StatefulProcessor):
     """Open sessions of a group of clients: (client_id, first_us) -> (last_us, n, crc, merges), and their timers."""
 
-    def __init__(self, batch: int, before: int, mark: int, gap: int) -> None:
-        self.batch, self.before, self.mark, self.gap = batch, before, mark, gap
+    def __init__(self, batch: int, mark: int, gap: int, last_batch: int, before: int) -> None:
+        self.batch, self.mark, self.gap = batch, mark, gap
+        self.last_batch, self.before = last_batch, before  # the last one with rows, and its W
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -212,9 +214,9 @@ class Sessions(StatefulProcessor):
             return
         self.swept.add(key[0])
         again = timerValues.getCurrentWatermarkInMs() + 1
-        # The watermark is that of the batch before, but at the very end, where it has passed everything.
+        # The watermark is that of the last batch with rows, but at the very end, where it has passed everything.
         last = self.mark == AFTER_ALL and again * 1000 > self.before + self.gap
-        batch, mark = (self.batch, self.mark) if last else (self.batch - 1, self.before)
+        batch, mark = (self.batch, self.mark) if last else (self.last_batch, self.before)
         early = False
         for k, v in list(self.open.iterator()):
             if v[0] + self.gap < mark:
@@ -227,7 +229,7 @@ class Sessions(StatefulProcessor):
 
 
 def _feed(
-    spark: SparkSession, folder: str, cut: Batches, batch: int, before: int, mark: int, gap_us: int, delay_us: int
+    spark: SparkSession, folder: str, cut: Batches, batch: int, mark: int, last_batch: int, before: int, gap_us: int, delay_us: int
 ) -> None:
     """One start of the query on the one checkpoint: all that is new in the source."""
     fed = spark.readStream.schema(FED).parquet(cut.source).withWatermark("ts", f"{delay_us} microseconds")
@@ -241,7 +243,7 @@ def _feed(
     group = F.pmod(F.hash("client_id"), F.lit(cut.groups)).alias("clients")
     dealt = slots.select(group, "client_id", "first_us", "last_us", "n", "crc")
     sessions = dealt.groupBy("clients").transformWithState(
-        statefulProcessor=Sessions(batch, before, mark, gap_us), outputStructType=T.StructType.fromDDL(SESSIONS),
+        statefulProcessor=Sessions(batch, mark, gap_us, last_batch, before), outputStructType=T.StructType.fromDDL(SESSIONS),
         outputMode="Append", timeMode="EventTime",
     )
     query = (
@@ -265,20 +267,21 @@ def close_sessions(
         own.conf.set(key, value)
     # Timers of W(b) fire when batch b + 1 starts, so a start is one micro-batch.
     own.conf.set(NO_DATA, "false")
-    before = BEFORE_ALL
+    last, before = -1, BEFORE_ALL
     for b, mark in enumerate(cut.marks):
         _move(spark, f"{cut.staged}/batch={b}", f"{cut.source}/batch={b}")
-        _feed(own, folder, cut, b, before, mark, gap_us, delay_us)
-        before = mark
+        _feed(own, folder, cut, b, mark, last, before, gap_us, delay_us)
+        if b in cut.filled:  # else there was no micro-batch, and timers still wait for the last one's W
+            last, before = b, mark
     # Past every timer: the last ts, the delay and a gap.
     end = cut.marks[-1] + 2 * delay_us + 2 * gap_us
-    last = spark.range(1).select(
+    past = spark.range(1).select(
         F.lit(None).cast("long").alias("click_id"), F.lit(None).cast("long").alias("client_id"),
         F.lit(end).cast("long").alias("us"), F.lit(0).cast("long").alias("crc"), F.timestamp_micros(F.lit(end)).alias("ts"),
     )
-    last.write.parquet(f"{cut.source}/batch={batches}")
+    past.write.parquet(f"{cut.source}/batch={batches}")
     own.conf.set(NO_DATA, "true")  # one more, once the last row has moved the watermark
-    _feed(own, folder, cut, batches, before, AFTER_ALL, gap_us, delay_us)
+    _feed(own, folder, cut, batches, AFTER_ALL, last, before, gap_us, delay_us)
     return spark.read.schema(SESSIONS).parquet(f"{folder}/sessions")
 
 
