@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
 
+#: What becomes one space: a single space stays as it is, which spares a replacement.
+BLANK_RUN = r"\s(?:\s+|(?<! ))"
 #: Java's notion of a blank character beyond those that ``trim`` removes.
 BLANK = r"^[\s\x1c-\x1f\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]*$"
 
@@ -43,22 +45,22 @@ def fold(text: Column) -> Column:
 
 def trim_controls(text: Column) -> Column:
     """Without characters up to U+0020 at both ends."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(33)))))
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return trim_controls(F.regexp_replace(text, r"\s+", " "))
+    return trim_controls(F.regexp_replace(text, BLANK_RUN, " "))
 
 
 def norm(text: Column) -> Column:
     """For detection: folded, only a-z, 0-9, slash and single spaces."""
-    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9/]+", " "))
+    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9/](?:[^a-z0-9/]+|(?<! ))", " "))
 
 
 def dict_norm(text: Column) -> Column:
     """For dictionaries: as ``norm``, without the slash; null is empty."""
-    return F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), "[^a-z0-9](?:[^a-z0-9]+|(?<! ))", " "))
 
 
 def compact(text: Column) -> Column:
@@ -67,12 +69,13 @@ def compact(text: Column) -> Column:
 
 def clean_noise(text: Column) -> Column:
     """Marks that OCR takes for letters or adds."""
-    return squeeze(F.translate(text, '|"`', "I  "))
+    marked = text.rlike(r'[|"`\t-\r]|  ')
+    return F.when(marked, squeeze(F.translate(text, '|"`', "I  "))).otherwise(trim_controls(text))
 
 
 def title_case(text: Column) -> Column:
     """First letters of the words large, the rest small, single spaces."""
-    return F.trim(F.regexp_replace(F.initcap(F.lower(text)), " +", " "))
+    return F.trim(F.regexp_replace(F.initcap(F.lower(text)), "  +", " "))
 
 
 def beautify(text: Column) -> Column:
@@ -94,9 +97,33 @@ def letters(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\p{L}"))
 
 
+def has_letters(text: Column, n: int) -> Column:
+    """Whether there are ``n`` letters or more; reads no further than the last of them."""
+    return text.rlike(rf"(?s)^(?:\P{{L}}*+\p{{L}}){{{n}}}")
+
+
+def one_of(words: Iterable[str]) -> str:
+    """A pattern for the words; those that begin alike share a branch, those that another begins are left out."""
+    kept: list[str] = []
+    for w in sorted(set(words)):
+        if not kept or not w.startswith(kept[-1]):
+            kept.append(w)
+
+    def branch(rest: list[str]) -> str:
+        if len(rest) == 1:
+            return re.escape(rest[0])
+        by_first: dict[str, list[str]] = {}
+        for w in rest:
+            by_first.setdefault(w[0], []).append(w[1:])
+        found = [re.escape(c) + branch(ends) for c, ends in by_first.items()]
+        return found[0] if len(found) == 1 else f"(?:{'|'.join(found)})"
+
+    return branch(kept) if kept else "(?!)"
+
+
 def any_of(text: Column, words: Iterable[str]) -> Column:
     """Whether one of the words is contained, as one pass of a pattern."""
-    return text.rlike("|".join(re.escape(w) for w in words))
+    return text.rlike(one_of(words))
 
 
 def specs(text: Column) -> Column:

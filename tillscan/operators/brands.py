@@ -2,7 +2,7 @@
 
 Two ways of matching give the same rows. Small dictionaries are literals, tried longest
 first (J1, J2 as expressions, no join). Large ones are joined: a description meets the alias
-table by its beginnings, or by an index of 3-grams where an alias may stand anywhere. An alias
+table by its beginnings, or by its substrings where an alias may stand anywhere. An alias
 without letters or digits is in every description, and the last choice of both ways.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
-from tillscan.functions.text import any_of, clean_brand, compact, dict_norm, fold, let, letters, norm, title_case
+from tillscan.functions.text import any_of, clean_brand, compact, dict_norm, fold, let, letters, norm, one_of, title_case
 from tillscan.operators.containment import contained, starting
 from tillscan.sources.dictionaries import Alias
 
@@ -37,31 +37,39 @@ def known_brand(description: Column, aliases: Sequence[Alias], anywhere: bool =
         hit = F.get(F.filter(table, lambda a: c.contains(a["c"]) if anywhere else c.startswith(a["c"])), 0)
         return F.when(hit.isNotNull(), F.struct(hit["brand"].alias("brand"), hit["alias"].alias("alias")))
 
-    return let(compact(dict_norm(description)), pick)
+    c = compact(dict_norm(description))
+    some = one_of(a.compact for a in aliases)
+    return F.when(c.rlike(some if anywhere else f"^{some}"), let(c, pick))
 
 
 def fallback_brand(description: Column) -> Column:
     """(brand, alias) from the first word, or the first two after a short one."""
+    first, two = _words(description, 1), _words(description, 2)
+    words = F.when(F.length(first) <= 3, two).otherwise(first)
+    return F.struct(title_case(words).alias("brand"), norm(words).alias("alias"))
 
-    def pick(w: Column) -> Column:
-        first = F.get(w, 0)
-        words = F.when((F.size(w) > 1) & (F.length(first) <= 3), F.concat_ws(" ", first, F.get(w, 1))).otherwise(first)
-        return F.struct(title_case(words).alias("brand"), norm(words).alias("alias"))
 
-    return let(F.split(description, " "), pick)
+def _words(text: Column, n: int) -> Column:
+    """The first ``n`` words; fewer if there are no more."""
+    return F.substring_index(text, " ", n)
 
 
-def remove_brand(description: Column, brand: Column, alias: Column) -> Column:
+def word_forms(description: Column) -> Column:
+    """Normal forms of the words, with the spaces between them."""
+    return F.regexp_replace(fold(description), "[^a-z0-9/ ]", "")
+
+
+def remove_brand(description: Column, brand: Column, alias: Column, forms: Column | None = None) -> Column:
     """The description without the brand it starts with.
 
     Words go up to the first that completes the alias; where none does (the alias ends
     inside a word) all go, and the description is restored. An alias glued to the front of
-    the next word is cut off. If nothing is left, the description stays.
+    the next word is cut off. If nothing is left, the description stays. ``forms`` is ``word_forms``
+    of the description, if there is a column that has it.
     """
-
-    # Normal forms of the words, without their spaces: one pass over the whole description.
-    forms = F.split(F.regexp_replace(fold(description), "[^a-z0-9/ ]", ""), " ")
-    known = F.struct(F.split(description, " ").alias("words"), forms.alias("forms"), compact(alias).alias("c"))
+    forms = word_forms(description) if forms is None else forms
+    c = compact(alias)
+    known = F.struct(F.split(description, " ").alias("words"), F.split(forms, " ").alias("forms"), c.alias("c"))
 
     def strip(x: Column) -> Column:
         words, forms, c = x["words"], x["forms"], x["c"]
@@ -69,7 +77,15 @@ def remove_brand(description: Column, brand: Column, alias: Column) -> Column:
         gone = F.when(F.array_join(forms, "").startswith(c), F.coalesce(F.get(whole, 0), F.size(words))).otherwise(0)
         return let(gone, lambda k: _unglued(F.slice(words, k + 1, F.size(words)), F.get(forms, k), c))
 
-    left = F.trim(F.array_join(let(known, strip), " "))
+    # Mostly the alias is the first word or the first two, and nothing is glued to the next.
+    cases = F.lit(None).cast("string")
+    for n in (2, 1):
+        after = F.substr(forms, F.length(_words(forms, n)) + 2)
+        glued = _words(after, 1).startswith(c) & (F.length(_words(after, 1)) > F.length(c))
+        rest = F.trim(F.substr(description, F.length(_words(description, n)) + 2))
+        cases = F.when((compact(_words(forms, n)) == c) & ~glued, rest).otherwise(cases)
+    cases = F.when(~compact(forms).startswith(c), F.trim(description)).otherwise(cases)
+    left = F.coalesce(cases, F.trim(F.array_join(let(known, strip), " ")))
     untouched = (F.trim(alias) == "") | (brand == D.NO_BRAND)
     return F.when(untouched, description).otherwise(F.coalesce(F.nullif(left, F.lit("")), description))
 
@@ -93,7 +109,7 @@ def match_brands(
     """(keys, brand, alias) by join: J1, or J2 with ``anywhere``; rows without a match are left out.
 
     ``aliases`` is (pos, alias_pos, brand, norm, compact) of any size. Distinct texts meet
-    distinct spellings: by their beginnings, or by an index of 3-grams.
+    distinct spellings: by their beginnings, or by substrings that begin as some spelling.
     """
     keyed = df.select(*key_cols, compact(dict_norm(F.col(text_col))).alias("text"))
     patterns = aliases.select(F.col("compact").alias("pattern")).distinct()
@@ -101,8 +117,10 @@ def match_brands(
     best = F.struct(
         F.length("compact").alias("n"), (-F.col("pos")).alias("p"), (-F.col("alias_pos")).alias("q"), "brand", "norm"
     )
-    hits = pairs.join(aliases.withColumn("pattern", F.col("compact")), "pattern").groupBy("text").agg(F.max(best).alias("b"))
-    return keyed.join(hits, "text").select(*key_cols, F.col("b.brand").alias("brand"), F.col("b.norm").alias("alias"))
+    # All tables grow with the data, so none is broadcast.
+    named = aliases.withColumn("pattern", F.col("compact")).hint("merge")
+    hits = pairs.join(named, "pattern").groupBy("text").agg(F.max(best).alias("b"))
+    return keyed.join(hits.hint("merge"), "text").select(*key_cols, F.col("b.brand").alias("brand"), F.col("b.norm").alias("alias"))
 
 
 def with_known_brands(df: DataFrame, aliases: DataFrame, text_col: str, anywhere: Column) -> DataFrame:
@@ -118,7 +136,7 @@ def with_known_brands(df: DataFrame, aliases: DataFrame, text_col: str, anywhere
         for flag in (False, True)
     ]
     both = found[0].unionByName(found[1]).select("__t", "__any", F.struct("brand", "alias").alias("known"))
-    return keyed.join(both, ["__t", "__any"], "left").drop("__t", "__any")
+    return keyed.join(both.hint("merge"), ["__t", "__any"], "left").drop("__t", "__any")
 
 
 def can_learn(brand: Column) -> Column:

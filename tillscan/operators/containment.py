@@ -1,9 +1,10 @@
 """Which patterns stand in which texts, for tables of patterns of any size.
 
-An inverted index: each pattern is filed once, under that of its 3-grams which the fewest texts
-have; a text meets the index by its own 3-grams and what it finds there is verified. A text of n characters
-is n - 2 rows, however many lengths patterns have, and a pattern with a 3-gram that no text has
-meets none. Patterns of one or two characters are met by substrings of that length; an empty one is in
+Patterns of 3 characters or more are found by their own text: a table of their first 3-grams with the lengths that
+follow each (as many rows as there are 3-grams of normal forms, whatever the number of patterns) says at which
+places of a text which substrings are worth a look, and these meet the patterns by an equal join. So a
+text of n characters is at most n rows for each length, and never meets a pattern that it only resembles.
+Patterns of one or two characters are met by substrings of that length; an empty one is in
 every text.
 """
 
@@ -36,12 +37,30 @@ def filed(patterns: DataFrame, grams: DataFrame) -> DataFrame:
     return met.filter("found = wanted").select("pattern", F.col("r.gram").alias("gram"))
 
 
+def beginnings(patterns: DataFrame) -> DataFrame:
+    """(gram, lengths): the first 3-grams of patterns of 3 characters or more, and the lengths of those."""
+    rows = patterns.filter(F.length("pattern") >= GRAM)
+    return rows.groupBy(F.substr("pattern", F.lit(1), F.lit(GRAM)).alias("gram")).agg(F.collect_set(F.length("pattern")).alias("lengths"))
+
+
+def pieces(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(text, place, pattern): substrings of texts that begin and are as long as some pattern."""
+    n = F.length("text")
+    grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substr("text", i, F.lit(GRAM)))
+    rows = texts.filter(n >= GRAM).select("text", F.posexplode(grams).alias("at", "gram"))
+    cuts = rows.join(F.broadcast(beginnings(patterns)), "gram").select("text", (F.col("at") + 1).alias("place"), F.explode("lengths").alias("n"))
+    whole = cuts.filter(F.col("place") + F.col("n") - 1 <= F.length("text"))
+    return whole.select("text", "place", F.substr("text", "place", "n").alias("pattern"))
+
+
 def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text, pattern): every pattern in every text; both tables have different rows, nulls match nothing."""
-    grams = text_grams(texts)
-    long = grams.join(filed(patterns, grams), "gram").filter(F.col("text").contains(F.col("pattern"))).select("text", "pattern")
-    pieces = F.concat(substrings(F.col("text"), 1), substrings(F.col("text"), 2))
-    short = texts.select("text", F.explode(pieces).alias("pattern")).join(patterns.filter(F.length("pattern") < GRAM), "pattern")
+    # Both sides grow with the data: a merge join, which takes nothing to the driver.
+    met = pieces(texts, patterns).join(patterns.filter(F.length("pattern") >= GRAM).hint("merge"), "pattern")
+    # Of several places in a text the first counts.
+    long = met.filter(F.position("pattern", "text") == F.col("place")).select("text", "pattern")
+    small = F.concat(substrings(F.col("text"), 1), substrings(F.col("text"), 2))
+    short = texts.select("text", F.explode(small).alias("pattern")).join(patterns.filter(F.length("pattern") < GRAM), "pattern")
     # At most one row.
     empty = F.broadcast(patterns.filter("pattern = ''").select(F.lit(True).alias("__all")).limit(1))
     every = texts.filter("text IS NOT NULL").withColumn("__all", F.lit(True)).join(empty, "__all")
@@ -59,4 +78,4 @@ def starting(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     cuts = F.transform(
         F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("text")), lambda n: F.substr(F.col("text"), F.lit(1), n)
     )
-    return texts.select("text", F.explode(cuts).alias("pattern")).join(patterns, "pattern").select("text", "pattern")
+    return texts.select("text", F.explode(cuts).alias("pattern")).join(patterns.hint("merge"), "pattern").select("text", "pattern")

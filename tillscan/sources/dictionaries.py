@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
 from tillscan.functions.text import clean_brand, dict_norm, norm, py_dict_norm, py_norm
+from tillscan.sinks.shared import written
 
 MAX_ENTRIES = 5000
 
@@ -98,7 +99,8 @@ def load_brands(spark: SparkSession, path: str) -> list[Alias] | DataFrame:
     table = alias_frame(read_brands(spark, path))
     rows = table.limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
-        return table
+        # The file is one value, which one task reads; the plans use its table several times.
+        return written(table, "aliases")
     return sorted((Alias(*r) for r in rows), key=lambda a: (-len(a.compact), a.pos, a.alias_pos))
 
 
