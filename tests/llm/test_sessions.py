@@ -98,3 +98,43 @@ def test_slots_are_summed(monkeypatch):
     got = pa.Table.from_batches(list(S.sum_slots(batches))).to_pylist()
     assert len(got) == 6 and sum(x["n"] for x in got) == 500 and sum(x["crc"] for x in got) == 500 * 2**31
     assert all(x["first_us"] == min(i for i in range(500) if (i % 3, i % 2) == (x["client_id"], x["slot"])) for x in got)
+
+
+def test_sessions_are_merged_by_arrays():
+    """Against a loop: long sessions that hold later ones, equal starts, and what is absorbed."""
+    import numpy as np
+
+    r = random.Random(5)
+    for _ in range(300):
+        gap, n_held = 10, r.randrange(6)
+        held = np.array([(c, 100 * i, 100 * i + r.randrange(60), 2, 5, i) for c in (-3, 7) for i in range(n_held)], np.int64).reshape(-1, 6)
+        starts = [(r.choice([-3, 7, 8]), r.randrange(-50, 600)) for _ in range(r.randrange(1, 30))]
+        new = np.array([(c, f, f + r.choice([0, 3, 40]), 1, 1) for c, f in starts], np.int64)
+        wanted, absorbed = [], []
+        rows = sorted([(*map(int, x), True) for x in held] + [(*map(int, x), 0, False) for x in new])
+        for x in rows:
+            if wanted and wanted[-1][-1][0] == x[0] and x[1] - max(y[2] for y in wanted[-1]) <= gap:
+                wanted[-1].append(x)
+            else:
+                wanted.append([x])
+        out = [
+            (g[0][0], g[0][1], max(x[2] for x in g), sum(x[3] for x in g), sum(x[4] for x in g),
+             sum(x[5] for x in g) + max(0, sum(x[6] for x in g) - 1)) for g in wanted
+        ]
+        fresh = [not all(x[6] for x in g) for g in wanted]
+        absorbed = [x[:6] for g, f in zip(wanted, fresh, strict=True) if f for x in g if x[6]]
+        got = S.merged(held, new, gap)
+        assert [list(map(tuple, got[0].tolist())), got[1].tolist(), sorted(map(tuple, got[2].tolist()))] == [out, fresh, sorted(absorbed)]
+
+
+def test_a_group_has_few_packed_values():
+    """The rows of a group come as one value for each batch of a task, whatever their number."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["clients", "client_id", "slot", "first_us", "last_us", "n", "crc"]
+    columns = [pa.array([i % 2 for i in range(500)], pa.int32()), *(pa.array([k * i for i in range(500)]) for k in range(1, 7))]
+    got = pa.Table.from_batches(list(S.pack_slots([pa.RecordBatch.from_arrays(columns, names=names)]))).to_pylist()
+    assert [x["clients"] for x in got] == [0, 1]
+    rows = np.concatenate([np.frombuffer(x["rows"], "<i8").reshape(-1, 5) for x in got])
+    assert sorted(rows.tolist()) == [[i, 3 * i, 4 * i, 5 * i, 6 * i] for i in range(500)]

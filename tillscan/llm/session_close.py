@@ -2,9 +2,9 @@
 
 Clicks are cut into batches by their arrival, written below ``spark.checkpoint.dir``, and fed in
 order to a Structured Streaming query that is started anew for each batch on one checkpoint.
-Its ``transformWithState`` keeps a map of open sessions keyed by client and start, and an event-time
-timer for each of them. A row that bridges open sessions deletes
-their entries and timers and registers the merged session. The watermark fires the timers.
+Its ``transformWithState`` keeps a map of open sessions by the day of their start, and an event-time
+timer at the least of their ends. A row that bridges open sessions takes
+their places in the map and moves the timer. The watermark fires the timers.
 
 W(b) is the latest ts through batch b less ``delay``. It is known in microseconds once the batches
 are cut (one number for each batch), while Spark's watermark and timers count milliseconds. So
@@ -17,12 +17,13 @@ watermark that the checkpoint kept, and close their sessions as of b: no row of
 one micro-batch instead of two.
 
 Calls from Python into the state cost far more than the work in between. So the stream is grouped by
-``GROUP_CLIENTS`` clients, not by one, and sessions of a group that end at one multiple of ``gap`` have their timer in
-common: it is deleted with the last of them. The number of groups follows the number of clients; results do not depend on it.
+``GROUP_CLIENTS`` clients, not by one; a group's new rows come packed (a value for each task that summed them), its
+sessions that start on one day are one packed value of the map, and it has one timer, at the least of their ends. Sessions are merged by
+arrays. The number of groups follows the number of clients; results do not depend on it.
 
 A client may have any share of the rows. Before the stream is dealt by client, rows are summed by
 client and slot of length ``gap`` (rows of one slot always share a session): first within
-each task, then after an exchange by client and slot. So the state's task sees one row for each slot of
+each task, then after an exchange by group and slot. So the state's task sees one row for each slot of
 a client, 48 a day, however many clicks there are, and a client has at most one
 open session for each two slots of the delay and of a batch.
 
@@ -34,12 +35,13 @@ their names may be anything; an empty table gives no sessions.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -54,11 +56,15 @@ BEFORE_ALL, AFTER_ALL = -(2**62), 2**62
 SUM_ROWS = 200_000
 #: Clients that share a group of the stream: a call of the processor costs as much as several sessions.
 GROUP_CLIENTS = 1000
+#: Tasks that sum up a group's slots: a hot client is not one task before the state.
+GROUP_PARTS = 16
+DAY_US = 24 * HOUR_US
 
 FED = "click_id long, client_id long, us long, crc long, ts timestamp"
 SLOTS = "client_id long, slot long, first_us long, last_us long, n long, crc long"
 SESSIONS = "client_id long, first_us long, last_us long, n_clicks long, ids_crc32 long, n_merges long, close_batch long"
-_SESSION = Row(*(f.split()[0] for f in SESSIONS.split(", ")))
+PACKED = "clients int, rows binary"
+_NAMES = [f.split()[0] for f in SESSIONS.split(", ")]
 _STORE = "spark.sql.streaming.stateStore"
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 STATE = {
@@ -67,6 +73,8 @@ STATE = {
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "false",
     # Else each partition's store takes 4 MB of disk at once.
     f"{_STORE}.rocksdb.allowFAllocate": "false",
+    # Each start opens the stores anew; those of earlier starts would stay in the executors' memory for a minute.
+    f"{_STORE}.unloadOnCommit": "true",
 }
 
 
@@ -133,9 +141,10 @@ def cut_batches(clicks: DataFrame, folder: str, batches: int, delay_us: int) ->
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    keys = rows.group_by(["client_id", "slot"], use_threads=False)
-    out = keys.aggregate([("first_us", "min"), ("last_us", "max"), ("n", "sum"), ("crc", "sum")])
-    return out.rename_columns(["client_id", "slot", "first_us", "last_us", "n", "crc"])
+    keys = [c for c in ("clients", "client_id", "slot") if c in rows.column_names]
+    values = [("first_us", "min"), ("last_us", "max"), ("n", "sum"), ("crc", "sum")]
+    out = rows.group_by(keys, use_threads=False).aggregate(values)
+    return out.rename_columns([*keys, *(v for v, _ in values)])
 
 
 def sum_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +165,42 @@ def sum_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _summed(pa.Table.from_batches(held)).to_batches()
 
 
+def pack_slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed again, and the rows of a group as one value: 64-bit numbers, five a row."""
+    for batch in sum_slots(batches):
+        clients = batch.column("clients").to_numpy()
+        order = np.argsort(clients, kind="stable")
+        columns = [batch.column(c).to_numpy() for c in ("client_id", "first_us", "last_us", "n", "crc")]
+        rows = np.stack(columns, axis=1).astype("<i8")[order]
+        groups, begin = np.unique(clients[order], return_index=True)
+        packed = [x.tobytes() for x in np.split(rows, begin[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(packed, pa.binary())], names=["clients", "rows"])
+
+
+def merged(held: np.ndarray, new: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sessions (client, first, last, n, crc, merges) of open ones and new rows (without merges).
+
+    Also whether something new is in each, and the open ones that such a session absorbs.
+    """
+    rows = np.concatenate([held, np.column_stack([new, np.zeros(len(new), np.int64)])])
+    old = np.arange(len(rows)) < len(held)
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows, old = rows[order], old[order]
+    # The latest end so far of a client: places in the order of ends, which leave room for the client above them.
+    ends, place = np.unique(rows[:, 2], return_inverse=True)
+    client = np.cumsum(np.r_[False, rows[1:, 0] != rows[:-1, 0]])
+    last = ends[np.maximum.accumulate(client * len(ends) + place) % len(ends)]
+    begin = np.flatnonzero(np.r_[True, (client[1:] != client[:-1]) | (rows[1:, 1] - last[:-1] > gap)])
+    size = np.diff(np.r_[begin, len(rows)])
+    n_old = np.add.reduceat(old.astype(np.int64), begin)
+    n, crc, merges = (np.add.reduceat(rows[:, c], begin) for c in (3, 4, 5))
+    out = np.column_stack([rows[begin, 0], rows[begin, 1], last[begin + size - 1], n, crc, merges + np.maximum(n_old - 1, 0)])
+    fresh = n_old < size
+    return out, fresh, rows[old & np.repeat(fresh, size)]
+
+
 class Sessions(StatefulProcessor):
-    """Open sessions of a group of clients: (client_id, first_us) -> (last_us, n, crc, merges), and their timers."""
+    """Open sessions of a group of clients: day -> packed (client, first, last, n, crc, merges), and the group's timer."""
 
     def __init__(self, batch: int, mark: int, gap: int, last_batch: int, before: int) -> None:
         self.batch, self.mark, self.gap = batch, mark, gap
@@ -165,67 +208,57 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "client_id long, first_us long", "last_us long, n long, crc long, merges long")
-        self.swept: set[int] = set()  # groups whose timers of this batch have been seen to
+        self.open = handle.getMapState("open", "day long", "rows binary")
+
+    def held(self) -> np.ndarray:
+        found = [np.frombuffer(v[0], "<i8").reshape(-1, 6) for _, v in self.open.iterator()]
+        return np.concatenate([np.empty((0, 6), np.int64), *found])
+
+    def keep(self, sessions: np.ndarray, changed: np.ndarray) -> None:
+        """Write the days on which one of the ``changed`` sessions starts or started."""
+        day = sessions[:, 1] // DAY_US
+        for d in np.unique(changed[:, 1] // DAY_US).tolist():
+            of_day = sessions[day == d]
+            if len(of_day):
+                self.open.updateValue((d,), (of_day.astype("<i8").tobytes(),))
+            else:
+                self.open.removeKey((d,))
 
     def timer(self, last: int) -> int:
-        """Before W > last + gap, at a multiple of the gap, so that near timers of a group are one."""
+        """Before W > last + gap, at a multiple of the gap, so that it seldom moves."""
         return max(1, (last + self.gap) // self.gap * self.gap // 1000 - 2)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        # An open session carries its merges; what has just come has None.
-        found = [(*r[1:6], None) for r in rows]
-        held = [(*k, *v) for k, v in self.open.iterator()]
-        timers = Counter(self.timer(s[2]) for s in held)
-        had = set(timers)
-        found += held
-        found.sort(key=lambda s: s[:2])
-        at = 0
-        while at < len(found):
-            client, first, last, n, crc, _ = found[at]
-            to = at + 1
-            while to < len(found) and found[to][0] == client and found[to][1] - last <= self.gap:
-                last = max(last, found[to][2])
-                n, crc = n + found[to][3], crc + found[to][4]
-                to += 1
-            old = [s for s in found[at:to] if s[5] is not None]
-            if len(old) < to - at:  # something new is in it
-                merges = sum(s[5] for s in old) + max(0, len(old) - 1)
-                over = last + self.gap < self.mark
-                for s in old:  # absorbed: their entries and timers go
-                    if over or s[1] != first:
-                        self.open.removeKey(s[:2])
-                    timers[self.timer(s[2])] -= 1
-                if over:
-                    yield _SESSION(client, first, last, n, crc, merges, self.batch)
-                else:
-                    self.open.updateValue((client, first), (last, n, crc, merges))
-                    timers[self.timer(last)] += 1
-            at = to
-        for at_ms, sessions in timers.items():
-            if sessions and at_ms not in had:
-                self.handle.registerTimer(at_ms)
-            elif not sessions and at_ms in had:
-                self.handle.deleteTimer(at_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """The group's first timer closes all sessions that W has passed; the others find them gone."""
-        if key[0] in self.swept:
-            return
-        self.swept.add(key[0])
+    def closed(self, sessions: np.ndarray, batch: int) -> Iterator[pd.DataFrame]:
+        if len(sessions):
+            yield pd.DataFrame(np.column_stack([sessions, np.full(len(sessions), batch, np.int64)]), columns=_NAMES)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 5) for frame in rows for x in frame["rows"]])
+        sessions, fresh, absorbed = merged(self.held(), new, self.gap)
+        over = fresh & (sessions[:, 2] + self.gap < self.mark)
+        left = sessions[~over]
+        self.keep(left, np.concatenate([absorbed, sessions[fresh & ~over]]))
+        wanted = {self.timer(int(left[:, 2].min()))} if len(left) else set()
+        have = set(self.handle.listTimers())
+        for at_ms in have - wanted:
+            self.handle.deleteTimer(at_ms)
+        for at_ms in wanted - have:
+            self.handle.registerTimer(at_ms)
+        yield from self.closed(sessions[over], self.batch)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Close the group's sessions that W has passed, and wait for the next."""
         again = timerValues.getCurrentWatermarkInMs() + 1
         # The watermark is that of the last batch with rows, but at the very end, where it has passed everything.
         last = self.mark == AFTER_ALL and again * 1000 > self.before + self.gap
         batch, mark = (self.batch, self.mark) if last else (self.last_batch, self.before)
-        early = False
-        for k, v in list(self.open.iterator()):
-            if v[0] + self.gap < mark:
-                self.open.removeKey(k)
-                yield _SESSION(*k, *v, batch)
-            else:  # its timer may be one of those that fired up to a gap early
-                early = early or self.timer(v[0]) < again
-        if early:
-            self.handle.registerTimer(again)
+        sessions = self.held()
+        over = sessions[:, 2] + self.gap < mark
+        left = sessions[~over]
+        self.keep(left, sessions[over])
+        if len(left):  # its timer may be one that fired up to a gap early
+            self.handle.registerTimer(max(again, self.timer(int(left[:, 2].min()))))
+        yield from self.closed(sessions[over], batch)
 
 
 def _feed(
@@ -239,10 +272,10 @@ def _feed(
         "client_id", F.floor(F.col("us") / F.lit(gap_us)).alias("slot"), F.col("us").alias("first_us"),
         F.col("us").alias("last_us"), F.lit(1).cast("long").alias("n"), "crc",
     )
-    slots = slots.mapInArrow(sum_slots, SLOTS).repartition("client_id", "slot").mapInArrow(sum_slots, SLOTS)
     group = F.pmod(F.hash("client_id"), F.lit(cut.groups)).alias("clients")
-    dealt = slots.select(group, "client_id", "first_us", "last_us", "n", "crc")
-    sessions = dealt.groupBy("clients").transformWithState(
+    summed = slots.mapInArrow(sum_slots, SLOTS).select(group, "*")
+    dealt = summed.repartition("clients", F.pmod("slot", F.lit(GROUP_PARTS))).mapInArrow(pack_slots, PACKED)
+    sessions = dealt.groupBy("clients").transformWithStateInPandas(
         statefulProcessor=Sessions(batch, mark, gap_us, last_batch, before), outputStructType=T.StructType.fromDDL(SESSIONS),
         outputMode="Append", timeMode="EventTime",
     )
