@@ -161,7 +161,7 @@ def counted_and_weighed(spark, sf_dir):
 def _small_images(spark, sf_dir):
     """Gray images of three by two pixels."""
     samples = [F.format_string("%02x", ((F.col("p_partkey") * 7 + F.col("p_size") * 3 + i * 31) % 256).cast("int")) for i in range(6)]
-    return R.table(spark, sf_dir, "part").select(
+    return R.spread(R.table(spark, sf_dir, "part")).select(
         "p_partkey", F.lit(3).alias("width"), F.lit(2).alias("height"), F.unhex(F.concat(*samples)).alias("pixels")
     )
 
@@ -211,7 +211,7 @@ FROM part
 def image_gray(spark, sf_dir):
     """The gray level of a colour (a part of S4 and I2)."""
     colour = [F.format_string("%02x", (F.col(c) % 256).cast("int")) for c in ("p_partkey", "p_size")]
-    images = R.table(spark, sf_dir, "part").select(
+    images = R.spread(R.table(spark, sf_dir, "part")).select(
         "p_partkey", F.lit(1).alias("width"), F.lit(1).alias("height"), F.unhex(F.concat(*colour, F.lit("c8"))).alias("pixels")
     )
     out = I.transform_images(images, I.grayscale, channels=3)
@@ -234,7 +234,7 @@ def image_crop(spark, sf_dir):
     dull = F.repeat(dark, F.lit(120))
     row = F.concat(F.repeat(dark, x.cast("int")), F.repeat(light, side), F.repeat(dark, (120 - x - side).cast("int")))
     pixels = F.concat(F.repeat(dull, y.cast("int")), F.repeat(row, side), F.repeat(dull, (110 - y - side).cast("int")))
-    images = R.table(spark, sf_dir, "supplier").select(
+    images = R.spread(R.table(spark, sf_dir, "supplier")).select(
         "s_suppkey", F.lit(120).alias("width"), F.lit(110).alias("height"), F.unhex(pixels).alias("pixels")
     )
     out = I.transform_images(images, I.cropped)

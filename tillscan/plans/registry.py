@@ -271,7 +271,7 @@ FROM part
 )
 def title_case(spark, sf_dir):
     """N5"""
-    return R.table(spark, sf_dir, "part").select("p_partkey", X.title_case(F.upper("p_name")).alias("title"))
+    return R.spread(R.table(spark, sf_dir, "part")).select("p_partkey", X.title_case(F.upper("p_name")).alias("title"))
 
 
 @query(
@@ -284,7 +284,7 @@ FROM part
 def beautify(spark, sf_dir):
     """Symbols, a glued size and a trailing tax rate."""
     raw = F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("*"))), F.lit("x"), F.col("p_size"), F.lit('UN_."€  (21) '))
-    return R.table(spark, sf_dir, "part").select("p_partkey", X.beautify(raw).alias("shown"))
+    return R.spread(R.table(spark, sf_dir, "part")).select("p_partkey", X.beautify(raw).alias("shown"))
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::INT AS letters FROM documents")
@@ -304,7 +304,7 @@ def product_specs(spark, sf_dir):
         " ", "p_name", F.concat(F.lit("X"), F.col("p_size"), F.lit("UN")),
         F.concat(F.col("p_size") + 3, F.lit("KG")), F.col("p_partkey").cast("string"), F.lit("a1 x"),
     )
-    return R.table(spark, sf_dir, "part").select("p_partkey", X.specs(text).alias("specs"))
+    return R.spread(R.table(spark, sf_dir, "part")).select("p_partkey", X.specs(text).alias("specs"))
 
 
 _META, _STOP = _alternation(D.METADATA_WORDS), _alternation(D.STOP_WORDS)
@@ -563,7 +563,7 @@ _T1, _T2 = f"upper({_W1}[1]) || {_W1}[2:]", f"upper({_W2}[1]) || {_W2}[2:]"
 def fallback_brand(spark, sf_dir):
     """B4"""
     b = B.fallback_brand(X.title_case(F.col("p_name")))
-    return R.table(spark, sf_dir, "part").select("p_partkey", b["brand"].alias("brand"), b["alias"].alias("alias"))
+    return R.spread(R.table(spark, sf_dir, "part")).select("p_partkey", b["brand"].alias("brand"), b["alias"].alias("alias"))
 
 
 @query(
@@ -575,7 +575,7 @@ def brand_strip(spark, sf_dir):
     shown = X.title_case(F.col("p_name"))
     b = B.fallback_brand(shown)
     first, second = F.get(F.split(shown, " "), 0), F.get(F.split(shown, " "), 1)
-    return R.table(spark, sf_dir, "part").select(
+    return R.spread(R.table(spark, sf_dir, "part")).select(
         "p_partkey",
         B.remove_brand(shown, b["brand"], b["alias"]).alias("left_over"),
         B.remove_brand(F.concat(first, second), first, F.lower(first)).alias("restored"),
@@ -691,7 +691,7 @@ def product_rule(spark, sf_dir):
     rules = product_rules([("Aro", ["ring", "wid.get", "widget"]), ("Vara", ["rod", "ring"])])
     shown = F.concat(X.title_case(F.col("p_name")), F.lit(" X"), F.col("p_size"))
     cheese = F.concat(F.lit("Cr "), F.col("p_size"), F.lit("Un"))
-    return R.table(spark, sf_dir, "part").select(
+    return R.spread(R.table(spark, sf_dir, "part")).select(
         "p_partkey",
         expand_product(shown, F.lit("Acme"), rules).alias("product"),
         expand_product(cheese, F.lit("Punta Del Agua"), rules).alias("special"),

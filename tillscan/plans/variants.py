@@ -19,7 +19,7 @@ def _sample(i: str) -> str:
 def _images(spark, sf_dir, width: str, height: str):
     """Gray images of the given sizes, one for each part."""
     places = F.expr(f"transform(sequence(0, ({width}) * ({height}) - 1), i -> format_string('%02x', cast({_sample('i')} AS int)))")
-    return R.table(spark, sf_dir, "part").select(
+    return R.spread(R.table(spark, sf_dir, "part")).select(
         "p_partkey", F.expr(f"int({width})").alias("width"), F.expr(f"int({height})").alias("height"),
         F.unhex(F.array_join(places, "")).alias("pixels"),
     )
@@ -115,7 +115,7 @@ def image_variants(spark, sf_dir):
     """The 32 renderings of pages of one colour, named, sized and in the order of trying."""
     w, h = F.expr("int(5 + s_suppkey % 7)"), F.expr("int(4 + s_suppkey % 5)")
     colour = F.concat(*[F.format_string("%02x", ((F.col("s_suppkey") * k) % 256).cast("int")) for k in (1, 7, 13)])
-    pages = R.table(spark, sf_dir, "supplier").select(
+    pages = R.spread(R.table(spark, sf_dir, "supplier")).select(
         "s_suppkey", w.alias("width"), h.alias("height"), F.unhex(F.repeat(colour, w * h)).alias("pixels")
     )
     out = I.image_variants(pages, "s_suppkey")
@@ -139,6 +139,9 @@ def image_files(spark, sf_dir):
     size = F.length("content")
     broken = F.concat(F.substr("content", F.lit(1), size - 20), F.lit(b"\x00"), F.substr("content", size - 18, F.lit(19)))
     content = F.when(key % 7 == 0, broken).when(key % 7 == 1, F.lit(b"no image")).when(key % 2 == 0, F.col("pnm")).otherwise(F.col("content"))
-    files = png.join(pnm, "p_partkey").select("p_partkey", content.alias("content"))
+    # A stated number of parts: the join's own are few where files are small, and decoding is far more work.
+    n = images.rdd.getNumPartitions()
+    files = png.repartition(n, "p_partkey").join(pnm.repartition(n, "p_partkey"), "p_partkey")
+    files = files.select("p_partkey", content.alias("content"))
     out = C.decode_images(files, "p_partkey")
     return out.select("p_partkey", "width", "height", F.lower(F.hex("pixels")).alias("pixels"), "message")
