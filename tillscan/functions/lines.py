@@ -25,24 +25,24 @@ def _either(n: Column) -> Column:
     return any_of(n, D.METADATA_WORDS + D.STOP_WORDS)
 
 
-def is_skipped(n: Column) -> Column:
-    """Blank, a version, metadata or a stop word."""
-    return (n == "") | n.rlike(D.VERSION_LINE) | _either(n)
+def is_skipped(n: Column, either: Column | None = None) -> Column:
+    """Blank, a version, metadata or a stop word (P1). ``either`` tells of the last two, if there is a column that has it."""
+    return (n == "") | n.rlike(D.VERSION_LINE) | (_either(n) if either is None else either)
 
 
-def is_description(line: Column, n: Column) -> Column:
-    """A line that can be described by the next one's price."""
-    return (F.length(line) >= 5) & ~_either(n) & has_letters(line, 4) & ~is_price_only(line)
+def is_description(line: Column, n: Column, either: Column | None = None) -> Column:
+    """A line that can be described by the next one's price (P4); ``either`` as in ``is_skipped``."""
+    return (F.length(line) >= 5) & ~(_either(n) if either is None else either) & has_letters(line, 4) & ~is_price_only(line)
 
 
-def is_product(description: Column, line_norm: Column) -> Column:
-    """(P5)"""
-    return is_name(description) & ~is_adjusted(line_norm)
+def is_product(description: Column, line_norm: Column, either: Column | None = None) -> Column:
+    """(P5); ``either`` is as in ``is_skipped``, of the description."""
+    return is_name(description, either) & ~is_adjusted(line_norm)
 
 
-def is_name(description: Column) -> Column:
+def is_name(description: Column, either: Column | None = None) -> Column:
     """(P5, the description)"""
-    return has_letters(description, 3) & ~_either(norm(description))
+    return has_letters(description, 3) & ~(_either(norm(description)) if either is None else either)
 
 
 def is_adjusted(n: Column) -> Column:
@@ -55,11 +55,11 @@ def is_app_line(n: Column) -> Column:
     return any_of(n, D.APP_NAMES)
 
 
-def is_app_product(line: Column, n: Column) -> Column:
-    """(P8)"""
+def is_app_product(line: Column, n: Column, metadata: Column | None = None) -> Column:
+    """(P8); ``metadata`` is ``has_metadata``, if there is a column that has it."""
     return (
         (F.length(line) >= 5)
-        & ~has_metadata(n)
+        & ~(has_metadata(n) if metadata is None else metadata)
         & ~n.rlike(D.WEIGHT_LINE)
         & ~any_of(n, D.APP_PROMOTIONS)
         & has_letters(line, 4)
@@ -74,15 +74,18 @@ def is_app_inline(line: Column, n: Column) -> Column:
 def is_ocr_item(text: Column) -> Column:
     """An OCR line that looks like an item."""
     low = F.lower(squeeze_ends(text))
+    # What most lines lack comes first.
     return (
-        (F.length(low) >= 8)
-        & ~any_of(low, D.OCR_NOT_ITEM)
-        & low.rlike(r"\p{L}")
+        (low.contains(",") | low.contains("."))
         & low.rlike(r"\p{Nd}")
-        & low.rlike("[,.]")
+        & (F.length(low) >= 8)
+        & low.rlike(r"\p{L}")
+        & ~any_of(low, D.OCR_NOT_ITEM)
     )
 
 
 def squeeze_ends(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    # The pattern tries every character; a look at the outer ones spares it (``$`` also stands before a last U+0085).
+    outer = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(outer.rlike(r"[\s\p{Z}\x85]"), F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).otherwise(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,13 +44,25 @@ def fold(text: Column) -> Column:
 
 
 def trim_controls(text: Column) -> Column:
-    """Without characters up to U+0020 at both ends."""
+    """Without characters up to U+0020 at both ends; ``text`` is computed several times.
+
+    Mostly there are none, which two comparisons tell: strings are ordered by their bytes.
+    """
+    return F.when((text >= "!") & (F.right(text, F.lit(1)) >= "!"), text).otherwise(_trimmed(text))
+
+
+def _trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit("".join(map(chr, range(33)))))
 
 
+def is_blank(text: Column) -> Column:
+    """Whether all characters are blank; a text that begins with a visible ASCII character is not."""
+    return ~text.between("!", "~") & text.rlike(BLANK)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return trim_controls(F.regexp_replace(text, BLANK_RUN, " "))
+    return _trimmed(F.regexp_replace(text, BLANK_RUN, " "))
 
 
 def norm(text: Column) -> Column:
@@ -69,7 +81,8 @@ def compact(text: Column) -> Column:
 
 def clean_noise(text: Column) -> Column:
     """Marks that OCR takes for letters or adds."""
-    marked = text.rlike(r'[|"`\t-\r]|  ')
+    # Plain searches are far cheaper than a pattern over every character.
+    marked = reduce(Column.__or__, [text.contains(mark) for mark in ("|", '"', "`", "  ", *"\t\n\x0b\x0c\r")])
     return F.when(marked, squeeze(F.translate(text, '|"`', "I  "))).otherwise(trim_controls(text))
 
 

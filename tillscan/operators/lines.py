@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscan.functions.text import BLANK, clean_noise, norm, trim_controls
+from tillscan.functions.text import clean_noise, is_blank, norm, trim_controls
 
 
 def split_lines(raw: Column) -> Column:
     """Trimmed lines that are not blank, in order."""
     lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\r\n|\r|\n", -1), lambda x: trim_controls(x))
-    return F.filter(lines, lambda x: ~x.rlike(BLANK))
+    return F.filter(lines, lambda x: ~is_blank(x))
 
 
 def receipt_lines(receipts: DataFrame) -> DataFrame:

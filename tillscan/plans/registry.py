@@ -339,16 +339,19 @@ def line_classes(spark, sf_dir):
     from tillscan.functions.dates import is_date_label
 
     c, n = F.col("clean"), F.col("norm")
-    return _doc_lines(spark, sf_dir).select(
+    # The searches for words read a whole line: once each.
+    lines = _doc_lines(spark, sf_dir).withColumns({"metadata": L.has_metadata(n), "stop_word": L.has_stop_word(n)})
+    metadata, either = F.col("metadata"), F.col("metadata") | F.col("stop_word")
+    return lines.select(
         F.col("receipt_id").alias("doc_id"),
         "line_no",
-        L.is_skipped(n).alias("skipped"),
-        L.has_metadata(n).alias("metadata"),
-        L.has_stop_word(n).alias("stop_word"),
-        L.is_description(c, n).alias("description"),
-        L.is_product(c, n).alias("product"),
+        L.is_skipped(n, either).alias("skipped"),
+        "metadata",
+        "stop_word",
+        L.is_description(c, n, either).alias("description"),
+        L.is_product(c, n, either).alias("product"),
         A.is_price_only(c).alias("price_only"),
-        L.is_app_product(c, n).alias("app_product"),
+        L.is_app_product(c, n, metadata).alias("app_product"),
         is_date_label(n).alias("date_label"),
         L.is_ocr_item(c).alias("ocr_item"),
     )
