@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
 from tillscan.functions.text import any_of, clean_brand, compact, dict_norm, fold, let, letters, norm, one_of, title_case
-from tillscan.operators.containment import contained, starting
+from tillscan.operators.containment import answered, contained, starting
 from tillscan.sources.dictionaries import Alias
 
 
@@ -140,6 +140,21 @@ def with_known_brands(df: DataFrame, aliases: DataFrame, text_col: str, anywhere
     return keyed.join(both.hint("merge"), ["__t", "__any"], "left").drop("__t", "__any")
 
 
+def with_brands_of_texts(df: DataFrame, aliases: DataFrame, text_col: str, anywhere: Column) -> DataFrame:
+    """As ``with_known_brands``, where texts may have any share of the rows (``answered``); ``df`` is read several times."""
+    marked = F.concat(F.when(anywhere, "*").otherwise("^"), F.coalesce(F.col(text_col), F.lit("")))
+
+    def known(texts: DataFrame) -> DataFrame:
+        cut = texts.select(F.col("text").alias("__key"), F.substr("text", F.lit(2)).alias("__t"))
+        found = [
+            match_brands(cut.filter(F.col("__key").startswith(mark)), aliases, "__t", ["__key"], anywhere=flag)
+            for mark, flag in (("^", False), ("*", True))
+        ]
+        return found[0].unionByName(found[1]).select(F.col("__key").alias("text"), F.struct("brand", "alias").alias("known"))
+
+    return answered(df.withColumn("__text", marked), "__text", known, "known").drop("__text")
+
+
 def can_learn(brand: Column) -> Column:
     """Whether a fallback brand is fit for the catalog."""
     cleaned, n = clean_brand(brand), dict_norm(brand)

@@ -21,7 +21,7 @@ from tillscan.sources.dictionaries import (
     Alias, Rule, StoreAlias, brand_aliases, joined, product_rules, rule_table,
 )
 
-from .brands import fallback_brand, known_brand, remove_brand, with_known_brands, word_forms
+from .brands import fallback_brand, known_brand, remove_brand, with_brands_of_texts, word_forms
 from .header import headed
 from .learning import with_learned_brands
 from .products import rule_met, shown_product, with_products
@@ -190,7 +190,7 @@ def built_items(
     """The finished items of ``raw`` (B1, B2); nulls where a line has none.
 
     ``aliases`` and ``rules`` are literals, or tables of any size, which are joined. With ``learn``, lines
-    know the brands that lines before them (by receipt_id and line_no) have taught; that runs
+    know the brands that lines before them (by receipt_id and line_no) have taught; that, and tables, run
     jobs at once.
     """
     aliases = brand_aliases() if aliases is None else aliases
@@ -209,7 +209,8 @@ def built_items(
     if joined(aliases):
         if not isinstance(aliases, DataFrame):
             aliases = out.sparkSession.createDataFrame(aliases, "pos int, alias_pos int, brand string, norm string, compact string")
-        out = with_known_brands(out, aliases, "shown", app).select(*keep, "known")
+        # Lines are read once, for the texts and for the rows that take their answers.
+        out = with_brands_of_texts(written(out, "shown"), aliases, "shown", app).select(*keep, "known")
     else:
         known = F.when(app, known_brand(shown, aliases, anywhere=True)).otherwise(known_brand(shown, aliases))
         out = _step(out, keep, known=known)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillscan import dictionaries as D
@@ -44,12 +44,33 @@ def _whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
 
 
-def read_brands(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, brand) of a JSON list of names (S10); blank names and "-" are left out."""
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, brand) of all names as they stand in JSON lists, one file after the other by name.
+
+    Several files are read at once, each by one task, and parsed once (a job).
+    """
     text = _whole_files(spark, path)
-    names = text.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "brand"))
-    names = names.withColumn("brand", clean_brand(F.col("brand"))).filter(~F.col("brand").isin("", "-"))
-    return names.groupBy("brand").agg(F.min("pos").alias("pos")).select("pos", "brand").orderBy("pos")  # a set
+    names = text.select(
+        F.col("_metadata.file_path").alias("file"), F.posexplode(F.from_json("value", "array<string>")).alias("pos", "brand")
+    )
+    if len(text.inputFiles()) < 2:
+        return names.select("pos", "brand").repartition("brand")  # one task parses; all clean the names
+    names = written(names, "names")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = names.groupBy("file").agg(F.max("pos").alias("last")).select(
+        "file", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("start")
+    )
+    return names.join(F.broadcast(starts), "file").select((F.col("start") + F.col("pos")).alias("pos"), "brand")
+
+
+def _brand_set(spark: SparkSession, path: str) -> DataFrame:
+    names = _listed(spark, path).withColumn("brand", clean_brand(F.col("brand"))).filter(~F.col("brand").isin("", "-"))
+    return names.groupBy("brand").agg(F.min("pos").alias("pos")).select("pos", "brand")
+
+
+def read_brands(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, brand) of a JSON list of names, or of a folder of them (S10); blank names and "-" are left out."""
+    return _brand_set(spark, path).orderBy("pos")
 
 
 def read_stores(spark: SparkSession, path: str) -> DataFrame:
@@ -92,14 +113,16 @@ def alias_frame(brands: DataFrame) -> DataFrame:
 
 
 def load_brands(spark: SparkSession, path: str) -> list[Alias] | DataFrame:
-    """The brands of a JSON list for ``parse``: literals, or a table of any size.
+    """The brands of a JSON list, or of a folder of them, for ``parse``: literals, or a table of any size.
 
     At most ``MAX_ENTRIES`` and one rows come to the driver.
     """
-    table = alias_frame(read_brands(spark, path))
+    brands = written(_brand_set(spark, path), "brands")  # files are read once
+    table = alias_frame(brands)
+    if brands.count() > MAX_ENTRIES:  # and as many aliases, or more
+        return written(table, "aliases")
     rows = table.limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
-        # The file is one value, which one task reads; the plans use its table several times.
         return written(table, "aliases")
     return sorted((Alias(*r) for r in rows), key=lambda a: (-len(a.compact), a.pos, a.alias_pos))
 
