@@ -13,8 +13,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round a node takes the least label among its neighbours, then the label of its
     label (pointer jumping), so chains shrink by halves. The loop ends when no label
-    changes; each round is checkpointed, which keeps plans short and survives lost
-    executors. Only a count comes to the driver.
+    changes; each round is one checkpoint, which keeps plans short and survives lost
+    executors. Only whether a label has changed comes to the driver: labels grow with the input, so none
+    are broadcast, which would pass them through the driver, and a round has few jobs and exchanges.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     pairs = pairs.filter("u <> v")
@@ -25,21 +26,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("v"), "root"), "v")
-            .select(F.col("u").alias("node"), "root")
-            .unionByName(labels)
+            both.join(labels.select(F.col("node").alias("v"), "root").hint("merge"), "v")
+            .select(F.col("u").alias("node"), "root", F.lit(None).cast("long").alias("old"))
+            .unionByName(labels.select("node", "root", F.col("root").alias("old")))
             .groupBy("node")
-            .agg(F.min("root").alias("root"))
+            .agg(F.min("root").alias("root"), F.min("old").alias("old"))
         )
-        near = cut(near, size)
-        jump = near.select(F.col("node").alias("root"), F.col("root").alias("__next"))
-        old = labels.withColumnRenamed("root", "__old")
-        labels = cut(
-            near.join(jump, "root", "left")
-            .select("node", F.least("root", F.coalesce("__next", "root")).alias("root"))
-            .join(old, "node"),
-            size,
+        # Both uses of ``near`` share the exchange of its aggregate.
+        jump = near.select(F.col("node").alias("__at"), F.col("root").alias("__next"))
+        after = near.join(jump.hint("merge"), F.col("root") == F.col("__at"), "left").select(
+            "node", F.least("root", F.coalesce("__next", "root")).alias("root"), "old"
         )
-        if labels.filter("root <> __old").limit(1).count() == 0:
-            return labels.drop("__old")
-        labels = labels.drop("__old")
+        labels = cut(after, size)
+        if not labels.filter("root <> old").head(1):
+            return labels.drop("old")
+        labels = labels.drop("old")

@@ -17,7 +17,8 @@
    A cluster beyond one block is thinned first without losing a link (``_large_links``),
    and the rest is compared with all in pairs of bounded blocks. Each block returns a
    spanning forest of its links only.
-5. Connected components over the links are the classes.
+5. Connected components over the links are the classes: within the task that compared a small
+   cluster, by joins for larger ones. A cluster of candidates holds whole classes.
 
 With 32 bands of 6 rows a pair at similarity 0.8 shares no bucket with a chance of 6e-5
 (0.85: 4e-7); step 4 then compares it anyway if a third text ties both.
@@ -222,17 +223,33 @@ def _sets(texts: list[str], width: int, weight: str) -> Sets:
     return doc, element, len(texts), w
 
 
-def _links_within(width: int, threshold: float, weight: str):
-    """Links among all texts of a small cluster."""
+def _roots_within(width: int, threshold: float, weight: str):
+    """The least node that each tied text of a small cluster is tied to; links never leave a cluster."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["node", "text"]).sort_values("node", kind="stable")
         own, nodes = _sets(rows["text"].tolist(), width, weight), rows["node"].to_numpy()
-        return _forest(similar_pairs(own, own, threshold, True), nodes, nodes)
+        return _rooted(_forest(similar_pairs(own, own, threshold, True), nodes, nodes))
 
     return run
 
 
+def _rooted(links: pd.DataFrame) -> pd.DataFrame:
+    """(node, root) of the nodes of some links that one task holds."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return pd.DataFrame([(x, find(x)) for x in list(root)], columns=["node", "root"]).astype("int64")
+
+
 def _links_between(width: int, threshold: float, weight: str):
     """Links from the texts of one block that are left over to those of another block."""
 
@@ -304,7 +321,7 @@ def _large_links(big: DataFrame, width: int, threshold: float, weight: str) -> D
         .agg(F.sum("weight").alias("alone"), F.min("size").alias("size"))
     )
     able = (
-        big.join(alone, ["cluster", "node", "h"], "left")
+        big.join(alone.hint("merge"), ["cluster", "node", "h"], "left")
         .withColumn("alone", F.coalesce("alone", F.lit(0.0)))
         .filter(F.col("size").isNull() | (F.col("size") - F.col("alone") >= threshold * F.col("size") - 1e-9))
     )
@@ -356,7 +373,8 @@ def near_classes(
 
     ``doc`` is the id (null as the least long), ``h1, h2`` the hash of the text, and the
     others name the least (doc, h1, h2) of all texts tied to it: ``class`` alone names
-    several classes where unrelated texts share an id. ``weight`` is ``set`` (similarity of
+    several classes where unrelated texts share an id. Tables that grow with the texts are never broadcast, so
+    that the driver holds none of them. ``weight`` is ``set`` (similarity of
     shingle sets) or ``count`` (a shingle weighs as often as the text has it, in the darts
     and in the exact check).
     """
@@ -380,10 +398,10 @@ def near_classes(
         .filter("head <> tail")
         .select("key", "head")
     )
-    stars = keyed.join(heads, "key").filter("node <> head").select("node", "head").distinct()
+    stars = keyed.join(heads.hint("merge"), "key").filter("node <> head").select("node", "head").distinct()
     clusters = components(stars, "node", "head")
     placed = clusters.select("node", F.col("root").alias("cluster")).join(
-        texts.select("node", "doc", "h1", "h2", "size"), "node"
+        texts.select("node", "doc", "h1", "h2", "size").hint("merge"), "node"
     )
     # Which clusters are large is known from sizes alone, before any text is moved.
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_BYTES))
@@ -391,23 +409,25 @@ def near_classes(
     # Rows that repeat id and text become one before the exchange, by a hash aggregate (the text is among its
     # keys) that needs no sort of texts.
     keys = ["doc", "h1", "h2"]
-    member = base.dropDuplicates().join(placed, keys).select("cluster", "node", "text")
+    member = base.dropDuplicates().join(placed.hint("merge"), keys).select("cluster", "node", "text")
     some_large = large.limit(1).count() > 0
     if some_large:
         member = cut(member)  # candidates only, read more than once
     small = member.join(large, "cluster", "left_anti") if some_large else member
-    links = small.groupBy("cluster").applyInPandas(_links_within(width, threshold, weight), "a long, b long")
+    roots = small.groupBy("cluster").applyInPandas(_roots_within(width, threshold, weight), "node long, root long")
     if some_large:
-        links = links.unionByName(_large_links(member.join(large, "cluster", "left_semi"), width, threshold, weight))
-    roots = components(links)
+        # Only their links are spread over tasks; those of small clusters are tied where they are found.
+        far = components(_large_links(member.join(large, "cluster", "left_semi"), width, threshold, weight))
+        roots = roots.unionByName(far)
+    roots = cut(roots)
     own = F.struct("doc", "h1", "h2")
-    tied = texts.select("node", own.alias("own")).join(roots, "node")
+    tied = texts.select("node", own.alias("own")).join(roots.hint("merge"), "node")
     heads = tied.groupBy("root").agg(F.min("own").alias("head"))
-    near = texts.join(tied.select("node", "root").join(heads, "root"), "node", "left")
+    near = texts.join(tied.select("node", "root").join(heads.hint("merge"), "root").hint("merge"), "node", "left")
     near = near.select("h1", "h2", F.coalesce("head", own).alias("head")).select(
         "h1", "h2", F.col("head.doc").alias("class"), F.col("head.h1").alias("class_h1"), F.col("head.h2").alias("class_h2")
     )
-    return base.select("doc", "h1", "h2").distinct().join(near, ["h1", "h2"])
+    return base.select("doc", "h1", "h2").distinct().join(near.hint("merge"), ["h1", "h2"])
 
 
 #: Whether a row of ``near_classes`` is the least of its class.
@@ -430,9 +450,9 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = F.struct(F.col(text_col).isNull().alias("__null"), *[F.col(c) for c in df.columns if c != text_col])
     own = df.withColumns({"__doc": id_or_least(F.col(id_col)), "__h1": h1, "__h2": h2, "__others": others})
     keys = ["__doc", "__h1", "__h2"]
-    least = own.groupBy(*keys).agg(F.min("__others").alias("__least")).join(kept, keys)
+    least = own.groupBy(*keys).agg(F.min("__others").alias("__least")).join(kept.hint("merge"), keys)
     # Rows alike in all columns become one before the exchange, so that a hot one is a row for each task.
-    rows = own.dropDuplicates().join(least, keys).filter(F.col("__others").eqNullSafe(F.col("__least")))
+    rows = own.dropDuplicates().join(least.hint("merge"), keys).filter(F.col("__others").eqNullSafe(F.col("__least")))
     return rows.select(*df.columns)
 
 
