@@ -45,3 +45,20 @@ def test_items_are_moved_by_order_only(spark):
             break
         own.append(line)
     assert not any("lineitem" in line or "collect_list" in line for line in own)
+
+
+def test_boxes_are_merged_into_lines_once(spark):
+    """The score of a rendering and its text come from one reading of its boxes."""
+    from pyspark.sql import functions as F
+
+    from tillscan.operators.ocr import best_texts
+
+    box = "struct<top:double,left:double,box_no:int,height:double,score:double,text:string>"
+    rows = [(1, 0, v, t) for v, t in ((0, "uno"), (0, "dos"), (1, "total 3,00"), (2, "total 3,00"))]
+    df = spark.createDataFrame(rows, "receipt_id long, page int, variant_pos int, text string")
+    boxes = df.withColumns({"box_no": F.length("text"), "score": F.lit(0.5), "top": F.length("text") * 40.0, "left": F.lit(1.0), "height": F.lit(20.0)})
+    assert set(boxes.columns) >= set(spark.createDataFrame([], f"b {box}").select("b.*").columns)
+    out = best_texts(boxes)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
+    assert [tuple(r) for r in out.collect()] == [(1, 0, "total 3,00")]
